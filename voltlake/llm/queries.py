@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, simhash
+from . import bpe, chat, decontaminate, linededup, quality, simhash
 from .common import read
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -30,6 +30,16 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chat(conversations.unionByName(more)))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    model = quality.fit(documents, read(spark, sf_dir, "labels"), quality.grade_of_labels())
+    return quality.score(documents, model)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.marks(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(read(spark, sf_dir, "documents"))
 
@@ -38,6 +48,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_decontaminate": op2_decontaminate,
     "op5_chat_format": op5_chat_format,
+    "op6_quality": op6_quality,
+    "op7_line_dedup": op7_line_dedup,
     "op10_simhash": op10_simhash,
 }
 
@@ -62,6 +74,29 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS x
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(x, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op7_line_dedup": f"""
+WITH l AS (
+  SELECT doc_id, no, trim(w[no + 1], ' ') AS line, doc_id * 1000000 + no AS place
+  FROM (SELECT doc_id, w, unnest(range(len(w))) AS no FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents WHERE text IS NOT NULL))
+  WHERE length(trim(w[no + 1], ' ')) >= {linededup.MIN_CHARS}
+),
+d AS (SELECT line, min(place) AS first, length(line) AS n FROM l GROUP BY line),
+k AS (
+  SELECT line, first, unnest([
+    'p' || n || ' ' || substring(line, 1, n // 2), 's' || n || ' ' || right(line, n - n // 2),
+    'p' || (n - 1) || ' ' || substring(line, 1, (n - 1) // 2), 's' || (n - 1) || ' ' || right(line, n - 1 - (n - 1) // 2)]) AS key
+  FROM d
+),
+near AS (SELECT DISTINCT a.line FROM k a JOIN k b ON a.key = b.key AND b.first < a.first WHERE levenshtein(a.line, b.line) <= 1),
+gone AS (SELECT doc_id, no FROM l JOIN d USING (line) WHERE place > first OR line IN (SELECT line FROM near)),
+kept AS (
+  SELECT t.doc_id, count(*) AS n_lines, count(g.no) AS n_removed, coalesce(string_agg(t.line, chr(10) ORDER BY t.no) FILTER (WHERE g.no IS NULL), '') AS text
+  FROM (SELECT doc_id, w[no + 1] AS line, no FROM (SELECT doc_id, w, unnest(range(len(w))) AS no FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents WHERE text IS NOT NULL))) t
+  LEFT JOIN gone g ON t.doc_id = g.doc_id AND t.no = g.no GROUP BY t.doc_id
+)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
 """,
     "op5_chat_format": """
 WITH c AS (
