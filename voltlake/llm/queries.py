@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, linededup, maxent, quality, simhash, suffixdedup
+from . import bpe, chat, decontaminate, embeddings, linededup, maxent, quality, simhash, suffixdedup
 from .common import read
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -27,6 +27,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.digests(suffixdedup.repeats(read(spark, sf_dir, "documents")))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link(read(spark, sf_dir, "embeddings"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_decontaminate": op2_decontaminate,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_chat_format": op5_chat_format,
     "op6_quality": op6_quality,
     "op7_line_dedup": op7_line_dedup,
