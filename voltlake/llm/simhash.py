@@ -71,17 +71,17 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """`key` and `fp`, the fingerprint as a signed number."""
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    """`key`, `same` (a hash of the text) and `fp`, the fingerprint as a signed number."""
+    rows = docs.select(F.col(key).cast("long").alias("key"), _same(text).alias("same"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
             of = [shingle_hashes(t, size) for t in common.texts(batch, "text")]
             counts = np.array([len(x) for x in of], np.int64)
             hashes = np.fromiter((h for x in of for h in x), np.uint64, int(counts.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(majority(hashes, counts).view(np.int64))], ["key", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("same"), pa.array(majority(hashes, counts).view(np.int64))], ["key", "same", "fp"])
 
-    return rows.mapInArrow(run, "key bigint, fp bigint")
+    return rows.mapInArrow(run, "key bigint, same bigint, fp bigint")
 
 
 class BKTree:
@@ -178,15 +178,33 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(trees, "a bigint, b bigint")
 
 
-def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def _same(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
+
+
+def _least(docs: DataFrame, key: str, text: str, size: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows; and of each fingerprint the root of its component, with the least (id, same) there; null ids last."""
     of = common.stash(fingerprints(docs, key, text, size))
-    classes = of.groupBy("fp").agg(F.min(F.coalesce("key", F.lit(_LAST))).alias("first"))
+    first = F.struct(F.coalesce("key", F.lit(_LAST)).alias("id"), "same")
+    classes = of.groupBy("fp").agg(F.min(first).alias("first"))
     roots = components(links(classes.select("fp"), radius))
     rooted = common.stash(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first").alias("least")).select(F.bitwise_not("root").alias("k"), "least")
-    named = rooted.join(least, F.bitwise_not("root") == F.col("k")).select(F.bitwise_not("fp").alias("same"), "least")
-    return of.join(named, F.bitwise_not("fp") == F.col("same")).select(
+    return of, rooted.join(least, F.bitwise_not("root") == F.col("k")).select(F.bitwise_not("fp").alias("k"), "root", "least")
+
+
+def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    of, named = _least(docs, key, text, size, radius)
+    return of.join(named, F.bitwise_not("fp") == F.col("k")).select(
         F.col("key").alias(key),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("least") != _LAST, F.col("least")).alias("component_id"),
+        F.when(F.col("least.id") != _LAST, F.col("least.id")).alias("component_id"),
     )
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One document of each component, with all its columns: that of the least key (of several rows with it, one)."""
+    _, named = _least(docs, key, text, size, radius)
+    kept = named.select("root", F.col("least.id").alias("__id"), F.col("least.same").alias("__same")).select("__id", "__same").distinct()
+    rows = docs.withColumns({"__id": F.coalesce(F.col(key).cast("long"), F.lit(_LAST)), "__same": _same(text)})
+    return rows.join(kept, ["__id", "__same"], "left_semi").dropDuplicates(["__id", "__same"]).select(docs.columns)
