@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -29,11 +31,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: its lineage ends there, and a lost executor costs no recomputation of it."""
+    """df written to the shared folder and read back: its lineage ends there, and a lost executor costs no recomputation of it.
+
+    Spark deletes the shuffle files behind it once the driver has collected the plans that made them, so that is done here.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/voltlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.1)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Deletes tables of `stash` that nothing reads any more, as what was made of them is stashed too."""
+    for df in stashed:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stashed_at)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -4,8 +4,8 @@ Earlier means a lower (key, line number); null keys come last. Lines are what '\
 blanks at its ends, and one of fewer than `MIN_CHARS` characters is never removed. An edit is one character inserted,
 deleted or replaced. "Earlier" looks at all lines, kept or not, so the result doesn't depend on an order of work.
 
-Every line that shares half of itself with another one emits its deletion variants (itself without one character) as
-hashed keys. Equal variants meet: a line and what another one becomes by a deletion differ by one insertion; two lines
+Lines that share half of themselves with others, and then all but a sixteenth, emit their deletion variants (themselves
+without one character, in the part that may differ) as hashed keys. Equal variants meet: a line and what another one becomes by a deletion differ by one insertion; two lines
 that become equal by deletions at one place differ by one replacement. Each key keeps its earliest line only, so no
 bucket is paired out, and each pair found is verified by its edit distance.
 
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_CHARS = 20
+#: Parts in which a line is searched for the one that an edit stands in, before variants of that part are emitted.
+PARTS = 16
 _LAST = (1 << 63) - 1
 
 
@@ -55,36 +57,94 @@ def _again(c: str) -> Column:
     return F.bitwise_not(F.col(c))
 
 
-def variant_keys(line: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed keys of a line: itself, without each one of its characters, and the latter with their place."""
-    codes = common.mix(np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1))
-    n = len(codes)
-    power = np.full(n + 1, 0x9E3779B97F4A7C15, np.uint64)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
-    # before[i]: of the first i characters; after[i]: of those from i on; both as they add up in the whole.
-    before = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(codes * power[:n])))
-    shifted = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(codes[1:] * power[: n - 1])))
-    without = before[:n] + shifted[-1] - shifted
-    whole = common.mix(before[-1:] ^ np.uint64(n))
-    gone = common.mix(without ^ np.uint64(n - 1))
-    placed = common.mix(without + common.mix(np.arange(n, dtype=np.uint64) + np.uint64(n << 32)))
-    return whole, np.unique(gone), placed
+class Hashes:
+    """Hashes of a line and of what is left of it without some of its characters, each at the cost of a few additions."""
 
+    def __init__(self, line: str):
+        codes = common.mix(np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1))
+        self.n = len(codes)
+        power = np.full(self.n + 1, 0x9E3779B97F4A7C15, np.uint64)
+        power[0] = 1
+        self.power = np.multiply.accumulate(power)
+        zero = np.zeros(1, np.uint64)
+        self.before = np.concatenate((zero, np.add.accumulate(codes * self.power[: self.n])))
+        # Of the last characters, as they would be counted at the start of a line.
+        self.last = np.concatenate((zero, np.add.accumulate(codes[::-1] * self.power[: self.n])))
+        self.shifted = np.concatenate((zero, np.add.accumulate(codes[1:] * self.power[: self.n - 1])))
 
-def _variants(survivors: DataFrame) -> DataFrame:
-    """id, no, variant, role: 0 the line itself, 1 a deletion, 2 a deletion at its place."""
+    def whole(self) -> np.ndarray:
+        return common.mix(self.before[-1:] ^ np.uint64(self.n))
+
+    def without(self, at: np.ndarray) -> np.ndarray:
+        """Without the character at each place; not mixed yet."""
+        return self.before[at] + self.shifted[-1] - self.shifted[at]
+
+    def around(self, size: int) -> np.ndarray:
+        """Of each of the parts of a line of `size` characters: what stands before it and, from the end, after it."""
+        bounds = part_bounds(size)
+        ends = common.mix(self.before[bounds[:-1]] + np.uint64(size)) + np.uint64(3) * self.last[size - bounds[1:]]
+        return common.mix(ends + np.arange(PARTS, dtype=np.uint64))
+
+
+def part_bounds(size: int) -> np.ndarray:
+    return size * np.arange(PARTS + 1) // PARTS
+
+
+def variant_keys(line: str, places: list[tuple[int, int]]) -> list[np.ndarray]:
+    """Hashed keys of a line by role: 0 itself; 1 without one of its characters; 2 the same with the character's place.
+
+    `places` has classes (the length of the shorter line of a pair) and parts in which the edit may stand. In a class of
+    its own length a line can be the shorter one, or as long; in the one below, it is the longer one.
+    """
+    h = Hashes(line)
+    shorter = [np.arange(part_bounds(size)[i], part_bounds(size)[i + 1]) for size, i in places if size == h.n]
+    longer = [np.arange(part_bounds(size)[i], part_bounds(size)[i + 1] + 1) for size, i in places if size == h.n - 1]
+    none = np.zeros(0, np.int64)
+    gone, placed = np.unique(np.concatenate([none, *longer])), np.unique(np.concatenate([none, *shorter]))
+    return [
+        h.whole(),
+        np.unique(common.mix(h.without(gone) ^ np.uint64(h.n - 1))),
+        common.mix(h.without(placed) + common.mix(placed.astype(np.uint64) + np.uint64(h.n << 32))),
+    ]
+
+
+def _parts(survivors: DataFrame) -> DataFrame:
+    """id, no, size, part, around: of each line as the shorter and as the longer one of a pair, each part and what is around it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "line", 1 << 18):
+            sizes, around = [], []
+            for t in batch.column("line").to_pylist():
+                h = Hashes(t)
+                sizes += [h.n, h.n - 1]
+                around += [h.around(h.n), h.around(h.n - 1)]
+            take = pa.array(np.repeat(np.arange(batch.num_rows), 2 * PARTS))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id").take(take),
+                    batch.column("no").take(take),
+                    pa.array(np.repeat(np.array(sizes, np.int32), PARTS)),
+                    pa.array(np.tile(np.arange(PARTS, dtype=np.int32), len(sizes))),
+                    pa.array(np.concatenate(around).view(np.int64)),
+                ],
+                ["id", "no", "size", "part", "around"],
+            )
+
+    return survivors.select("id", "no", "line").mapInArrow(run, "id bigint, no int, size int, part int, around bigint")
+
+
+def _variants(lines: DataFrame) -> DataFrame:
+    """id, no, variant, role of lines with `places`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "line", 1 << 16):
-            keys = [variant_keys(t) for t in batch.column("line").to_pylist()]
-            sizes = [sum(map(len, k)) for k in keys]
-            take = pa.array(np.repeat(np.arange(len(keys)), sizes))
+            keys = [variant_keys(t, [(p["size"], p["part"]) for p in places]) for t, places in zip(batch.column("line").to_pylist(), batch.column("places").to_pylist(), strict=True)]
+            take = pa.array(np.repeat(np.arange(len(keys)), [sum(map(len, k)) for k in keys]))
             role = np.concatenate([np.repeat(np.arange(3, dtype=np.int8), [len(x) for x in k]) for k in keys])
             values = np.concatenate([x for k in keys for x in k]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("no").take(take), pa.array(values), pa.array(role)], ["id", "no", "variant", "role"])
 
-    return survivors.select("id", "no", "line").mapInArrow(run, "id bigint, no int, variant bigint, role tinyint")
+    return lines.select("id", "no", "line", "places").mapInArrow(run, "id bigint, no int, variant bigint, role tinyint")
 
 
 def near_pairs(lines: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -93,7 +153,10 @@ def near_pairs(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     shared = keyed.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select(_again("half").alias("k"))
     places = keyed.join(shared, _again("half") == F.col("k"), "left_semi").select("first.id", "first.no").distinct()
     survivors = common.stash(lines.join(places, ["id", "no"], "left_semi").dropDuplicates(["id", "no"]))
-    rows = common.stash(_variants(survivors))
+    parts = _parts(survivors)
+    met = parts.groupBy("around").agg(F.count("*").alias("n")).where("n > 1").select(_again("around").alias("k"))
+    narrowed = parts.join(met, _again("around") == F.col("k"), "left_semi").groupBy("id", "no").agg(F.collect_set(F.struct("size", "part")).alias("places"))
+    rows = common.stash(_variants(survivors.join(narrowed, ["id", "no"])))
     place = F.struct("id", "no")
     earliest = rows.groupBy("variant").agg(*(F.min(F.when(F.col("role") == r, place)).alias(f"r{r}") for r in range(3)))
     # A key that only one line has is dropped before anything meets.
