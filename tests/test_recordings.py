@@ -73,3 +73,17 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", "true").csv(f"{tmp_path}/flat").count() == 2
     sinks.workbook(f"{tmp_path}/book.xlsx", {"Delta/1": df})
     assert sinks.sheet_name("a/b" + "c" * 40) == "ab" + "c" * 29
+
+
+def test_a_stream_adds_new_files_once(spark, folder, tmp_path):
+    import shutil
+
+    from voltlake.streaming import recordings as streaming
+
+    source, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    shutil.copytree(f"{folder[0]}/ALS01", f"{source}/ALS01")
+    for n in (1, 2, 2):
+        streaming.append_features(streaming.stream_recordings(spark, source), out, f"{tmp_path}/state").awaitTermination()
+        assert spark.read.parquet(out).select("filename").distinct().count() == n
+        if n == 1:
+            shutil.copy(f"{folder[0]}/more.zip", source)

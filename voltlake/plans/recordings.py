@@ -25,13 +25,17 @@ def process(signals: DataFrame, channels: list[str] | None = None, drop_bad: boo
     return signal.clean_ica(signals) if ica else signals
 
 
-def batch_features(spark: SparkSession, path: str, channels: list[str] | None = None, band: tuple[float, float] | None = (0.5, 49.0), least: int = 4, **options) -> DataFrame:  # noqa: ANN003
+def batch_features(spark: SparkSession, path: str, **options) -> DataFrame:  # noqa: ANN003
+    """The feature table of all recordings under a path."""
+    return recording_features(edf.read_recordings(spark, path), **options)
+
+
+def recording_features(recordings: DataFrame, channels: list[str] | None = None, band: tuple[float, float] | None = (0.5, 49.0), least: int = 4, **options) -> DataFrame:  # noqa: ANN003
     """filename and its metadata, task, channel, subband, features of each task's first occurrence, bandpass_ok.
 
     Segments are cut out of sample arrays per channel; a sample is never a row of its own on the way. Where the band-pass fails,
     the signal goes on as it is, and bandpass_ok says so.
     """
-    recordings = edf.read_recordings(spark, path)
     own = edf.signals(recordings)
     if channels:
         own = own.where(F.col("channel").isin(channels))

@@ -111,11 +111,14 @@ def _members(path: str, raw: bytes) -> Iterator[tuple[str, bytes]]:
             yield name, z.read(name)
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def _ours(files: DataFrame) -> DataFrame:
     return files.where(F.lower("path").rlike(r"\.(edf|zip)$"))
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return _ours(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
 def list_members(spark: SparkSession, path: str) -> DataFrame:
     """archive and filename of each EDF member; archives only are opened, and only their directories are read through."""
 
@@ -128,7 +131,12 @@ def list_members(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_recordings(spark: SparkSession, path: str) -> DataFrame:
-    """One row per recording, with its signals; `error` says what was wrong with a file that has none."""
+    """One row per recording under a path, with its signals; `error` says what was wrong with a file that has none."""
+    return parse_files(_files(spark, path))
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """Recordings of the files (path, content) of a batch or a stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +163,7 @@ def read_recordings(spark: SparkSession, path: str) -> DataFrame:
 
     event = pa.struct([("onset", pa.float64()), ("duration", pa.float64()), ("description", pa.string())])
     _schema = pa.schema([("filename", pa.string()), ("sfreq", pa.float64()), ("n_samples", pa.int64()), ("channels", pa.list_(pa.string())), ("annotations", pa.list_(event)), ("signals", pa.list_(pa.list_(pa.float64()))), ("error", pa.string())])
-    return _files(spark, path).select("path", "content").mapInArrow(run, RECORDING)
+    return _ours(files).select("path", "content").mapInArrow(run, RECORDING)
 
 
 def recording_info(recordings: DataFrame) -> DataFrame:
