@@ -227,6 +227,7 @@ def repeated_strings(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     every = common.stash(gram_rows.mapInArrow(run, "id bigint, same bigint, first int, n int, far int, gram bigint, ends bigint"))
     several = every.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select(_again("gram").alias("k"))
     shared = common.stash(every.join(several, _again("gram") == F.col("k"), "left_semi"))
+    common.discard(every)
     classes = shared.groupBy("gram", "ends").agg(F.count("*").alias("c"), F.min(F.struct("id", "same", "first", "n", "far")).alias("one"))
     classes = common.stash(classes.where("c > 1"))
     met = (_again("gram") == F.col("k")) & (F.col("ends") == F.col("e"))
@@ -243,7 +244,9 @@ def repeated_strings(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     alone = strings.where("part < 0").drop("held")
     twice = alone.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select(_again("bucket").alias("k"))
     split = alone.where("single").join(twice, _again("bucket") == F.col("k"), "left_semi").select("id", "same", "first", F.lit(1).alias("n"))
-    return common.stash(whole.union(cold).union(split))
+    runs = common.stash(whole.union(cold).union(split))
+    common.discard(shared, classes, single, strings)
+    return runs
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
