@@ -120,6 +120,7 @@ def fit(classes: DataFrame, dims: int, cosine: float, recall: float, sample: int
     """Codebooks from a bounded sample of the classes of `dims` components; reach from a bounded set of searches over all of them."""
     spark = classes.sparkSession
     own = classes.where(F.col("dims") == dims)
+    sample = min(sample, (32 << 20) // (8 * dims) + 1)  # 32 MB of numbers at most come to the driver
     size = own.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n
     rows = own.orderBy(F.xxhash64("class"), "class").limit(sample).select("label", "class", "vector").collect()
     x = unit(np.array([r.vector for r in rows], np.float64))
