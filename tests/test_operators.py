@@ -143,7 +143,7 @@ def test_micro_units_and_tops(spark):
     ("path", "want"),
     [
         ("ALS05/time5/scenario4/EEG.edf", ("ALS", "ALS05", "time5", "scenario4")),
-        ("EEGET-ALS Dataset/ALS05/time5/scenario4/EEG.edf", ("ALS", "ALS05", "time5", "scenario4")),
+        ("My-ALS Dataset/ALS05/time5/scenario4/EEG.edf", ("ALS", "ALS05", "time5", "scenario4")),
         ("id9/time1/scenario4/EEG.edf", ("Normal", "id9", "time1", "scenario4")),
         ("a\\id9\\time1\\scenario4\\EEG.EDF", ("Normal", "id9", "time1", "scenario4")),
         ("ALS/ALS01_time1_scenario1/EEG.edf", ("ALS", "ALS01_time1_scenario1", "", "")),
