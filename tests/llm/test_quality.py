@@ -45,7 +45,7 @@ def test_held_out_accuracy_and_order_of_thresholds(spark):
 def test_the_fit_does_not_depend_on_partitions_and_obeys_its_sample(spark):
     docs, labels = made(120)
     a, b = (Q.fit(spark.createDataFrame(docs, DOCS).repartition(n), spark.createDataFrame(labels, LABELS).repartition(n), Q.grade_of_labels(), sample=60) for n in (1, 4))
-    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.thresholds, b.thresholds)
+    assert np.array_equal(a.features, b.features) and np.array_equal(a.weights, b.weights) and np.array_equal(a.thresholds, b.thresholds)
 
 
 def test_odd_rows(spark):

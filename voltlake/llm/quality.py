@@ -33,12 +33,14 @@ SAMPLE = 12_000
 EPOCHS, RATE, LASSO = 300, 0.05, 3e-4
 #: A feature of fewer training rows has no weight.
 LEAST_ROWS = 3
+#: Bytes of text that are hashed at once: some twenty arrays of as many numbers.
+SLICE = 1 << 18
 #: A document is kept if it is likelier than this to be above the lowest grade it must pass.
 KEEP = 0.5
 
 
 def words_hashed(raws: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Features, and the text each belongs to, in order of texts.
+    """Features, and the text each belongs to.
 
     Words are what ASCII blanks divide, lower-cased, with marks taken out; the marks of a word are a feature of
     their own, so junk such as '!!' or '|' after each word stands out. Two more are the share (in quarters, from the
@@ -68,21 +70,23 @@ def words_hashed(raws: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.nd
     level = [4 * np.bincount(docs[x], minlength=len(raws)) // n for x in (again, loud)]
     some = [np.flatnonzero(x) for x in level]
     shift = np.uint64(64 - bits)
-    features = np.concatenate((letters >> shift, marks[has_marks] >> shift, *(common.mix((x[i] + 1000 * (k + 1)).astype(np.uint64)) >> shift for k, (x, i) in enumerate(zip(level, some, strict=True)))))
-    of = np.concatenate((docs, docs[has_marks], *some))
-    order = np.argsort(of, kind="stable")
-    return features[order].astype(np.int64), of[order]
+    found = np.concatenate((letters >> shift, marks[has_marks] >> shift, *(common.mix((x[i] + 1000 * (k + 1)).astype(np.uint64)) >> shift for k, (x, i) in enumerate(zip(level, some, strict=True)))))
+    return found.astype(np.int64), np.concatenate((docs, docs[has_marks], *some))
 
 
 def vectors(raws: list[bytes], bits: int = BITS) -> list[np.ndarray]:
     """The distinct features of each text. Whether a feature occurs counts, not how often: length alone says nothing."""
-    features, of = words_hashed(raws, bits)
-    ends = np.searchsorted(of, np.arange(len(raws) + 1))
+    found, of = words_hashed(raws, bits)
+    order = np.argsort(of, kind="stable")
+    features, ends = found[order], np.searchsorted(of[order], np.arange(len(raws) + 1))
     return [np.unique(features[a:b]).astype(np.int32) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 @dataclass
 class Model:
+    """The features that have a weight (sorted), their weights, and the thresholds."""
+
+    features: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
     keep: float = KEEP
@@ -90,7 +94,13 @@ class Model:
 
     def tails(self, raws: list[bytes]) -> np.ndarray:
         """P(grade > k) of each text, a column for each k."""
-        scores = np.array([float(self.weights[f].sum()) for f in vectors(raws, self.bits)]).reshape(-1)
+        scores = np.zeros(len(raws))
+        if len(self.features):
+            found, of = words_hashed(raws, self.bits)
+            at = np.minimum(np.searchsorted(self.features, found), len(self.features) - 1)
+            known = self.features[at] == found
+            once = np.unique(of[known] * len(self.features) + at[known])
+            scores = np.bincount(once // len(self.features), self.weights[once % len(self.features)], minlength=len(raws))
         return _sigmoid(scores[:, None] - self.thresholds)
 
 
@@ -136,9 +146,8 @@ def fit_rows(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: in
         step_size = RATE * lasso / (np.sqrt(v[: len(used)] / (1 - 0.99**step)) + 1e-8)
         w = np.minimum(w + step_size, 0) if against else np.sign(w) * np.maximum(np.abs(w) - step_size, 0)
         thresholds = np.sort(thresholds + move[len(used) :])
-    full = np.zeros(1 << bits, np.float32)
-    full[used] = w
-    return Model(full, thresholds, bits=bits)
+    some = np.flatnonzero(w)
+    return Model(used[some].astype(np.int64), w[some], thresholds, bits=bits)
 
 
 def fit(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int = 3, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, bits: int = BITS) -> Model:
@@ -151,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int = 3, ke
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", SLICE):
             of = vectors(common.texts(batch, "text"), bits)
             blob = pa.array([f.tobytes() for f in of], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("grade"), blob], ["key", "grade", "blob"])
@@ -163,23 +172,18 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int = 3, ke
         table = pa.Table.from_batches(list(batches), schema=pa.schema([("key", pa.string()), ("grade", pa.int32()), ("blob", pa.binary())])).sort_by("key")
         rows = [np.frombuffer(b, np.int32) for b in table.column("blob").to_pylist()]
         model = fit_rows(rows, np.clip(table.column("grade").to_numpy(), 0, n_grades - 1), n_grades, bits)
-        at = np.flatnonzero(model.weights)
-        yield pa.RecordBatch.from_pylist([{"at": at.astype(np.int32).tobytes(), "weights": model.weights[at].tobytes(), "thresholds": model.thresholds.tobytes()}])
+        yield pa.RecordBatch.from_pylist([{"at": model.features.tobytes(), "weights": model.weights.tobytes(), "thresholds": model.thresholds.tobytes()}])
 
     one = made.select(F.col("key").cast("string").alias("key"), "grade", "blob").coalesce(1).mapInArrow(train, "at binary, weights binary, thresholds binary").collect()
-    weights = np.zeros(1 << bits, np.float32)
-    if not one:
-        return Model(weights, np.full(n_grades - 1, -np.inf), bits=bits)
-    weights[np.frombuffer(one[0].at, np.int32)] = np.frombuffer(one[0].weights, np.float32)
-    thresholds = np.frombuffer(one[0].thresholds, np.float64)
-    return Model(weights, thresholds if weights.any() else np.full(n_grades - 1, -np.inf), bits=bits)
+    at, weights, thresholds = (np.frombuffer(one[0][c], t) if one else np.zeros(0, t) for c, t in (("at", np.int64), ("weights", np.float64), ("thresholds", np.float64)))
+    return Model(at, weights, thresholds if weights.any() else np.full(n_grades - 1, -np.inf), bits=bits)
 
 
 def _run(model: Model, df: DataFrame, text: str, into, schema) -> DataFrame:  # noqa: ANN001
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, text):
+        for batch in common.slices(batches, text, SLICE):
             yield into(batch, shared.value, shared.value.tails(common.texts(batch, text)))
 
     return df.mapInArrow(run, schema)
