@@ -13,7 +13,7 @@ SCHEMA = "doc_id bigint, text string, ids string, start string, key string"
 @pytest.fixture(scope="module")
 def reference():
     with open(RANKS, "rb") as f:
-        return tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks=bpe.Tokenizer(f.read(), PATTERN).encoding._mergeable_ranks, special_tokens={})
+        return tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks=bpe.Tokenizer(f.read(), PATTERN).encoding()._mergeable_ranks, special_tokens={})
 
 
 def texts():

@@ -14,8 +14,10 @@ name are ignored, so none can clash), and returns one row per input row: the key
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -31,19 +33,28 @@ _built: dict[tuple[int, str], Tokenizer] = {}
 
 
 class Tokenizer:
-    """The encoder of a rank file: tiktoken's merges, and the pattern for boundaries between chunks."""
+    """The encoder of a rank file: tiktoken's merges (built when first asked for), and the pattern for boundaries between chunks."""
 
     def __init__(self, rank_file: bytes, pattern: str):
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.encode = self.encoding.encode_ordinary
+        self.encoding = cache(lambda: tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))
         self.pieces = regex.compile(pattern)
-        self.bytes = [b""] * (1 + max(ranks.values(), default=0))
-        for token, rank in ranks.items():
-            self.bytes[rank] = token
-
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+        # All tokens one after the other, by rank, and where each begins.
+        by_rank = {rank: token for token, rank in ranks.items()}
+        tokens = [by_rank.get(r, b"") for r in range(1 + max(by_rank, default=0))]
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encoding().encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.int32)
+
+    def decode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The raw bytes of all ids, and where the bytes of each one begin (and at last the end)."""
+        sizes = self.sizes[ids]
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
+        take = np.arange(ends[-1]) + np.repeat(self.starts[ids] - ends[:-1], sizes)
+        return self.bytes[take].tobytes(), ends
 
     def cuts(self, text: str, zones: list[range]) -> list[int]:
         """Boundaries of the pre-tokens of `text` in `zones` at which two chunks may be joined.
@@ -77,8 +88,9 @@ def load_ranks(df: DataFrame, ranks_path: str, pattern: str) -> Broadcast:
     return df.sparkSession.sparkContext.broadcast((rank_file, pattern))
 
 
-def _ids(rows: Iterable[list[int]]) -> pa.Array:
-    return pa.array(rows, pa.list_(pa.int32()))
+def _ids(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate((np.zeros(1, np.int32), np.cumsum([len(r) for r in rows], dtype=np.int32)))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)])))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> DataFrame:
@@ -114,11 +126,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
             for start, t in zip(batch.column("start").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 own = bpe.cuts(t, [range(1, overlap + 1), range(chunk_chars + 1, len(t))])
                 cuts.append([start + p for p in own])
-                counts.append([])
-                ids.append([])
-                for a, b in zip([0, *own], [*own, len(t)], strict=True):
-                    ids[-1] += bpe.encode(t[a:b])
-                    counts[-1].append(len(ids[-1]))
+                pieces = [bpe.encode(t[a:b]) for a, b in zip([0, *own], [*own, len(t)], strict=True)]
+                counts.append(np.cumsum([len(p) for p in pieces], dtype=np.int32))
+                ids.append(np.concatenate(pieces))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("row"), batch.column("start"), pa.array(cuts, pa.list_(pa.int64())), _ids(counts), _ids(ids)],
                 ["key", "row", "start", "cuts", "counts", "ids"],
@@ -127,8 +137,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     def stitch(group: pa.Table) -> pa.Table:
         bpe = tokenizer(ranks)
         group = group.sort_by("start")
-        chunks = list(zip(*(group.column(c).to_pylist() for c in ("start", "cuts", "counts", "ids")), strict=True))
-        out: list[int] = []
+        chunks = [(*(group.column(c)[i].as_py() for c in ("start", "cuts", "counts")), group.column("ids")[i].values.to_numpy()) for i in range(group.num_rows)]
+        out: list[np.ndarray] = []
         # The chunk that is open: its ids from `begin` on, or (joined) the text from `base` on.
         start, cuts, counts, ids = chunks[0]
         begin, joined, base = 0, None, 0
@@ -137,16 +147,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
             common_cuts = [p for p in cuts if p in at and p >= nxt[0]]
             if common_cuts:
                 p = common_cuts[0]
-                out += bpe.encode("".join(joined)[: p - base]) if joined is not None else ids[begin : counts[cuts.index(p)]]
+                out.append(bpe.encode("".join(joined)[: p - base]) if joined is not None else ids[begin : counts[cuts.index(p)]])
                 (start, cuts, counts, ids), begin, joined = nxt, at[p], None
                 continue
             if joined is None:
-                text = bpe.decode(ids[begin:]).decode()
+                text = bpe.decode(ids[begin:])[0].decode()
                 joined, base = [text], start + chunk_chars + overlap - len(text)
-            joined.append(bpe.decode(nxt[3]).decode()[overlap:])
+            joined.append(bpe.decode(nxt[3])[0].decode()[overlap:])
             start, cuts = nxt[0], nxt[1]
-        out += bpe.encode("".join(joined)) if joined is not None else ids[begin:]
-        return pa.table({"key": group.column("key").slice(0, 1), "ids": _ids([out])})
+        out.append(bpe.encode("".join(joined)) if joined is not None else ids[begin:])
+        return pa.table({"key": group.column("key").slice(0, 1), "ids": _ids([np.concatenate(out)])})
 
     out = f"key {key_type}, ids array<int>"
     short = rows.where(whole).mapInArrow(encode_whole, out)
@@ -168,9 +178,11 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(ranks)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                raw = pa.array([bpe.decode(x) for x in some.column("ids").to_pylist()], pa.binary())
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                data, ends = bpe.decode(some.column("ids").flatten().to_numpy())
+                rows = ends[np.concatenate((np.zeros(1, np.int64), np.cumsum(some.column("ids").value_lengths().to_numpy())))].tolist()
+                raw = pa.array([data[a:b] for a, b in zip(rows[:-1], rows[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([some.column("key"), some.column("ids"), raw], ["key", "ids", "decoded"])
 
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, ids array<int>, decoded binary").withColumnRenamed("key", key)
