@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
 from voltlake.llm import embeddings as E
 
@@ -56,3 +57,20 @@ def test_recall_on_the_given_table(spark):
 
 def test_empty_table(spark):
     assert E.link(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("sample", [E.SAMPLE, 600])
+def test_rare_planted_pairs_are_all_found_with_more_vectors_than_probes(spark, sample):
+    """With 600 sampled vectors too few have a link to measure anything, and the triangle bound decides."""
+    rng = np.random.default_rng(3)
+    x = E.unit(rng.normal(size=(2500, 64)))
+    cos = rng.uniform(0.935, 0.96, size=(60, 1))
+    away = rng.normal(size=(60, 64))
+    away = E.unit(away - (away * x[:60]).sum(1, keepdims=True) * x[:60])
+    x = np.concatenate((x, cos * x[:60] + np.sqrt(1 - cos**2) * away)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist(), 1, "a", "b", "c", "d") for i, v in enumerate(x)], SCHEMA).repartition(3)
+    got = {(r.vec_id, r.component_id) for r in E.link(frame, sample=sample).collect() if r.n_links}
+    y = E.unit(x.astype(np.float64))
+    a, b = np.nonzero(np.triu(y @ y.T >= E.COSINE, 1))
+    assert len(a) >= 60
+    assert got == {(int(i), int(i)) for i in a} | {(int(j), int(i)) for i, j in zip(a, b)}

@@ -3,8 +3,10 @@
 The two halves of the unit vectors have a codebook each; a pair of code words is a cell of the product grid. A vector's
 search visits cells in the order of the sum of its squared distances to both code words (multi-sequence traversal) until
 the target recall, and verifies every vector in them by cosine in double precision. How far that has to go is measured:
-bounded samples of vectors are held against all others, and of the links they have, the target share must lie within the
-cells that the traversal visits. A link is looked for from both its ends.
+sampled vectors are held against all others, more of them until `LINKED` have a link, and of the links they have, the
+target share must lie within the cells that the traversal visits. Where the sample has too few linked vectors and isn't
+the whole table, nothing is guessed: larger cells are visited as far as the triangle inequality lets a partner lie, which
+misses no link. A link is looked for from both its ends.
 
 `link` compares all rows with equal labels and returns one row per vector row: vec_id, n_links (other vectors linked
 directly), component_id (least vec_id reachable) and kept. Columns of any other name are ignored.
@@ -35,6 +37,8 @@ from .components import components
 
 COSINE = 0.93
 SAMPLE, PROBES, ROUNDS = 16_384, 512, 12
+#: Sampled vectors with a link, from which the reach of a search is taken; with fewer, it is the triangle bound.
+LINKED = 256
 #: Vectors per cell to aim at, code words of a half at most, and vectors of a cell that one task holds at once.
 PER_CELL, CODES, BLOCK = 4, 1024, 512
 #: Share of the sample's links that the traversal must reach, and by how much further it goes than they need.
@@ -51,6 +55,13 @@ def _nearest(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(1)[:, None] - 2 * x @ codes.T + (codes**2).sum(1), 0)
 
 
+def _beyond(d: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Squared distance of each row to the plane between its nearest code word and each other, given its squared distances to all."""
+    own = d.argmin(1)
+    apart = np.sqrt(_nearest(codes, codes))[own]
+    return (np.where(apart > 0, d - d.min(1, keepdims=True), 0) / np.where(apart > 0, 2 * apart, 1)) ** 2
+
+
 def codebook(x: np.ndarray, size: int, rounds: int = ROUNDS) -> np.ndarray:
     """k-means; a code word that nothing is near starts again at the vector that is farthest off."""
     start = np.linspace(0, len(x) - 1, min(size, len(x))).astype(int)
@@ -69,11 +80,17 @@ def codebook(x: np.ndarray, size: int, rounds: int = ROUNDS) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Codebooks of both halves, and how far beyond its nearest cell a search goes (in squared distance)."""
+    """Codebooks of both halves, and how far beyond its nearest cell a search goes (in squared distance).
+
+    With `bound`, the squared distance of partners at most, a search goes to every cell that may hold one. A partner in the
+    cell of another code word lies beyond the plane midway between that word and the nearest; the squared distances to
+    these planes, one in each half, add up to `bound` at most.
+    """
 
     left: np.ndarray
     right: np.ndarray
     reach: float = 0.0
+    bound: float | None = None
 
     def parts(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         half = self.left.shape[1]
@@ -86,14 +103,17 @@ class Index:
     def visited(self, x: np.ndarray) -> list[np.ndarray]:
         """Cells of each vector's multi-sequence traversal, nearest first, up to `reach` beyond the nearest."""
         a, b = self.parts(x)
+        reach = self.reach
+        if self.bound is not None:
+            a, b, reach = _beyond(a, self.left), _beyond(b, self.right), self.bound + 1e-9
         first, second = np.argsort(a, axis=1, kind="stable"), np.argsort(b, axis=1, kind="stable")
         out = []
         for i in range(len(x)):
             da, db = a[i][first[i]], b[i][second[i]]
             da, db = da - da[0], db - db[0]
-            m, n = np.searchsorted(da, self.reach, side="right"), np.searchsorted(db, self.reach, side="right")
+            m, n = np.searchsorted(da, reach, side="right"), np.searchsorted(db, reach, side="right")
             total = da[:m, None] + db[None, :n]
-            r, c = np.nonzero(total <= self.reach)
+            r, c = np.nonzero(total <= reach)
             order = np.argsort(total[r, c], kind="stable")
             out.append(first[i][r[order]] * len(self.right) + second[i][c[order]])
         return out
@@ -117,23 +137,25 @@ def _by_dims(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
 
 
 def fit(classes: DataFrame, dims: int, cosine: float, recall: float, sample: int = SAMPLE, probes: int = PROBES) -> Index:
-    """Codebooks from a bounded sample of the classes of `dims` components; reach from a bounded set of searches over all of them."""
+    """Codebooks from a bounded sample of the classes of `dims` components; reach from searches of the sample over all of them, or a bound."""
     spark = classes.sparkSession
     own = classes.where(F.col("dims") == dims)
     sample = min(sample, (32 << 20) // (8 * dims) + 1)  # 32 MB of numbers at most come to the driver
-    size = own.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n
+    size, whole = own.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
     rows = own.orderBy(F.xxhash64("class"), "class").limit(sample).select("label", "class", "vector").collect()
     x = unit(np.array([r.vector for r in rows], np.float64))
-    codes = int(np.clip(np.sqrt(size / PER_CELL), 1, CODES))
     half = dims // 2
-    index = Index(codebook(x[:, :half], codes) if half else np.zeros((1, 0)), codebook(x[:, half:], codes))
-    some = slice(0, probes)
-    query = (x[some], np.array([r.label for r in rows[some]]), np.array([r["class"] for r in rows[some]]))
-    shared = spark.sparkContext.broadcast((index, query))
+
+    def codebooks(per_cell: int) -> tuple[np.ndarray, np.ndarray]:
+        codes = int(np.clip(np.sqrt(size / per_cell), 1, CODES))
+        return codebook(x[:, :half], codes) if half else np.zeros((1, 0)), codebook(x[:, half:], codes)
+
+    index = Index(*codebooks(PER_CELL))
+    labels, ids = np.array([r.label for r in rows]), np.array([r["class"] for r in rows])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, (q, labels, ids) = shared.value
-        found = []
+        found, linked = [], np.zeros(len(q), bool)
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
@@ -141,18 +163,34 @@ def fit(classes: DataFrame, dims: int, cosine: float, recall: float, sample: int
                 near = (q @ y.T >= cosine) & (labels[:, None] == part.column("label").to_numpy()) & (ids[:, None] != part.column("class").to_numpy())
                 a, b = np.nonzero(near)
                 if len(a):
+                    linked[a] = True
                     there = index.offsets(q[a], index.cells(y)[b])
                     back = index.offsets(y[b], index.cells(q)[a])
                     found.append(np.minimum(there, back))
         # A sketch of bounded size: offsets by steps, counted.
         steps, n = np.unique(np.ceil(np.concatenate([*found, np.zeros(0)]) * 200).astype(np.int64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(steps), pa.array(n)], ["step", "n"])
-
-    seen = own.select("label", "class", "vector").mapInArrow(measure, "step bigint, n bigint").groupBy("step").agg(F.sum("n").alias("n")).collect()
-    total, held = sum(r.n for r in seen), 0
-    for r in sorted(seen, key=lambda r: r.step):
-        held += r.n
-        index.reach = MARGIN * r.step / 200
+        # And the probes that have a link, numbered below 0.
+        which = -1 - np.flatnonzero(linked)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((which, steps))), pa.array(np.concatenate((np.ones_like(which), n)))], ["step", "n"])
+
+    begin, steps, linked = 0, {}, 0
+    while begin < len(x) and linked < LINKED:
+        some = slice(begin, max(probes, 4 * begin))
+        shared = spark.sparkContext.broadcast((index, (x[some], labels[some], ids[some])))
+        for r in own.select("label", "class", "vector").mapInArrow(measure, "step bigint, n bigint").groupBy("step").agg(F.sum("n").alias("n")).collect():
+            if r.step < 0:
+                linked += 1
+            else:
+                steps[r.step] = steps.get(r.step, 0) + r.n
+        shared.unpersist()
+        begin = min(some.stop, len(x))
+    if linked < LINKED and begin < whole:
+        left, right = codebooks(BLOCK)
+        return Index(left, right, bound=2 - 2 * cosine)
+    total, held = sum(steps.values()), 0
+    for step, n in sorted(steps.items()):
+        held += n
+        index.reach = MARGIN * step / 200
         if held >= recall * total:
             break
     return index
