@@ -86,3 +86,24 @@ def test_representatives_of_odd_rows(spark):
     rows = [(1, "a b c d e", "x", "s", 1), (1, "a b c d e", "y", "s", 1), (1, "quite another text here", "x", "s", 1), (None, "a b c d e", "x", "s", 1), (None, "nobody else says this", "x", "s", 1), (5, None, "x", "s", 1), (4, "", "x", "s", 1)]
     kept = simhash.representatives(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, [(1, "a b c d e"), (1, "quite another text here"), (None, "nobody else says this"), (4, "")]))
+
+
+def test_simhash_stage_finds_planted_copies_of_similarity_four_fifths(spark, folder):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows = []
+    for i in range(60):
+        a = [word() for _ in range(rng.choice([80, 200, 400]))]
+        b, c = list(a), list(a)
+        for j in range(0, len(b), 70):
+            b[j + 7] = word()
+        for j in range(0, len(c), 20):  # too many changes for the similarity, and only for that
+            c[j + 7] = word()
+        rows += [(3 * i, " ".join(a)), (3 * i + 1, " ".join(b)), (3 * i + 2, " ".join(c))]
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for d, t in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    fps = {d: test_simhash.fingerprint(t) for d, t in rows}
+    assert len(near) >= 60 and sum((fps[a] ^ fps[b]).bit_count() > 3 for a, b in near) > 30
+    roots = test_simhash.groups(near, list(sets))
+    frame = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA).repartition(3)
+    assert {r.doc_id for r in P.simhash_stage(spark, frame, folder).collect()} == {d for d in sets if roots[d] == d}

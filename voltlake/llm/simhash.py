@@ -13,6 +13,11 @@ are cut into five blocks, and fingerprints that agree in two blocks meet in a sh
 most three bits agree in two blocks at least, so every link is found in some shard. Each shard is a BK-tree of its own,
 built in the task that holds it. Copies are one fingerprint before anything is dealt out. A shard of over
 `SHARD` fingerprints is split into blocks, and each pair of blocks is a tree.
+
+`similar_representatives` links texts by the Jaccard similarity of their shingles instead. `BANDS` hashed signatures of
+each set, of `ROWS` least hashes each, name buckets: a pair at the limit of 0.8 shares none with a chance of 6e-7. Each
+bucket's members are first held against its least one, then all pairs of it that aren't in one component yet against each
+other; every pair is verified on the sets themselves.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ from .components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 SHARD = 4096
+#: Of sets of shingles: words in a shingle, similarity from which two are linked, signatures, and least hashes in each.
+SET_SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 3
 #: First bit and width of each block.
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 _LAST = (1 << 63) - 1
@@ -205,6 +212,86 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One document of each component, with all its columns: that of the least key (of several rows with it, one)."""
     _, named = _least(docs, key, text, size, radius)
+    return _kept(docs, named, key, text)
+
+
+def _kept(docs: DataFrame, named: DataFrame, key: str, text: str) -> DataFrame:
     kept = named.select("root", F.col("least.id").alias("__id"), F.col("least.same").alias("__same")).select("__id", "__same").distinct()
     rows = docs.withColumns({"__id": F.coalesce(F.col(key).cast("long"), F.lit(_LAST)), "__same": _same(text)})
     return rows.join(kept, ["__id", "__same"], "left_semi").dropDuplicates(["__id", "__same"]).select(docs.columns)
+
+
+_ODD = common.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))[:, None] | np.uint64(1)
+
+
+def shingle_set(text: bytes, size: int = SET_SHINGLE) -> np.ndarray:
+    """Distinct hashes of a text's shingles, in order."""
+    return np.unique(np.array(shingle_hashes(text, size), np.uint64))
+
+
+def signatures(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of a set; none for the empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    parts = [((hashes[i : i + 8192] ^ (hashes[i : i + 8192] >> np.uint64(29)) ^ _ODD) * _ODD).min(axis=1) for i in range(0, len(hashes), 8192)]
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in np.min(parts, axis=0).reshape(BANDS, ROWS).T:
+        keys = common.mix(keys ^ row) + np.arange(BANDS, dtype=np.uint64)
+    return keys
+
+
+def _verified(pairs: DataFrame, of: DataFrame, docs: DataFrame, key: str, text: str, size: int, similarity: float) -> DataFrame:
+    """Those of the pairs `a`, `b` of sets that are similar; of the sets only those that a pair has are made again."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    first = of.join(asked.select(F.bitwise_not("set").alias("k")), F.bitwise_not("set") == F.col("k"), "left_semi").groupBy("set").agg(F.min(F.struct("id", "same")).alias("first"))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("id"), _same(text).alias("same"), F.col(text).alias("text"))
+    rows = rows.join(first.select("set", "first.id", "first.same"), ["id", "same"]).select("set", "text").dropDuplicates(["set"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text"):
+            found = [shingle_set(t, size).view(np.int64) for t in common.texts(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array(found, pa.list_(pa.int64()))], ["set", "shingles"])
+
+    made = common.stash(rows.mapInArrow(sets, "set bigint, shingles array<bigint>"))
+    side = lambda c, k: made.select(F.bitwise_not("set").alias(k), F.col("shingles").alias(c))
+    both = pairs.join(side("x", "kx"), F.bitwise_not("a") == F.col("kx")).join(side("y", "ky"), F.bitwise_not("b") == F.col("ky")).select("a", "b", "x", "y")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return common.stash(both.mapInArrow(compare, "a bigint, b bigint"))
+
+
+def similar_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SET_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each component of texts of which the shingles have at least this Jaccard similarity, as `representatives` does."""
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("id"), _same(text).alias("same"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text"):
+            found = [shingle_set(t, size) for t in common.texts(batch, "text")]
+            names = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], np.uint64).view(np.int64)
+            bands = [signatures(x).view(np.int64) for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("same"), pa.array(names), pa.array(bands, pa.list_(pa.int64()))], ["id", "same", "set", "bands"])
+
+    of = common.stash(rows.mapInArrow(run, "id bigint, same bigint, set bigint, bands array<bigint>"))
+    classes = of.groupBy("set").agg(F.min(F.struct("id", "same")).alias("first"), F.first("bands").alias("bands"))
+    member = classes.select("set", F.explode("bands").alias("band"))
+    least = member.groupBy("band").agg(F.min("set").alias("b"), F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("band").alias("k"), "b")
+    met = common.stash(member.join(least, F.bitwise_not("band") == F.col("k")).select("band", F.col("set").alias("a"), "b"))
+    edges = _verified(common.stash(met.where("a <> b").select("a", "b").distinct()), of, docs, key, text, size, similarity)
+    # What the least ones don't hold together: pairs of a bucket in different components, those with the least one left out.
+    roots = common.stash(components(edges))
+    apart = met.join(roots.select(F.bitwise_not("node").alias("k"), "root"), F.bitwise_not("a") == F.col("k"), "left").select("band", "a", "b", F.coalesce("root", "a").alias("root"))
+    other = apart.select(F.bitwise_not("band").alias("k"), F.col("a").alias("c"), F.col("root").alias("root_c"))
+    rest = apart.where("a <> b").join(other, (F.bitwise_not("band") == F.col("k")) & (F.col("a") > F.col("c")) & (F.col("b") < F.col("c")) & (F.col("root") != F.col("root_c")))
+    rest = common.stash(rest.select("a", F.col("c").alias("b")).distinct())
+    edges = edges.union(_verified(rest, of, docs, key, text, size, similarity))
+    roots = components(edges)
+    rooted = common.stash(classes.join(roots, classes["set"] == roots["node"], "left").select("first", F.coalesce("root", "set").alias("root")))
+    return _kept(docs, rooted.groupBy("root").agg(F.min("first").alias("least")), key, text)
