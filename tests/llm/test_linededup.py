@@ -53,3 +53,12 @@ def test_repeated_rows_share_their_fate_and_empty_tables(spark):
     assert sorted((r.doc_id, r.n_removed) for r in L.marks(frame).collect()) == [(1, 0), (1, 0), (2, 1)]
     empty = spark.createDataFrame([], SCHEMA)
     assert L.marks(empty).collect() == [] and L.clean(empty).collect() == []
+
+
+def test_rows_without_a_key_or_with_a_repeated_one_lose_only_their_own_lines(spark):
+    again = "this long line stands in several rows"
+    own = ["what only the first of them says here", "and the second one has this to tell", "nobody but the third wrote that down", "words of the fourth row and no other"]
+    near = ["a line of the third that differs by x", "a line of the third that differs by y"]
+    texts = [(1, again), (None, own[0] + "\n" + again), (None, own[1] + "\n" + own[2]), (None, near[0]), (2, near[1]), (7, own[3]), (7, again)]
+    frame = spark.createDataFrame([(i, t, "l", "s", len(t), "a", "b", "c") for i, t in texts], SCHEMA).repartition(3)
+    assert sorted(r.text for r in L.clean(frame).collect()) == sorted([again, own[0], own[1] + "\n" + own[2], near[1], own[3]])

@@ -1,6 +1,6 @@
 """Line deduplication: a line goes if an equal line, or one within one edit, stands earlier in the corpus.
 
-Earlier means a lower (key, line number); null keys come last. Lines are what '\\n' divides; a line counts without the
+Earlier means a lower (key, line number), null keys last. Lines are what '\\n' divides; a line counts without the
 blanks at its ends, and one of fewer than `MIN_CHARS` characters is never removed. An edit is one character inserted,
 deleted or replaced. "Earlier" looks at all lines, kept or not, so the result doesn't depend on an order of work.
 
@@ -9,7 +9,9 @@ without one character, in the part that may differ) as hashed keys. Equal varian
 that become equal by deletions at one place differ by one replacement. Each key keeps its earliest line only, so no
 bucket is paired out, and each pair found is verified by its edit distance.
 
-* null text stays null, empty text empty; repeated rows and rows that share a key (or have none) share their fate
+* null text stays null, empty text empty; repeated rows (equal key and text) share their fate
+* rows are told apart by key and text: of different texts that share a key, or have none, each loses its own lines; of two
+  such lines with equal numbers, a hash of the whole text says which is the earlier
 * a long text is as many lines as it has; a long line emits as many variants as it has characters
 * columns of any other name are ignored by `marks`, and kept by `clean`; an empty table gives an empty result
 """
@@ -28,12 +30,14 @@ from . import common
 MIN_CHARS = 20
 #: Parts in which a line is searched for the one that an edit stands in, before variants of that part are emitted.
 PARTS = 16
+#: What tells a line's place; places are compared in this order.
+_PLACE = ["id", "no", "same"]
 _LAST = (1 << 63) - 1
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id (the key, null last), no, line; of all lines that are long enough."""
-    split = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("no", "line"))
+    """id (the key, null last), same (a hash of the whole text), no, line; of all lines that are long enough."""
+    split = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("same"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("no", "line"))
     return split.withColumn("line", F.trim("line")).where(F.length("line") >= MIN_CHARS)
 
 
@@ -109,7 +113,7 @@ def variant_keys(line: str, places: list[tuple[int, int]]) -> list[np.ndarray]:
 
 
 def _parts(survivors: DataFrame) -> DataFrame:
-    """id, no, size, part, around: of each line as the shorter and as the longer one of a pair, each part and what is around it."""
+    """Place, size, part, around: of each line as the shorter and as the longer one of a pair, each part and what is around it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "line", 1 << 18):
@@ -121,20 +125,19 @@ def _parts(survivors: DataFrame) -> DataFrame:
             take = pa.array(np.repeat(np.arange(batch.num_rows), 2 * PARTS))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id").take(take),
-                    batch.column("no").take(take),
+                    *(batch.column(c).take(take) for c in _PLACE),
                     pa.array(np.repeat(np.array(sizes, np.int32), PARTS)),
                     pa.array(np.tile(np.arange(PARTS, dtype=np.int32), len(sizes))),
                     pa.array(np.concatenate(around).view(np.int64)),
                 ],
-                ["id", "no", "size", "part", "around"],
+                [*_PLACE, "size", "part", "around"],
             )
 
-    return survivors.select("id", "no", "line").mapInArrow(run, "id bigint, no int, size int, part int, around bigint")
+    return survivors.select(*_PLACE, "line").mapInArrow(run, "id bigint, no int, same bigint, size int, part int, around bigint")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """id, no, variant, role of lines with `places`."""
+    """Place, variant, role of lines with `places`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "line", 1 << 16):
@@ -142,49 +145,50 @@ def _variants(lines: DataFrame) -> DataFrame:
             take = pa.array(np.repeat(np.arange(len(keys)), [sum(map(len, k)) for k in keys]))
             role = np.concatenate([np.repeat(np.arange(3, dtype=np.int8), [len(x) for x in k]) for k in keys])
             values = np.concatenate([x for k in keys for x in k]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("no").take(take), pa.array(values), pa.array(role)], ["id", "no", "variant", "role"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in _PLACE), pa.array(values), pa.array(role)], [*_PLACE, "variant", "role"])
 
-    return lines.select("id", "no", "line", "places").mapInArrow(run, "id bigint, no int, variant bigint, role tinyint")
+    return lines.select(*_PLACE, "line", "places").mapInArrow(run, "id bigint, no int, same bigint, variant bigint, role tinyint")
 
 
 def near_pairs(lines: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Of distinct lines with an earlier one within one edit: id, no of its first place, and of that one's (other_id, other_no)."""
+    """Of distinct lines with an earlier one within one edit: its first place, and that one's (other_id, other_no, other_same)."""
     keyed = distinct.select("first", F.explode(F.array_distinct("halves")).alias("half"))
     shared = keyed.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select(_again("half").alias("k"))
-    places = keyed.join(shared, _again("half") == F.col("k"), "left_semi").select("first.id", "first.no").distinct()
-    survivors = common.stash(lines.join(places, ["id", "no"], "left_semi").dropDuplicates(["id", "no"]))
+    places = keyed.join(shared, _again("half") == F.col("k"), "left_semi").select("first.*").distinct()
+    survivors = common.stash(lines.join(places, _PLACE, "left_semi").dropDuplicates(_PLACE))
     parts = _parts(survivors)
     met = parts.groupBy("around").agg(F.count("*").alias("n")).where("n > 1").select(_again("around").alias("k"))
-    narrowed = parts.join(met, _again("around") == F.col("k"), "left_semi").groupBy("id", "no").agg(F.collect_set(F.struct("size", "part")).alias("places"))
-    rows = common.stash(_variants(survivors.join(narrowed, ["id", "no"])))
-    place = F.struct("id", "no")
+    narrowed = parts.join(met, _again("around") == F.col("k"), "left_semi").groupBy(*_PLACE).agg(F.collect_set(F.struct("size", "part")).alias("places"))
+    rows = common.stash(_variants(survivors.join(narrowed, _PLACE)))
+    place = F.struct(*_PLACE)
     earliest = rows.groupBy("variant").agg(*(F.min(F.when(F.col("role") == r, place)).alias(f"r{r}") for r in range(3)))
     # A key that only one line has is dropped before anything meets.
     earliest = earliest.where("(r0 is not null and r1 is not null) or r2 is not null").select(_again("variant").alias("k"), "r0", "r1", "r2")
     partner = F.when(F.col("role") == 0, F.col("r1")).when(F.col("role") == 1, F.col("r0")).otherwise(F.col("r2"))
     found = rows.join(earliest, _again("variant") == F.col("k")).withColumn("other", partner).where(F.col("other") < place)
-    pairs = found.select("id", "no", F.col("other.id").alias("other_id"), F.col("other.no").alias("other_no")).distinct()
-    other = survivors.select(F.col("id").alias("other_id"), F.col("no").alias("other_no"), F.col("line").alias("other_line"))
-    both = pairs.join(survivors, ["id", "no"]).join(other, ["other_id", "other_no"])
-    return both.where(F.levenshtein("line", "other_line", 1).between(0, 1)).select("id", "no", "other_id", "other_no")
+    others = [f"other_{c}" for c in _PLACE]
+    pairs = found.select(*_PLACE, *(F.col(f"other.{c}").alias(f"other_{c}") for c in _PLACE)).distinct()
+    other = survivors.select(*(F.col(c).alias(f"other_{c}") for c in (*_PLACE, "line")))
+    both = pairs.join(survivors, _PLACE).join(other, others)
+    return both.where(F.levenshtein("line", "other_line", 1).between(0, 1)).select(*_PLACE, *others)
 
 
 def dropped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document that loses lines: id, and their numbers (0-based)."""
+    """Per document that loses lines: id, same, and their numbers (0-based)."""
     lines = _lines(docs, key, text)
-    places = lines.select("id", "no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("g"), _halves().alias("halves"))
-    distinct = common.stash(places.groupBy("h", "g").agg(F.min(F.struct("id", "no")).alias("first"), F.max(F.struct("id", "no")).alias("last"), F.first("halves").alias("halves")))
-    near = near_pairs(lines, distinct).select("id", "no").distinct().withColumn("near", F.lit(True))
-    verdict = distinct.select("h", "g", "first", "last", F.col("first.id").alias("id"), F.col("first.no").alias("no")).join(near, ["id", "no"], "left")
+    places = lines.select(*_PLACE, F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("g"), _halves().alias("halves"))
+    distinct = common.stash(places.groupBy("h", "g").agg(F.min(F.struct(*_PLACE)).alias("first"), F.max(F.struct(*_PLACE)).alias("last"), F.first("halves").alias("halves")))
+    near = near_pairs(lines, distinct).select(*_PLACE).distinct().withColumn("near", F.lit(True))
+    verdict = distinct.select("h", "g", "first", "last", "first.*").join(near, _PLACE, "left")
     verdict = verdict.where("near or first < last").select(_again("h").alias("k"), F.col("g").alias("g2"), "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = places.select("id", "no", "h", "g").join(verdict, (_again("h") == F.col("k")) & (F.col("g") == F.col("g2"))).where(F.col("near") | (F.struct("id", "no") > F.col("first")))
-    return gone.groupBy("id").agg(F.array_sort(F.collect_set("no")).alias("gone"))
+    gone = places.select(*_PLACE, "h", "g").join(verdict, (_again("h") == F.col("k")) & (F.col("g") == F.col("g2"))).where(F.col("near") | (F.struct(*_PLACE) > F.col("first")))
+    return gone.groupBy("id", "same").agg(F.array_sort(F.collect_set("no")).alias("gone"))
 
 
 def _rebuilt(docs: DataFrame, key: str, text: str) -> DataFrame:
     """All columns of docs and `__gone`, the numbers of lines to drop, with `text` without them."""
-    gone = dropped(docs, key, text).withColumnsRenamed({"id": "__id", "gone": "__gone"})
-    joined = docs.join(gone, F.coalesce(F.col(key).cast("long"), F.lit(_LAST)) == F.col("__id"), "left").drop("__id")
+    gone = dropped(docs, key, text).withColumnsRenamed({"id": "__id", "same": "__same", "gone": "__gone"})
+    joined = docs.join(gone, (F.coalesce(F.col(key).cast("long"), F.lit(_LAST)) == F.col("__id")) & (F.xxhash64(text) == F.col("__same")), "left").drop("__id", "__same")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, text):
