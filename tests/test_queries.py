@@ -26,3 +26,9 @@ def test_the_plan_reads_only_what_it_needs_and_joins_once(spark):
     assert "l_tax" not in plan and "s_name" not in plan and "CartesianProduct" not in plan
     filtered = QUERIES["filter_chain"](spark, oracle.SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert filtered.rfind("Filter") > filtered.find("Aggregate")  # filters on keys go below the aggregation
+
+
+def test_queries_over_signals_take_all_of_them(spark):
+    vectors = spark.read.parquet(f"{oracle.SF_DIR}/embeddings.parquet").count()
+    assert QUERIES["psd_treatments"](spark, oracle.SF_DIR).select("channel").distinct().count() == vectors
+    assert QUERIES["notebook_long_features"](spark, oracle.SF_DIR).select("filename", "channel").distinct().count() == vectors

@@ -267,7 +267,7 @@ add("subband_features", lambda s, d: features.subband_features(b.signals(s, d).s
 add("bandpass_fir", lambda s, d: signal.fir_bandpass(b.signals(s, d), 1.0, 40.0).select("vec_id", F.posexplode("samples").alias("i", "x")))
 add("notch", lambda s, d: signal.notch(b.signals(s, d), 50.0).select("vec_id", F.posexplode("samples").alias("i", "x")))
 add("welch_psd", lambda s, d: signal.psd(b.signals(s, d)))
-add("psd_treatments", lambda s, d: signal.psd_by_treatment(b.signals(s, d).where("vec_id < 50")))
+add("psd_treatments", lambda s, d: signal.psd_by_treatment(b.signals(s, d)))
 add("ica_clean", lambda s, d: signal.clean_ica(b.signals(s, d).withColumn("filename", F.floor(F.col("vec_id") / 8).cast("string")).select("filename", "sfreq", "channel", "samples")).select("filename", "channel", F.posexplode("samples").alias("i", "x")), digits=3)
 _NS = "sg AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), ns AS (SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN e[9:32] || e[17:48] WHEN 1 THEN e[5:20] ELSE e END AS piece, CASE vec_id % 3 WHEN 0 THEN 'Resting' WHEN 1 THEN 'Think_Acting' ELSE 'full_recording' END AS task FROM sg)"
 
@@ -286,7 +286,7 @@ add("notebook_segments", _slices, [_NS], "SELECT vec_id, task, len(piece) AS n,
 
 
 def _long_pipelines(spark: SparkSession, d: str) -> DataFrame:
-    own = b.signals(spark, d).where("vec_id % 4 < 2").select(F.floor(F.col("vec_id") / 4).cast("string").alias("filename"), "sfreq", F.when(F.col("vec_id") % 2 == 0, "C3").otherwise("C4").alias("channel"), "samples")
+    own = b.signals(spark, d).select(F.floor(F.col("vec_id") / 2).cast("string").alias("filename"), "sfreq", F.when(F.col("vec_id") % 2 == 0, "C3").otherwise("C4").alias("channel"), "samples")
     none = own.select("filename", F.lit(0).alias("annot_idx"), F.lit(0.0).alias("onset"), F.lit(0.0).alias("duration"), F.lit("x").alias("description")).limit(0)
     return features.pipelines(own, none, ["C3", "C4"], {k: config.SUBBANDS[k] for k in ("Theta", "Alpha", "Beta")})
 
