@@ -67,3 +67,20 @@ def test_empty_tables(spark):
     benchmark = spark.createDataFrame([], "item_id bigint, text string")
     assert D.digests(D.matches(docs, benchmark)).collect() == []
     assert D.clean(docs, benchmark).collect() == []
+
+
+def test_clean_by_blocks_equals_clean_by_one_and_items_without_an_id_count(spark):
+    w = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    one, two = w("one", 12), w("two", 12)
+    docs = [
+        (1, f"{one} {w('own', 16)} {two}"),  # 12 of 40 words by either, so together over the limit
+        (2, f"{w('own', 40)} {w('one', 6)} {two} {' '.join(one.split()[6:])} {w('own', 9)}"),  # what one block cuts makes a window of the other
+        (3, f"{w('own', 60)} {w('none', 12)}"),
+        (4, w("own", 30)),
+        (5, None),
+    ]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, one), (2, two), (None, w("none", 12))], "item_id bigint, text string")
+    whole = {r.doc_id: r.text for r in D.clean(docs, items).collect()}
+    assert whole == {r.doc_id: r.text for r in D.clean(docs, items, block_words=12).collect()}
+    assert set(whole) == {2, 3, 4, 5} and "none" not in whole[3] and "one" not in whole[2]

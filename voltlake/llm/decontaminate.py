@@ -12,11 +12,13 @@ items that share an id count as one; an empty benchmark hits nothing; an empty t
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -249,38 +251,92 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
+def _clean_by_one(docs: DataFrame, automaton: Automaton, text: str, coverage: float) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = shared.value
+        for batch in common.slices(batches, text):
+            new, keep = [], []
+            for raw, null in zip(common.texts(batch, text), batch.column(text).is_null().to_pylist(), strict=True):
+                document = words(raw)
+                total = len(document)
+                gone = 0
+                while (spans := automaton.match(document)[0]) and gone < coverage * total:
+                    gone += sum(b - a for a, b in spans)
+                    raw = cut(raw, spans)
+                    document = words(raw)
+                keep.append(not gone or gone < coverage * total)
+                new.append(None if null else raw.decode())
+            at = batch.schema.get_field_index(text)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type)).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _clean_by_several(docs: DataFrame, automata: Callable[[], Iterator[Automaton]], text: str, coverage: float) -> DataFrame:
+    """As by one automaton of all blocks: each round takes the hits of all blocks together, and a document that was cut is in the next."""
+    spark = docs.sparkSession
+    spans_type = "array<struct<start:int,end:int>>"
+    open_ = docs.withColumns({"__total": F.lit(0).cast("long"), "__gone": F.lit(0).cast("long"), "__first": F.lit(True), "__spans": F.array().cast(spans_type)})
+
+    def replaced(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
+        for name, values in columns.items():
+            at = batch.schema.get_field_index(name)
+            batch = batch.set_column(at, batch.schema.field(at), values.cast(batch.schema.field(at).type))
+        return batch
+
+    def collect(shared: Broadcast):  # noqa: ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = shared.value
+            for batch in common.slices(batches, text):
+                old = ([(s["start"], s["end"]) for s in x] for x in batch.column("__spans").to_pylist())
+                spans = [_merged([*automaton.match(words(raw))[0], *before]) for raw, before in zip(common.texts(batch, text), old, strict=True)]
+                yield replaced(batch, __spans=pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], _SPANS))
+
+        return run
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, text):
+            new, total, gone, spans = [], batch.column("__total").to_pylist(), batch.column("__gone").to_pylist(), batch.column("__spans").to_pylist()
+            first, null = batch.column("__first").to_pylist(), batch.column(text).is_null().to_pylist()
+            for i, raw in enumerate(common.texts(batch, text)):
+                if first[i]:
+                    total[i] = len(words(raw))
+                if spans[i] and gone[i] < coverage * total[i]:
+                    gone[i] += sum(s["end"] - s["start"] for s in spans[i])
+                    raw = cut(raw, [(s["start"], s["end"]) for s in spans[i]])
+                new.append(None if null[i] else raw.decode())
+            yield replaced(batch, **{text: pa.array(new, pa.string()), "__total": pa.array(total, pa.int64()), "__gone": pa.array(gone, pa.int64())})
+
+    done = []
+    while True:
+        for automaton in automata():
+            before, open_ = open_, common.stash(open_.mapInArrow(collect(spark.sparkContext.broadcast(automaton)), open_.schema))
+            if hasattr(before, "_stashed_at"):
+                common.discard(before)
+        cut_ = common.stash(open_.mapInArrow(apply, open_.schema))
+        common.discard(open_)
+        again = (F.size("__spans") > 0) & (F.col("__gone") < coverage * F.col("__total"))
+        done.append(cut_.where(F.size("__spans") == 0).select(docs.columns))
+        open_ = cut_.where(again).withColumns({"__first": F.lit(False), "__spans": F.array().cast(spans_type)})
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS, length_column: str | None = "n_chars") -> DataFrame:
     """The documents with hit spans cut out, all columns kept; one of which `coverage` or more is hit goes whole.
 
     What stands on both sides of a cut may make a window anew, so a text is held against the benchmark until
-    nothing is hit. `length_column`, if the table has it, is set to the new number of characters; texts without a
+    nothing is hit. The number of blocks doesn't change the result. `length_column`, if the table has it, is set to the new number of characters; texts without a
     hit stay as they are.
     """
-    spark, columns = docs.sparkSession, docs.columns
-    result = docs
-    for i, automaton in enumerate(blocks(benchmark, item_key, item_text, window, block_words)):
-        if i:
-            result = common.stash(result)
-        shared = spark.sparkContext.broadcast(automaton)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
-            for batch in common.slices(batches, text):
-                new, keep = [], []
-                for raw, null in zip(common.texts(batch, text), batch.column(text).is_null().to_pylist(), strict=True):
-                    document = words(raw)
-                    total = len(document)
-                    gone = 0
-                    while (spans := automaton.match(document)[0]) and gone < coverage * total:
-                        gone += sum(b - a for a, b in spans)
-                        raw = cut(raw, spans)
-                        document = words(raw)
-                    keep.append(not gone or gone < coverage * total)
-                    new.append(None if null else raw.decode())
-                at = batch.schema.get_field_index(text)
-                yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type)).filter(pa.array(keep))
-
-        result = result.mapInArrow(run, docs.schema)
+    columns = docs.columns
+    # Items count by their text alone here, so one without an id counts like any other.
+    items = benchmark.select(F.xxhash64(item_text).alias("item"), F.col(item_text).alias("text"))
+    automata = lambda: blocks(items, "item", "text", window, block_words)
+    few = list(islice(automata(), 2))
+    result = _clean_by_one(docs, few[0], text, coverage) if len(few) == 1 else _clean_by_several(docs, automata, text, coverage)
     if length_column in columns:
         result = result.withColumn(length_column, F.when(F.col(text).isNull(), F.col(length_column)).otherwise(F.length(text)).cast(docs.schema[length_column].dataType))
     return result.select(columns)
