@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -22,26 +20,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a temporary one will do, but only if all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="voltlake-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+#: Spark's own switch for deleting a query's shuffle files as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: its lineage ends there, and a lost executor costs no recomputation of it.
 
-    Spark deletes the shuffle files behind it once the driver has collected the plans that made them, so that is done here.
+    The shuffle files behind it are deleted as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/voltlake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.1)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed_at = path
     return out
@@ -54,6 +62,14 @@ def discard(*stashed: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names for intermediate values that no column of df has."""
+    taken, prefix = {c.lower() for c in df.columns}, "_"
+    while any(prefix + n in taken for n in names):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `limit` bytes of `column` (or one row)."""
     for batch in batches:

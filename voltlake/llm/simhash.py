@@ -216,9 +216,13 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 
 def _kept(docs: DataFrame, named: DataFrame, key: str, text: str) -> DataFrame:
-    kept = named.select("root", F.col("least.id").alias("__id"), F.col("least.same").alias("__same")).select("__id", "__same").distinct()
-    rows = docs.withColumns({"__id": F.coalesce(F.col(key).cast("long"), F.lit(_LAST)), "__same": _same(text)})
-    return rows.join(kept, ["__id", "__same"], "left_semi").dropDuplicates(["__id", "__same"]).select(docs.columns)
+    """The rows that `named` tells by (id, same) as `least`; of several with equal key and text the one of the least hash."""
+    kept = named.select(F.col("least.id").alias("id"), F.col("least.same").alias("same")).distinct()
+    (name,) = common.free_names(docs, "row")
+    hashable = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("id"), _same(text).alias("same"), F.struct(*docs.columns).alias(name), F.xxhash64(*hashable).alias("order"))
+    one = rows.join(kept, ["id", "same"], "left_semi").groupBy("id", "same").agg(F.min_by(name, "order").alias(name))
+    return one.select(f"{name}.*")
 
 
 _ODD = common.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))[:, None] | np.uint64(1)
@@ -229,17 +233,45 @@ def shingle_set(text: bytes, size: int = SET_SHINGLE) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, size), np.uint64))
 
 
-def signatures(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band of a set; none for the empty set."""
-    if not len(hashes):
-        return np.zeros(0, np.uint64)
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The least of a set's hashes under each of BANDS x ROWS functions."""
     parts = [((hashes[i : i + 8192] ^ (hashes[i : i + 8192] >> np.uint64(29)) ^ _ODD) * _ODD).min(axis=1) for i in range(0, len(hashes), 8192)]
+    return np.min(parts, axis=0)
+
+
+def signatures(least: np.ndarray) -> np.ndarray:
+    """A key for each band."""
     keys = np.arange(BANDS, dtype=np.uint64)
-    for row in np.min(parts, axis=0).reshape(BANDS, ROWS).T:
+    for row in least.reshape(BANDS, ROWS).T:
         keys = common.mix(keys ^ row) + np.arange(BANDS, dtype=np.uint64)
     return keys
 
 
+def sketch(least: np.ndarray) -> np.ndarray:
+    """Four bits of each least hash, in four words."""
+    nibbles = np.zeros(64, np.uint64)
+    nibbles[: len(least)] = common.mix(least) >> np.uint64(60)
+    return np.bitwise_or.reduce(nibbles.reshape(4, 16) << (np.uint64(4) * np.arange(16, dtype=np.uint64)), axis=1)
+
+
+def _may_be_similar(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets may be similar, from their sizes (exactly) and their sketches.
+
+    Of n least hashes, those of a similar pair differ in n (1 - similarity) on average; a pair is passed over if more than
+    that and five and a half standard deviations differ, which a similar one does with a chance of less than 1e-6.
+    """
+    ones = F.lit(0x1111111111111111)
+    differ = F.lit(0)
+    for i in range(4):
+        x = F.get(f"{a}.sketch", F.lit(i)).bitwiseXOR(F.get(f"{b}.sketch", F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(ones)
+        differ = differ + F.bit_count(x)
+    n, p = BANDS * ROWS, (1 - similarity) * 15 / 16
+    size = lambda c: F.col(f"{c}.size")
+    return (F.least(size(a), size(b)) >= F.greatest(size(a), size(b)) * similarity) & (differ <= n * p + 5.5 * (n * p * (1 - p)) ** 0.5)
+
+
 def _verified(pairs: DataFrame, of: DataFrame, docs: DataFrame, key: str, text: str, size: int, similarity: float) -> DataFrame:
     """Those of the pairs `a`, `b` of sets that are similar; of the sets only those that a pair has are made again."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
@@ -276,20 +308,29 @@ def similar_representatives(docs: DataFrame, key: str = "doc_id", text: str = "t
         for batch in common.slices(batches, "text"):
             found = [shingle_set(t, size) for t in common.texts(batch, "text")]
             names = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], np.uint64).view(np.int64)
-            bands = [signatures(x).view(np.int64) for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("same"), pa.array(names), pa.array(bands, pa.list_(pa.int64()))], ["id", "same", "set", "bands"])
-
-    of = common.stash(rows.mapInArrow(run, "id bigint, same bigint, set bigint, bands array<bigint>"))
-    classes = of.groupBy("set").agg(F.min(F.struct("id", "same")).alias("first"), F.first("bands").alias("bands"))
-    member = classes.select("set", F.explode("bands").alias("band"))
-    least = member.groupBy("band").agg(F.min("set").alias("b"), F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("band").alias("k"), "b")
-    met = common.stash(member.join(least, F.bitwise_not("band") == F.col("k")).select("band", F.col("set").alias("a"), "b"))
-    edges = _verified(common.stash(met.where("a <> b").select("a", "b").distinct()), of, docs, key, text, size, similarity)
+            least = [least_hashes(x) if len(x) else None for x in found]
+            bands = [[] if x is None else signatures(x).view(np.int64) for x in least]
+            about = [{"size": len(x), "sketch": [] if y is None else sketch(y).view(np.int64).tolist()} for x, y in zip(found, least, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("same"), pa.array(names), pa.array(bands, pa.list_(pa.int64())), pa.array(about, pa.struct([("size", pa.int32()), ("sketch", pa.list_(pa.int64()))]))],
+                ["id", "same", "set", "bands", "about"],
+            )
+
+    of = common.stash(rows.mapInArrow(run, "id bigint, same bigint, set bigint, bands array<bigint>, about struct<size:int,sketch:array<bigint>>"))
+    classes = of.groupBy("set").agg(F.min(F.struct("id", "same")).alias("first"), F.first("bands").alias("bands"), F.first("about").alias("about"))
+    member = classes.select("set", "about", F.explode("bands").alias("band"))
+    least = member.groupBy("band").agg(F.min(F.struct("set", "about")).alias("b"), F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("band").alias("k"), "b")
+    met = common.stash(member.join(least, F.bitwise_not("band") == F.col("k")).select("band", F.col("set").alias("a"), "about", F.col("b.set").alias("b"), F.col("b.about").alias("about_b")))
+    first = met.where("a <> b").where(_may_be_similar("about", "about_b", similarity))
+    edges = _verified(common.stash(first.select("a", "b").distinct()), of, docs, key, text, size, similarity)
     # What the least ones don't hold together: pairs of a bucket in different components, those with the least one left out.
     roots = common.stash(components(edges))
-    apart = met.join(roots.select(F.bitwise_not("node").alias("k"), "root"), F.bitwise_not("a") == F.col("k"), "left").select("band", "a", "b", F.coalesce("root", "a").alias("root"))
-    other = apart.select(F.bitwise_not("band").alias("k"), F.col("a").alias("c"), F.col("root").alias("root_c"))
-    rest = apart.where("a <> b").join(other, (F.bitwise_not("band") == F.col("k")) & (F.col("a") > F.col("c")) & (F.col("b") < F.col("c")) & (F.col("root") != F.col("root_c")))
+    apart = met.join(roots.select(F.bitwise_not("node").alias("k"), "root"), F.bitwise_not("a") == F.col("k"), "left").select("band", "a", "about", "b", F.coalesce("root", "a").alias("root"))
+    # A bucket that is one component already has no such pair.
+    open_ = apart.groupBy("band").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select(F.bitwise_not("band").alias("k"))
+    apart = common.stash(apart.join(open_, F.bitwise_not("band") == F.col("k"), "left_semi"))
+    other = apart.where("a <> b").select(F.bitwise_not("band").alias("k"), F.col("a").alias("c"), F.col("root").alias("root_c"), F.col("about").alias("about_c"))
+    rest = apart.where("a <> b").join(other, (F.bitwise_not("band") == F.col("k")) & (F.col("a") > F.col("c")) & (F.col("root") != F.col("root_c")) & _may_be_similar("about", "about_c", similarity))
     rest = common.stash(rest.select("a", F.col("c").alias("b")).distinct())
     edges = edges.union(_verified(rest, of, docs, key, text, size, similarity))
     roots = components(edges)
