@@ -49,20 +49,79 @@ def test_counts_and_base_score_equal_brute_force_and_held_out_texts_score_better
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_classes_and_their_words_are_distributions(spark):
-    training = spark.createDataFrame([(t,) for _, t in fixture()], "text string")
+def model(spark):
+    training = spark.createDataFrame([(t,) for _, t in fixture()], "text string").repartition(3)
     words = M.count_words(training)
     vocabulary = M.learn_vocabulary(words)
-    weights = M.train(M.class_counts(training, vocabulary.own_class), steps=3)
-    assert np.allclose(np.exp(M.log_classes(weights, np.arange(M.CLASSES**3))).sum(axis=1), 1, atol=1e-4)
-    chance = np.zeros(M.CLASSES)
-    for r in words.collect():
-        chance[vocabulary.class_of(bytes(r.word))] += (r.c + 1) / vocabulary.class_total[vocabulary.class_of(bytes(r.word))]
-    assert np.allclose(chance + 1 / vocabulary.class_total, 1)
+    return training, {bytes(r.word): r.c for r in words.collect()}, vocabulary
+
+
+def test_leaves_are_a_distribution_and_spark_counts_them(spark):
+    training, counts, vocabulary = model(spark)
+    totals = np.ones_like(vocabulary.leaf_total)
+    for w, c in counts.items():
+        totals[vocabulary.leaf_of(w)] += c + 1
+    assert np.array_equal(totals, vocabulary.leaf_total)
+    weights = M.train(training, vocabulary, epochs=2)
+    assert np.abs(weights.to_class).max() > 0.1 and np.abs(weights.to_branch).max() > 0.1
+    lexicon = M.Lexicon(vocabulary)
+    numbers = lexicon.of([M.tokens(b"ab ba abba dada"), M.tokens("é ñü".encode())])
+    found = [f[6:7] for f in M.features(lexicon.hash[numbers], np.array([5, 3]))]
+    leaves = np.arange(len(totals))
+    chance = np.exp(weights.log_leaves([np.repeat(f, len(leaves)) for f in found], leaves))
+    assert abs(chance.sum() - 1) < 1e-3
+    # Known words of a leaf and one unknown word make up the whole of it.
+    assert abs(sum((c + 1) / totals[vocabulary.leaf_of(w)] for w, c in counts.items()) + (1 / totals).sum() - len(totals)) < 1e-6
+
+
+def test_scores_equal_brute_force(spark):
+    """Word by word, with loops over features, classes and branches."""
+    training, counts, vocabulary = model(spark)
+    weights = M.train(training, vocabulary)
+    inside, levels = (M.CLASSES - M.SINGLE) << vocabulary.levels, vocabulary.levels
+
+    def mix(x):
+        for _ in range(2):
+            x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 % 2**64
+        return x ^ x >> 32
+
+    def chance(history, word):
+        three, two, one = map(M.word_hash, history)
+        gram, far = mix((two * 0x9E3779B97F4A7C15 + one) % 2**64), three * 0xC2B2AE3D27D4EB4F % 2**64
+        features = [mix(x % 2**64) for x in (one + 1, gram + 2, two + 4, far ^ (gram + 3) % 2**64, far + one + 5)]
+        leaf = vocabulary.leaf_of(word)
+        k = leaf - inside if leaf >= inside else M.SINGLE + (leaf >> levels)
+        logits = [float(weights.classes[c]) + sum(float(weights.to_class[f >> (64 - M.CLASS_BITS)][c]) for f in features) for c in range(M.CLASSES)]
+        p = math.exp(logits[k]) / sum(map(math.exp, logits))
+        if leaf < inside:
+            at = 1
+            for level in range(levels):
+                branch = (leaf >> levels << levels) + at
+                logit = float(weights.branches[branch]) + sum(float(weights.to_branch[level][(f ^ mix(branch + 1)) * 0xD6E8FEB86659FD93 % 2**64 >> (64 - M.LEVEL_BITS)]) for f in features[: M.WITHIN])
+                second = leaf >> (levels - 1 - level) & 1
+                p *= 1 / (1 + math.exp(-logit if second else logit))
+                at = 2 * at + second
+        return p * (counts.get(word, 0) + 1) / vocabulary.leaf_total[leaf]
+
+    for text in (b"", b"abba da ab ab ca d", "éñ wx nowhere zz zz".encode(), b"ab " * 9):
+        lexicon = M.Lexicon(vocabulary)
+        found, leaf, numbers, _ = M._numbered([text], lexicon)
+        got = weights.log_leaves(found, leaf) + np.log((lexicon.known[numbers] + 1) / vocabulary.leaf_total[leaf])
+        padded = [M.END] * 3 + M.tokens(text)
+        want = [math.log(chance(padded[i : i + 3], padded[i + 3])) for i in range(len(padded) - 3)]
+        assert np.allclose(got, want, rtol=1e-3, atol=1e-3)
+
+
+def test_tables_of_many_tasks_are_merged_by_how_far_each_went(spark):
+    w, moved = np.array([[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]), np.array([[1.0, 0.0], [3.0, 0.0], [0.0, 2.0]])
+    full = lambda x: np.tile(x, M.CELLS // 2).astype(np.float16).tobytes()
+    rows = spark.createDataFrame([(7, full(a), full(b), i) for i, (a, b) in enumerate(zip(w, moved, strict=True))], "block int, w binary, moved binary, part int")
+    (r,) = M._merged(rows, 3).collect()
+    assert r.block == 7 and np.frombuffer(r.w, np.float16)[:2].tolist() == [2.5, 6.0]
 
 
 def test_empty_table_and_nothing_to_train_on(spark):
-    assert M.score(spark.createDataFrame([], SCHEMA), steps=1).collect() == []
+    assert M.score(spark.createDataFrame([], SCHEMA)).collect() == []
     i = next(i for i in range(99) if out(i))
-    (r,) = M.score(spark.createDataFrame([(i, "a b", "a", "b", "c", "d")], SCHEMA), steps=1).collect()
+    (r,) = M.score(spark.createDataFrame([(i, "a b", "a", "b", "c", "d")], SCHEMA)).collect()
     assert (r.n_known, r.train_tokens, r.base_score) == (0, 0, 0.0) and r.score < 0

@@ -1,14 +1,18 @@
 """LM scoring: a hashed maximum-entropy model with n-gram and skip features and a class-factored softmax.
 
-P(word | history) = P(class | history) P(word | class). The class of the next word follows a softmax over hashed
-features of the classes before it: n-grams (the last one, two, three), and skips (the second and third last alone, and
-the last with the third). The word follows its class by counts of the training tokens, with one added to each known
-word and one for all unknown words of the class, so that the probabilities of known words and one unknown word per class
-sum to one.
-
-All that depends on the corpus is gathered from all training documents: word counts, their totals, and how often each
-class follows each history of classes. The latter is a table of bounded size (CLASSES ** 4 rows at most), over which Spark
-tasks compute gradients; the driver adds them up (FEATURES x CLASSES numbers) and updates the weights.
+P(word | history) = P(class | history) P(leaf | class, history) P(word | leaf). The class of the next word follows a softmax,
+and so does its leaf within the class, which is factored once more, a choice of two at each branch of the class's tree.
+Both have weights for hashed features of the words before: n-grams (the last one, two, three) and skips (the second last alone,
+the third last with the last), on top of the log-odds that word counts give without any history. The frequent words and
+the end of a text are classes of their own; other words share a class by their last two letters, and a leaf by their hash.
+Words of one leaf, a few or one, follow by their counts in training, with one added to each and one for all unknown words
+of the leaf, so that the probabilities of the known words and one unknown word per leaf sum to one.
+
+All that depends on the corpus is gathered from all training documents: word counts and their totals by Spark aggregation,
+and the weights by tasks that each go through their documents with gradient updates (steps by the gradients seen so far,
+as Adagrad takes them). The tables of all tasks are merged by Spark, at most `FAN` at once, each weight as the mean of those that
+have been moved, weighed by how far their gradients went. The merged tables have a fixed size (8 MB) and are broadcast.
+Which rows a task holds has a small influence on the weights.
 
 `score` reads the key and the text column only and returns one row per document row.
 
@@ -24,23 +28,36 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
+#: Classes: the end, FREQUENT single words, and those that words share.
 CLASSES, FREQUENT = 32, 15
-FEATURES = 1 << 13
-STEPS, RATE, MOMENTUM, RIDGE = 16, 1.0, 0.8, 0.5
+SINGLE = FREQUENT + 1
+#: Levels of a shared class's tree: as many as give each word a leaf, but at most these.
+MOST_LEVELS = 12
+#: Bits of hashed features with a weight for each class, and of hashed pairs of a feature and a branch, at each level.
+CLASS_BITS, LEVEL_BITS = 14, 17
+#: How many of a token's features, the first ones, have a say within classes.
+WITHIN = 3
+RATE = 0.08
+#: Tokens in one update, and in one task's training at least, so that its tables are small beside its texts.
+UPDATE, TASK_TOKENS = 1 << 15, 3_000_000
+#: Numbers in a block of a table, and blocks that are merged at once.
+CELLS, FAN = 1 << 14, 64
 #: Words in the broadcast part of the vocabulary, and the length in bytes of the longest of them: at most some 5 MB.
 SHARED, SHARED_BYTES = 1 << 17, 40
 #: Distinct words that a task counts before it hands the counts on.
 FLUSH = 200_000
 END = b""
+_U = np.uint64
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -50,10 +67,19 @@ def tokens(text: bytes) -> list[bytes]:
     return found
 
 
-def shape_class(word: bytes) -> int:
-    """Of a word that has no class of its own: by its last two letters."""
-    code = (word[-2] << 8 | word[-1]) if len(word) > 1 else word[-1] if word else 0
-    return FREQUENT + 1 + code * 40503 % 65521 % (CLASSES - FREQUENT - 1)
+def _shape(code):  # noqa: ANN001, ANN202
+    """Which of the shared classes, from the last two bytes of a word: of numbers, arrays or columns."""
+    return code * 40503 % 65521 % (CLASSES - SINGLE)
+
+
+def _inside(levels: int) -> int:
+    """Leaves of the shared classes; those of single words are numbered after them."""
+    return (CLASSES - SINGLE) << levels
+
+
+def word_hash(word: bytes) -> int:
+    """As Spark's xxhash64 has it, but unsigned."""
+    return xxhash.xxh64_intdigest(word, 42)
 
 
 def held_out(key: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -87,28 +113,39 @@ def count_words(training: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Totals, the classes' totals, and the most frequent words; `rest`, if not empty, has the others."""
+    """Totals, the leaves' totals (those of shared classes, then a leaf for each single word), and the most frequent words."""
 
     total: int
     distinct: int
     counts: dict[bytes, int]
     own_class: dict[bytes, int]
-    class_total: np.ndarray
-
-    def class_of(self, word: bytes) -> int:
-        found = self.own_class.get(word)
-        return shape_class(word) if found is None else found
-
-
-def _class_column(word: Column, own: dict[bytes, int]) -> Column:
-    """The class in SQL, for totals over all words; the same as `Vocabulary.class_of`."""
+    leaf_total: np.ndarray
+    levels: int
+
+    def leaf_of(self, word: bytes) -> int:
+        k = self.own_class.get(word)
+        return _inside(self.levels) + k if k is not None else (_shape(int.from_bytes(word[-2:], "big")) << self.levels) + (word_hash(word) >> (64 - self.levels))
+
+    def priors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of classes, and at each branch (class, then numbered as in a heap) of the second way, by counts alone."""
+        shared = self.leaf_total[: _inside(self.levels)].reshape(CLASSES - SINGLE, -1)
+        totals = np.concatenate((self.leaf_total[_inside(self.levels) :], shared.sum(1)))
+        branch = np.zeros(shared.shape)
+        for level in range(self.levels):
+            ways = shared.reshape(len(shared), 1 << level, 2, -1).sum(3)
+            branch[:, 1 << level : 2 << level] = np.log(ways[:, :, 1] / ways[:, :, 0])
+        return np.log(totals / totals.sum()).astype(np.float32), branch.ravel().astype(np.float32)
+
+
+def _leaf_column(word: Column, own: dict[bytes, int], levels: int) -> Column:
+    """The leaf in SQL, for totals over all words; the same as `Vocabulary.leaf_of`."""
     n = F.length(word)
     byte = lambda i: F.conv(F.hex(F.substring(word, i, 1)), 16, 10).cast("int")
     code = F.when(n > 1, byte(-2) * 256 + byte(-1)).when(n == 1, byte(-1)).otherwise(0).cast("long")
-    shape = (code * 40503 % 65521 % (CLASSES - FREQUENT - 1) + FREQUENT + 1).cast("int")
+    leaf = F.shiftleft(_shape(code), levels) + F.shiftrightunsigned(F.xxhash64(word), 64 - levels)
     for w, k in own.items():
-        shape = F.when(word == F.lit(bytearray(w)), k).otherwise(shape)
-    return shape
+        leaf = F.when(word == F.lit(bytearray(w)), _inside(levels) + k).otherwise(leaf)
+    return leaf
 
 
 def learn_vocabulary(words: DataFrame, shared: int = SHARED) -> Vocabulary:
@@ -124,141 +161,231 @@ def learn_vocabulary(words: DataFrame, shared: int = SHARED) -> Vocabulary:
     counts = {bytes(r.word): r.c for r in bins.where(F.col("bin") >= cut).select("word", "c").collect()}
     own = {END: 0}
     for w in sorted(counts, key=lambda w: (-counts[w], w)):
-        if len(own) > FREQUENT:
+        if len(own) == SINGLE:
             break
         own.setdefault(w, len(own))
-    class_total = np.ones(CLASSES)
-    for r in words.groupBy(_class_column(F.col("word"), own).alias("k")).agg(F.sum(F.col("c") + 1).alias("t")).collect():
-        class_total[r.k] += r.t
-    return Vocabulary(totals.n, totals.v, counts, own, class_total)
+    levels = int(np.clip(np.log2(max(totals.v, 1) / (CLASSES - SINGLE)), 1, MOST_LEVELS))
+    leaf_total = np.ones(_inside(levels) + SINGLE)
+    # A row for each leaf at most.
+    for r in words.groupBy(_leaf_column(F.col("word"), own, levels).alias("leaf")).agg(F.sum(F.col("c") + 1).alias("t")).collect():
+        leaf_total[r.leaf] += r.t
+    return Vocabulary(totals.n, totals.v, counts, own, leaf_total, levels)
 
 
-def _classes(texts: list[list[bytes]], own: dict[bytes, int], seen: dict[bytes, int]) -> np.ndarray:
-    """Classes of all tokens of several documents, one after the other. `seen` remembers words, up to a bound."""
-    if len(seen) > 2 * FLUSH:
-        seen.clear()
-    out = []
-    for t in texts:
-        for w in t:
-            k = seen.get(w)
-            if k is None:
-                k = own.get(w)
-                k = seen[w] = shape_class(w) if k is None else k
-            out.append(k)
-    return np.array(out, np.int64)
+class _Numbers(dict):
+    """Word -> its number, in the order of appearance."""
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
-def _histories(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The three classes before each token as one number; before a document's first token stand ends (class 0)."""
-    place = np.arange(len(classes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    back = [np.where(place >= i, np.concatenate((np.zeros(i, np.int64), classes[:-i]))[: len(classes)], 0) for i in (1, 2, 3)]
-    return (back[2] * CLASSES + back[1]) * CLASSES + back[0]
 
+class Lexicon:
+    """What a worker remembers of the words it has met, up to a bound: arrays by a word's number."""
 
-def features(history: np.ndarray) -> np.ndarray:
-    """Hashed features of each history, a row of seven numbers below FEATURES; the first is the bias."""
-    one, two, three = history % CLASSES, history // CLASSES % CLASSES, history // CLASSES**2
-    grams = [0 * one, one, two * CLASSES + one, history, two, three, three * CLASSES + one]
-    hashed = [common.mix(g.astype(np.uint64) + np.uint64((i + 1) << 40)) >> np.uint64(64 - FEATURES.bit_length() + 1) for i, g in enumerate(grams)]
-    return np.stack(hashed, axis=1).astype(np.int64)
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.clear()
 
+    def clear(self) -> None:
+        self.numbers = _Numbers()
+        self.words: list[bytes] = []
+        self.hash, self.leaf, self.known = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-def log_classes(weights: np.ndarray, history: np.ndarray) -> np.ndarray:
-    """log P(class | history), a row for each history."""
-    logits = weights[features(history)].sum(axis=1)
-    logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    def of(self, texts: list[list[bytes]]) -> np.ndarray:
+        """The numbers of all tokens of several texts, one after the other."""
+        if len(self.numbers) > 2 * FLUSH:
+            self.clear()
+        out = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+        new = list(islice(self.numbers, len(self.words), None))
+        if new:
+            v = self.vocabulary
+            hashes = np.array([word_hash(w) for w in new], np.uint64)
+            k = np.array([v.own_class.get(w, -1) for w in new])
+            shared = (_shape(np.array([int.from_bytes(w[-2:], "big") for w in new])) << v.levels) + (hashes >> _U(64 - v.levels)).view(np.int64)
+            self.words += new
+            self.hash = np.append(self.hash, hashes)
+            self.leaf = np.append(self.leaf, np.where(k < 0, shared, _inside(v.levels) + k))
+            self.known = np.append(self.known, np.array([v.counts.get(w, 0) for w in new], np.int64))
+        return out
 
 
-def class_counts(training: DataFrame, own: dict[bytes, int]) -> DataFrame:
-    """history, class and n, over all training tokens."""
-    size = CLASSES**4
+def features(hashes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Of each token of texts of `sizes` tokens, hashes of its five features; before a text's first token stand ends."""
+    place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    one, two, three = (np.where(place >= i, np.concatenate((np.zeros(i, np.uint64), hashes))[: len(hashes)], _U(word_hash(END))) for i in (1, 2, 3))
+    gram = common.mix(two * _U(0x9E3779B97F4A7C15) + one)
+    far = three * _U(0xC2B2AE3D27D4EB4F)
+    # The last word, the last two, and the second last alone; the last three, and the third last with the last.
+    return [common.mix(one + _U(1)), common.mix(gram + _U(2)), common.mix(two + _U(4)), common.mix(far ^ (gram + _U(3))), common.mix(far + one + _U(5))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
-        counts = np.zeros(size, np.int32)
-        for batch in common.slices(batches, "text"):
-            of = [tokens(t) for t in common.texts(batch, "text")]
-            classes = _classes(of, own, seen)
-            code, n = np.unique(_histories(classes, np.array([len(t) for t in of])) * CLASSES + classes, return_counts=True)
-            counts[code] += n.astype(np.int32)
-        code = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(code // CLASSES), pa.array((code % CLASSES).astype(np.int32)), pa.array(counts[code].astype(np.int64))], ["history", "class", "n"])
-
-    return training.mapInArrow(run, "history bigint, class int, n bigint").groupBy("history", "class").agg(F.sum("n").alias("n"))
-
-
-def train(counts: DataFrame, steps: int = STEPS) -> np.ndarray:
-    """Weights (FEATURES x CLASSES) after `steps` distributed gradient steps, each scaled by how often a feature occurs."""
-    spark = counts.sparkSession
-    weights = np.zeros((FEATURES, CLASSES))
-    table = common.stash(counts.coalesce(8))
-
-    def gradient(shared: Broadcast):  # noqa: ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            weights = shared.value
-            seen, expected, loss = np.zeros((FEATURES, CLASSES)), np.zeros((FEATURES, CLASSES)), 0.0
-            for batch in batches:
-                history, k, n = (batch.column(c).to_numpy().astype(np.int64) for c in ("history", "class", "n"))
-                own, at = np.unique(history, return_inverse=True)
-                found = np.bincount(at * CLASSES + k, n, minlength=len(own) * CLASSES).reshape(-1, CLASSES)
-                log_p = log_classes(weights, own)
-                loss -= float((found * log_p).sum())
-                model = found.sum(axis=1, keepdims=True) * np.exp(log_p)
-                for f in features(own).T:
-                    order = np.argsort(f, kind="stable")
-                    first = np.flatnonzero(np.concatenate(([True], np.diff(f[order]) > 0)))
-                    seen[f[order][first]] += np.add.reduceat(found[order], first, axis=0)
-                    expected[f[order][first]] += np.add.reduceat(model[order], first, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array([seen.astype(np.float32).tobytes()], pa.binary()), pa.array([expected.astype(np.float32).tobytes()], pa.binary()), pa.array([loss])], ["seen", "expected", "loss"])
-
-        return run
-
-    speed = np.zeros_like(weights)
-    for _ in range(steps):
-        shared = spark.sparkContext.broadcast(weights)
-        rows = table.mapInArrow(gradient(shared), "seen binary, expected binary, loss double").collect()
+
+_BRANCH = common.mix(np.arange((CLASSES - SINGLE) << MOST_LEVELS, dtype=np.uint64) + _U(1))
+
+
+@dataclass
+class Weights:
+    """`to_class`: feature x class; `to_branch`: level x the hash of a feature and a branch; and what counts say without them."""
+
+    to_class: np.ndarray
+    to_branch: np.ndarray
+    classes: np.ndarray
+    branches: np.ndarray
+
+    def class_logits(self, found: list[np.ndarray]) -> np.ndarray:
+        """Of each class given the history, a row for each token of which `found` has the features; the greatest one about 0."""
+        logits = self.classes + np.take(self.to_class, (found[0] >> _U(64 - CLASS_BITS)).view(np.int64), axis=0)
+        for f in found[1:]:
+            logits += np.take(self.to_class, (f >> _U(64 - CLASS_BITS)).view(np.int64), axis=0)
+        logits -= logits.max(axis=1, keepdims=True)
+        return logits
+
+    def branch_logits(self, found: list[np.ndarray], leaf: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        """At each level of the way to each token's leaf: the log-odds of the way that is taken, and the cells of the weights."""
+        levels = len(self.to_branch)
+        k, path = leaf >> levels << levels, leaf & ((1 << levels) - 1)
+        for level in range(levels):
+            at = k + (1 << level) + (path >> (levels - level))
+            own = np.take(_BRANCH, at)
+            cells = [(((f ^ own) * _U(0xD6E8FEB86659FD93)) >> _U(64 - LEVEL_BITS)).view(np.int64) for f in found[:WITHIN]]
+            logit = np.take(self.branches, at)
+            for c in cells:
+                logit += np.take(self.to_branch[level], c)
+            yield level, np.where(leaf >> (levels - 1 - level) & 1, logit, -logit), cells
+
+    def log_leaves(self, found: list[np.ndarray], leaf: np.ndarray) -> np.ndarray:
+        """log P(leaf | history) of each token."""
+        shared, k = _classes(leaf, len(self.to_branch))
+        logits = self.class_logits(found)
+        out = (logits[np.arange(len(leaf)), k] - np.log(np.exp(logits).sum(axis=1))).astype(np.float64)
+        against = np.ones(len(shared))
+        for _, logit, _ in self.branch_logits([f[shared] for f in found], leaf[shared]):
+            against *= 1 + np.exp(np.minimum(-logit, np.float32(50)))
+        out[shared] -= np.log(against)
+        return out
+
+
+def _classes(leaf: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where leaves are those of shared classes, and the class of each leaf."""
+    shared = np.flatnonzero(leaf < _inside(levels))
+    k = leaf - _inside(levels)
+    k[shared] = SINGLE + (leaf[shared] >> levels)
+    return shared, k
+
+
+class Trainer:
+    """Weights on their way, and the sums of their squared gradients."""
+
+    def __init__(self, weights: Weights):
+        self.w = Weights(weights.to_class.copy(), weights.to_branch.copy(), weights.classes, weights.branches)
+        self.seen_class, self.seen_branch = np.zeros(weights.to_class.shape, np.float32), np.zeros(weights.to_branch.shape, np.float32)
+
+    def update(self, found: list[np.ndarray], leaf: np.ndarray) -> None:
+        """One step by the gradient of the likelihood of these tokens."""
+        shared, k = _classes(leaf, len(self.w.to_branch))
+        off = np.exp(self.w.class_logits(found))
+        off /= -off.sum(axis=1, keepdims=True)
+        off[np.arange(len(leaf)), k] += 1
+        off = off.astype(np.float64).ravel()
+        k = np.arange(CLASSES)
+        gradient = sum(np.bincount((((f >> _U(64 - CLASS_BITS)).view(np.int64) * CLASSES)[:, None] + k).ravel(), off, minlength=CLASSES << CLASS_BITS) for f in found)
+        gradient = gradient.astype(np.float32).reshape(-1, CLASSES)
+        self.seen_class += gradient**2
+        self.w.to_class += RATE * gradient / np.sqrt(self.seen_class + np.float32(1e-6))
+        found = [f[shared] for f in found]
+        for level, logit, cells in self.w.branch_logits(found, leaf[shared]):
+            step = 1 / (1 + np.exp(logit))
+            step = np.where(leaf[shared] >> (len(self.w.to_branch) - 1 - level) & 1, step, -step).astype(np.float64)
+            gradient = sum(np.bincount(c, step, minlength=1 << LEVEL_BITS) for c in cells).astype(np.float32)
+            self.seen_branch[level] += gradient**2
+            self.w.to_branch[level] += RATE * gradient / np.sqrt(self.seen_branch[level] + np.float32(1e-6))
+
+    def blocks(self) -> pa.RecordBatch:
+        """Both tables in blocks: each weight, and how far its gradients went, in half precision."""
+        w = np.concatenate((self.w.to_class.ravel(), self.w.to_branch.ravel())).astype(np.float16)
+        moved = np.minimum(np.sqrt(np.concatenate((self.seen_class.ravel(), self.seen_branch.ravel()))), 6e4).astype(np.float16)
+        n = len(w) // CELLS
+        cut = lambda x: pa.array([b.tobytes() for b in x.reshape(n, CELLS)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), cut(w), cut(moved)], ["block", "w", "moved"])
+
+
+def _merged(blocks: DataFrame, parts: int) -> DataFrame:
+    """Blocks of `parts` tasks (numbered by `part`) as one each."""
+
+    def mean(rows: pa.Table) -> pa.Table:
+        total, weighed, of = np.zeros(CELLS, np.float32), np.zeros(CELLS, np.float32), np.zeros(CELLS, np.float32)
+        for w, moved in zip(rows.column("w"), rows.column("moved"), strict=True):
+            m = np.frombuffer(moved.as_buffer(), np.float16).astype(np.float32)
+            total += m
+            of += m**2
+            weighed += m * np.frombuffer(w.as_buffer(), np.float16)
+        w = (weighed / np.maximum(total, 1e-9)).astype(np.float16)
+        return pa.table({"block": rows.column("block").slice(0, 1), "part": rows.column("part").slice(0, 1), "w": [w.tobytes()], "moved": [np.minimum(np.sqrt(of), 6e4).astype(np.float16).tobytes()]})
+
+    while parts > 1:
+        parts = -(-parts // FAN)
+        blocks = blocks.withColumn("part", F.col("part") % parts).groupBy("block", "part").applyInArrow(mean, "block int, part int, w binary, moved binary")
+    return blocks
+
+
+def _numbered(texts: list[bytes], lexicon: Lexicon) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """features, leaves, word numbers, and the sizes of texts, all of them in one go."""
+    of = [tokens(t) for t in texts]
+    sizes = np.array([len(t) for t in of])
+    numbers = lexicon.of(of)
+    return features(lexicon.hash[numbers], sizes), lexicon.leaf[numbers], numbers, sizes
+
+
+def train(training: DataFrame, vocabulary: Vocabulary, epochs: int = 1) -> Weights:
+    """Weights after `epochs` rounds of gradient updates by all tasks, each round from the merged weights of the one before."""
+    spark = training.sparkSession
+    weights = Weights(np.zeros((1 << CLASS_BITS, CLASSES), np.float32), np.zeros((vocabulary.levels, 1 << LEVEL_BITS), np.float32), *vocabulary.priors())
+    if not vocabulary.total:
+        return weights
+    parts = int(np.clip(vocabulary.total // TASK_TOKENS, 1, training.rdd.getNumPartitions()))
+    for _ in range(epochs):
+        shared = spark.sparkContext.broadcast((vocabulary, weights))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            vocabulary, weights = shared.value
+            lexicon, trainer = Lexicon(vocabulary), Trainer(weights)
+            for batch in common.slices(batches, "text", 6 * UPDATE):
+                found, leaf, _, _ = _numbered(common.texts(batch, "text"), lexicon)
+                for at in range(0, len(leaf), UPDATE):
+                    trainer.update([f[at : at + UPDATE] for f in found], leaf[at : at + UPDATE])
+            yield trainer.blocks()
+
+        # As many rows as the tables have blocks, of fixed size.
+        of = training.coalesce(parts).mapInArrow(run, "block int, w binary, moved binary").withColumn("part", F.spark_partition_id())
+        rows = sorted(_merged(of, parts).select("block", "w").collect())
+        table = np.frombuffer(b"".join(bytes(r.w) for r in rows), np.float16).astype(np.float32)
         shared.unpersist()
-        seen, expected = (sum((np.frombuffer(r[c], np.float32).reshape(weights.shape).astype(np.float64) for r in rows), np.zeros_like(weights)) for c in ("seen", "expected"))
-        # What a weight's feature and class are seen and expected bounds its curvature; seven features share each step.
-        step = (seen - expected - RIDGE * weights) / (7 * np.maximum((seen + expected) / 2, 1))
-        speed = MOMENTUM * speed + RATE * step
-        weights = weights + speed
-    return weights.astype(np.float32)
+        weights = Weights(table[: CLASSES << CLASS_BITS].reshape(-1, CLASSES), table[CLASSES << CLASS_BITS :].reshape(vocabulary.levels, -1), weights.classes, weights.branches)
+    return weights
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", shared: int = SHARED, steps: int = STEPS) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", shared: int = SHARED, epochs: int = 1) -> DataFrame:
     """Key, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (the model's log10 probability)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("key"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("key"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text"))
     words = common.stash(count_words(_in_training(rows)))
     vocabulary = learn_vocabulary(words, shared)
-    # One weight for each hashed feature and class.
-    weights = train(class_counts(_in_training(rows), vocabulary.own_class), steps)
-    model = spark.sparkContext.broadcast((vocabulary, weights))
+    model = spark.sparkContext.broadcast((vocabulary, train(_in_training(rows), vocabulary, epochs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each document's sums over shared words, and its other words with their frequency."""
         vocabulary, weights = model.value
-        seen: dict[bytes, int] = {}
-        cache = np.full((CLASSES**3, CLASSES), np.nan, np.float32)
-        ready = np.zeros(CLASSES**3, bool)
-        log_total = np.log10(vocabulary.class_total)
-        get = vocabulary.counts.get
-        for batch in common.slices(batches, "text"):
-            of = [tokens(t) for t in common.texts(batch, "text")]
-            sizes = np.array([len(t) for t in of])
-            classes = _classes(of, vocabulary.own_class, seen)
-            history = _histories(classes, sizes)
-            new = np.unique(history[~ready[history]])
-            cache[new] = log_classes(weights, new)
-            ready[new] = True
-            in_class = cache[history, classes] / np.log(10) - log_total[classes]
-            c = np.fromiter((get(w, 0) for t in of for w in t), np.int64, len(classes))
+        lexicon = Lexicon(vocabulary)
+        log_total = np.log10(vocabulary.leaf_total)
+        for batch in common.slices(batches, "text", 6 * UPDATE):
+            found, leaf, numbers, sizes = _numbered(common.texts(batch, "text"), lexicon)
+            logs = np.concatenate([weights.log_leaves([f[at : at + UPDATE] for f in found], leaf[at : at + UPDATE]) for at in range(0, len(leaf), UPDATE)])
+            c = lexicon.known[numbers]
             starts = np.cumsum(sizes) - sizes
             add = lambda x: np.add.reduceat(x, starts)
-            others = [list(Counter(w for w in t if w not in vocabulary.counts).items()) for t in of]
-            others_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
+            missing = np.flatnonzero(c == 0)
+            of = np.searchsorted(starts, missing, side="right") - 1
+            others = [[{"word": lexicon.words[i], "times": n} for i, n in Counter(numbers[part].tolist()).items()] for part in np.split(missing, np.searchsorted(of, np.arange(1, len(sizes))))]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("key"),
@@ -266,13 +393,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", shared: int
                     pa.array(sizes.astype(np.int64)),
                     pa.array(add((c > 0).astype(np.int64))),
                     pa.array(add(np.log10(c + 1.0))),
-                    pa.array(add(in_class.astype(np.float64))),
-                    pa.array([[{"word": w, "times": n} for w, n in x] for x in others], others_type),
+                    pa.array(add(logs / np.log(10) - log_total[leaf])),
+                    pa.array(others, pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))),
                 ],
-                ["key", "held_out", "n_tokens", "n_known", "log_counts", "log_classes", "others"],
+                ["key", "held_out", "n_tokens", "n_known", "log_counts", "log_leaves", "others"],
             )
 
-    schema = "key bigint, held_out boolean, n_tokens bigint, n_known bigint, log_counts double, log_classes double, others array<struct<word:binary,times:bigint>>"
+    kind = rows.schema["key"].dataType.simpleString()
+    schema = f"key {kind}, held_out boolean, n_tokens bigint, n_known bigint, log_counts double, log_leaves double, others array<struct<word:binary,times:bigint>>"
     sums = common.stash(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
     other = sums.select("row", F.explode("others").alias("o")).select("row", "o.word", "o.times")
     found = other.join(words, "word").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_counts"))
@@ -285,6 +413,5 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", shared: int
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (log_counts - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
-        (log_counts + F.col("log_classes")).alias("score"),
+        (log_counts + F.col("log_leaves")).alias("score"),
     )
-
