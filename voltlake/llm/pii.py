@@ -5,15 +5,17 @@ same pseudonym, in every document, and pseudonyms look like what they stand for:
 
 * card numbers (13 to 19 digits, Luhn valid): all digits but the last are permuted, the last is the check digit again
 * telephone numbers (optional country code, area code, 7 digits): digits are permuted, marks and country code stay, and the area code's first digit is 0 only where it was
-* dates (ISO, or day and month with / or ., years 1800 to 2199, days that exist): another day that exists, in the same format
-* social security numbers (three groups that are not all zero): digits are permuted
+* dates (ISO, or day and month with / or ., years 1800 to 2199, days that exist): another day that exists, in the same order and with the same marks; without leading zeros where a day or month had none
+* social security numbers (three groups that are not all zero): others of that kind
 * IPv4 addresses (octets up to 255): octets are permuted in two halves
 * e-mail addresses (local part of up to 64 characters): letters and digits of the local part, each among their kind
-* access keys (AKIA and 16 capitals or digits) and values of password=, token= or secret=: letters and digits, each among their kind
+* access keys (AKIA and 16 capitals or digits) and values of password=, token= or secret= (of six characters or more, however long; with
+  blanks around the mark if they are quoted): letters and digits, each among their kind
 
 What fails its validation stays as it is. `pseudonymise` reads only the key and the text; columns of any other name are
 ignored. Null text stays null (n_found 0), empty text empty; a null or repeated key is no matter; a long text is split at
-its matches once. An empty table gives an empty result. The secret is a parameter; without it nobody can reverse a pseudonym.
+its matches once. An empty table gives an empty result. The secret has no default: without it nobody can reverse a pseudonym.
+The result holds no value as it was. One letter or digit alone of its kind has few pseudonyms to choose from, so it is hidden among ten or 26.
 """
 
 from __future__ import annotations
@@ -24,11 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-SECRET = "voltlake"
 
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}"
 _KEY = r"\bAKIA[A-Z0-9]{16}\b"
-_ASSIGNED = r"(?i:\b(?:password|passwd|token|secret)=)[A-Za-z0-9]{6,64}+"
+_ASSIGNED = r"(?i:\b(?:password|passwd|token|secret)(?:=| ?= ?[\"']))[A-Za-z0-9_+/-]{6,}+"
 _DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{4})(?![\d/-])"
 _IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -137,7 +138,8 @@ def _date(m: Column, secret: str) -> Column:
     new = F.element_at(F.transform(F.array(moved), lambda p: F.date_add(first, (p["l"] * 773 + p["r"]).cast("int"))), 1)
     mark = F.when(m.contains("/"), "/").otherwise(".")
     # A pseudonym's own day and month are written as the day comes first, or as the month does where it did.
-    day_text, month_text = F.date_format(new, "dd"), F.date_format(new, "MM")
+    bare = m.rlike(r"^\d[/.]|[/.]\d[/.]")
+    day_text, month_text = (F.when(bare, F.date_format(new, p[:1])).otherwise(F.date_format(new, p)) for p in ("dd", "MM"))
     slashed = F.concat(F.when(month_first, month_text).otherwise(day_text), mark, F.when(month_first, day_text).otherwise(month_text), mark, F.date_format(new, "yyyy"))
     return F.when((n >= 0) & (n < 146097), F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(slashed)).otherwise(m)
 
@@ -151,19 +153,22 @@ def _ip(m: Column, secret: str) -> Column:
 
 
 def _ssn(m: Column, secret: str) -> Column:
-    valid = ~m.rlike("^000|-00-|0000$")
-    return F.when(valid, _refill(m, _DIGITS, _digits(F.regexp_replace(m, "-", ""), 10, "ssn", secret))).otherwise(m)
+    """999 areas; 99 groups of 9,999 numbers each."""
+    part = lambda i: F.element_at(F.split(m, "-"), i).cast("long") - 1
+    pair = _feistel(part(1), part(2) * 9999 + part(3), F.lit(999), F.lit(99 * 9999), "ssn", secret)
+    padded = lambda x, n: F.lpad((x + 1).cast("int").cast("string"), n, "0")
+    text = F.element_at(F.transform(F.array(pair), lambda p: F.concat_ws("-", padded(p["l"], 3), padded(F.floor(p["r"] / 9999), 2), padded(p["r"] % 9999, 4))), 1)
+    return F.when(~m.rlike("^000|-00-|0000$"), text).otherwise(m)
 
 
-def pseudonym(m: Column, secret: str = SECRET) -> Column:
+def pseudonym(m: Column, secret: str) -> Column:
     """Of a match of PATTERN; itself where it isn't valid."""
     local = F.substring_index(m, "@", 1)
-    name = F.substring_index(m, "=", 1)
-    value = F.substring(m, F.length(name) + 2, F.length(m))
+    value = F.regexp_extract(m, "[A-Za-z0-9_+/-]*$", 0)
     whole = lambda kind: m.rlike(f"^(?:{KINDS[kind]})$")
     cases = [
         (m.contains("@"), F.concat(_by_kind(local, "email", secret), F.substring(m, F.length(local) + 1, F.length(m)))),
-        (m.contains("="), F.concat(name, F.lit("="), _by_kind(value, "assigned", secret))),
+        (m.contains("="), F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value)), _by_kind(value, "assigned", secret))),
         (m.startswith("AKIA"), F.concat(F.lit("AKIA"), _by_kind(F.substring(m, F.lit(5), F.length(m)), "key", secret))),
         (whole("date"), _date(m, secret)),
         (whole("ip"), _ip(m, secret)),
@@ -173,8 +178,10 @@ def pseudonym(m: Column, secret: str = SECRET) -> Column:
     return reduce(lambda other, case: F.when(case[0], case[1]).otherwise(other), reversed(cases), _card(m, secret))
 
 
-def pseudonymise(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: str = SECRET) -> DataFrame:
-    """Per document row: the key, the text with pseudonyms, n_found (valid values), and `kinds`, how many of each kind of pair (value, pseudonym) as `pairs`."""
+def pseudonymise(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document row: the key, the text with pseudonyms, n_found (values that have another one now), and these pseudonyms in order."""
+    if not secret:
+        raise ValueError("pseudonyms need a secret")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     # Each kind has a digit, an @ or one of two words in it: other texts aren't searched.
     matches = F.when(F.col("text").rlike(r"[0-9@]|AKIA|="), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
@@ -182,10 +189,10 @@ def pseudonymise(docs: DataFrame, key: str = "doc_id", text: str = "text", secre
     found = found.withColumn("new", F.transform("found", lambda m: pseudonym(m, secret)))
     parts = F.split("text", PATTERN, -1)
     woven = F.array_join(F.zip_with(parts, "new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    pairs = F.filter(F.arrays_zip(F.col("found").alias("value"), F.col("new").alias("pseudonym")), lambda p: p["value"] != p["pseudonym"])
+    moved = F.filter(F.arrays_zip(F.col("found").alias("value"), F.col("new").alias("pseudonym")), lambda p: p["value"] != p["pseudonym"])
     return found.select(
         F.col("key").alias(key),
         F.when(F.size("found") > 0, woven).otherwise(F.col("text")).alias("text"),
-        F.size(pairs).cast("long").alias("n_found"),
-        pairs.alias("pairs"),
+        F.size(moved).cast("long").alias("n_found"),
+        F.transform(moved, lambda p: p["pseudonym"]).alias("pseudonyms"),
     )

@@ -49,7 +49,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(read(spark, sf_dir, "documents"))
+    return pii.pseudonymise(read(spark, sf_dir, "documents"), secret="of these synthetic tables only")
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
