@@ -28,7 +28,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, islice
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Classes: the end, FREQUENT single words, and those that words share.
-CLASSES, FREQUENT = 32, 15
+CLASSES, FREQUENT = 24, 15
 SINGLE = FREQUENT + 1
 #: Levels of a shared class's tree: as many as give each word a leaf, but at most these.
 MOST_LEVELS = 12
@@ -56,6 +56,8 @@ CELLS, FAN = 1 << 14, 64
 SHARED, SHARED_BYTES = 1 << 17, 40
 #: Distinct words that a task counts before it hands the counts on.
 FLUSH = 200_000
+#: Of word hashes, as Spark has it.
+SEED = 42
 END = b""
 _U = np.uint64
 
@@ -79,7 +81,7 @@ def _inside(levels: int) -> int:
 
 def word_hash(word: bytes) -> int:
     """As Spark's xxhash64 has it, but unsigned."""
-    return xxhash.xxh64_intdigest(word, 42)
+    return xxhash.xxh64_intdigest(word, SEED)
 
 
 def held_out(key: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -172,14 +174,6 @@ def learn_vocabulary(words: DataFrame, shared: int = SHARED) -> Vocabulary:
     return Vocabulary(totals.n, totals.v, counts, own, leaf_total, levels)
 
 
-class _Numbers(dict):
-    """Word -> its number, in the order of appearance."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 class Lexicon:
     """What a worker remembers of the words it has met, up to a bound: arrays by a word's number."""
 
@@ -188,25 +182,35 @@ class Lexicon:
         self.clear()
 
     def clear(self) -> None:
-        self.numbers = _Numbers()
+        self.numbers: dict[bytes, int] = {}
         self.words: list[bytes] = []
         self.hash, self.leaf, self.known = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        own = self.vocabulary.own_class
+        self._add(list(own))
+        self.leaf[:] = [_inside(self.vocabulary.levels) + k for k in own.values()]
+
+    def _add(self, new: list[bytes]) -> None:
+        """Words that are no class of their own."""
+        levels, digest = self.vocabulary.levels, xxhash.xxh64_intdigest
+        self.numbers.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
+        self.words += new
+        hashes = np.array([digest(w, SEED) for w in new], np.uint64)
+        ends = np.frombuffer(b"".join([w[-2:].rjust(2, b"\0") for w in new]), ">u2").astype(np.int64)
+        self.hash = np.append(self.hash, hashes)
+        self.leaf = np.append(self.leaf, (_shape(ends) << levels) + (hashes >> _U(64 - levels)).view(np.int64))
+        self.known = np.append(self.known, np.fromiter(map(self.vocabulary.counts.get, new, repeat(0)), np.int64, len(new)))
 
     def of(self, texts: list[list[bytes]]) -> np.ndarray:
         """The numbers of all tokens of several texts, one after the other."""
         if len(self.numbers) > 2 * FLUSH:
             self.clear()
-        out = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
-        new = list(islice(self.numbers, len(self.words), None))
-        if new:
-            v = self.vocabulary
-            hashes = np.array([word_hash(w) for w in new], np.uint64)
-            k = np.array([v.own_class.get(w, -1) for w in new])
-            shared = (_shape(np.array([int.from_bytes(w[-2:], "big") for w in new])) << v.levels) + (hashes >> _U(64 - v.levels)).view(np.int64)
-            self.words += new
-            self.hash = np.append(self.hash, hashes)
-            self.leaf = np.append(self.leaf, np.where(k < 0, shared, _inside(v.levels) + k))
-            self.known = np.append(self.known, np.array([v.counts.get(w, 0) for w in new], np.int64))
+        flat = list(chain.from_iterable(texts))
+        out = np.fromiter(map(self.numbers.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            words = [flat[i] for i in missing.tolist()]
+            self._add(list(dict.fromkeys(words)))
+            out[missing] = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         return out
 
 
@@ -233,12 +237,13 @@ class Weights:
     branches: np.ndarray
 
     def class_logits(self, found: list[np.ndarray]) -> np.ndarray:
-        """Of each class given the history, a row for each token of which `found` has the features; the greatest one about 0."""
+        """Of each class given the history, a row for each token of which `found` has the features; the greatest one 0, none below -40."""
         logits = self.classes + np.take(self.to_class, (found[0] >> _U(64 - CLASS_BITS)).view(np.int64), axis=0)
         for f in found[1:]:
             logits += np.take(self.to_class, (f >> _U(64 - CLASS_BITS)).view(np.int64), axis=0)
         logits -= logits.max(axis=1, keepdims=True)
-        return logits
+        # Numbers too small for single precision would slow all sums down.
+        return np.maximum(logits, np.float32(-40), out=logits)
 
     def branch_logits(self, found: list[np.ndarray], leaf: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
         """At each level of the way to each token's leaf: the log-odds of the way that is taken, and the cells of the weights."""
@@ -247,7 +252,7 @@ class Weights:
         for level in range(levels):
             at = k + (1 << level) + (path >> (levels - level))
             own = np.take(_BRANCH, at)
-            cells = [(((f ^ own) * _U(0xD6E8FEB86659FD93)) >> _U(64 - LEVEL_BITS)).view(np.int64) for f in found[:WITHIN]]
+            cells = [(((f ^ own) * _U(0xD6E8FEB86659FD93)) >> _U(64 - LEVEL_BITS)).view(np.int64) for f in found]
             logit = np.take(self.branches, at)
             for c in cells:
                 logit += np.take(self.to_branch[level], c)
@@ -259,7 +264,7 @@ class Weights:
         logits = self.class_logits(found)
         out = (logits[np.arange(len(leaf)), k] - np.log(np.exp(logits).sum(axis=1))).astype(np.float64)
         against = np.ones(len(shared))
-        for _, logit, _ in self.branch_logits([f[shared] for f in found], leaf[shared]):
+        for _, logit, _ in self.branch_logits([f[shared] for f in found[:WITHIN]], leaf[shared]):
             against *= 1 + np.exp(np.minimum(-logit, np.float32(50)))
         out[shared] -= np.log(against)
         return out
@@ -286,9 +291,8 @@ class Trainer:
         off = np.exp(self.w.class_logits(found))
         off /= -off.sum(axis=1, keepdims=True)
         off[np.arange(len(leaf)), k] += 1
-        off = off.astype(np.float64).ravel()
-        k = np.arange(CLASSES)
-        gradient = sum(np.bincount((((f >> _U(64 - CLASS_BITS)).view(np.int64) * CLASSES)[:, None] + k).ravel(), off, minlength=CLASSES << CLASS_BITS) for f in found)
+        weights, k = off.astype(np.float64).ravel(), np.arange(CLASSES)
+        gradient = sum(np.bincount((((f >> _U(64 - CLASS_BITS)).view(np.int64) * CLASSES)[:, None] + k).ravel(), weights, minlength=CLASSES << CLASS_BITS) for f in found)
         gradient = gradient.astype(np.float32).reshape(-1, CLASSES)
         self.seen_class += gradient**2
         self.w.to_class += RATE * gradient / np.sqrt(self.seen_class + np.float32(1e-6))
