@@ -68,6 +68,8 @@ def test_delta_is_antisymmetric_and_erd_is_relative(spark):
     assert erd == {"Acting": -50.0, "Typing": 150.0}
     zero = ft.withColumn("mav", F.when(F.col("task") == "Resting", 0.0).otherwise(F.col("mav")))
     assert {r.erd_ers_pct for r in delta.erd_ers(zero).collect()} == {0.0}
+    none = ft.withColumn("mav", F.when(F.col("task") != "Resting", F.col("mav")))
+    assert {r.erd_ers_pct for r in delta.erd_ers(none).collect()} == {None}
 
 
 def test_transitions_leave_out_subjects_without_both_and_give_a_lone_subject_no_error(spark):
@@ -114,6 +116,8 @@ def test_bad_channels(spark):
 def test_ratios_and_bands(spark):
     rows = spark.createDataFrame([("x", "Alpha", 4.0), ("x", "Beta", 2.0), ("x", "Delta", 1.0)], "channel string, subband string, band_power double")
     assert {r.ratio_name: r.value for r in features.band_ratios(rows, ["channel"]).collect()} == {"alpha_beta": 2.0, "theta_alpha": 0.0, "delta_theta": 0.0}
+    again = rows.withColumn("at", F.lit(1)).union(rows.withColumns({"band_power": F.col("band_power") / 4, "at": F.lit(2)}).where("subband = 'Alpha'"))
+    assert [{r.ratio_name: r.value for r in features.band_ratios(again, ["channel"], order=o).collect()}["alpha_beta"] for o in (None, "at")] == [2.0, 0.5]
     import numpy as np
 
     tone = np.sin(2 * np.pi * 10 * np.arange(128) / 128).tolist()

@@ -36,11 +36,11 @@ def delta_summary(delta: DataFrame, names: list[str] | None = None) -> DataFrame
 
 
 def erd_ers(features: DataFrame, baseline: str = "Resting", feature: str = "mav") -> DataFrame:
-    """Change of each task against the baseline in percent; 0 where the baseline is 0."""
+    """Change of each task against the baseline in percent; 0 where the baseline is 0, null where either value is."""
     keys = ["filename", "channel", "subband"]
     base = features.where(F.col("task") == baseline).select(*keys, F.col(feature).alias("baseline_value"))
     task = features.where(F.col("task") != baseline).select(*keys, "task", F.col(feature).alias("task_value"))
-    change = F.when(F.col("baseline_value") != 0, F.try_divide(100 * (F.col("task_value") - F.col("baseline_value")), F.col("baseline_value"))).otherwise(0.0)
+    change = F.when(F.col("baseline_value") == 0, 0.0).otherwise(F.try_divide(100 * (F.col("task_value") - F.col("baseline_value")), F.col("baseline_value")))
     return task.join(base, keys).select(*keys, "task", "baseline_value", "task_value", change.alias("erd_ers_pct"))
 
 

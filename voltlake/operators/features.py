@@ -135,10 +135,12 @@ def band_table(spectrum: DataFrame, keys: list[str], subbands: dict[str, tuple[f
     )
 
 
-def band_ratios(features: DataFrame, keys: list[str], ratios: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """keys, ratio_name, value of band_power; 0 if the denominator is missing or not above 0. `features` has a row per key and band."""
+def band_ratios(features: DataFrame, keys: list[str], ratios: list[tuple[str, str, str]] | None = None, order: str | None = None) -> DataFrame:
+    """keys, ratio_name, value of band_power; 0 if the denominator is missing or not above 0. Of several rows of a key and band the last by `order` counts, or the greatest power if rows have no order."""
     names = sorted({b for _, *pair in ratios or RATIOS for b in pair})
-    power = features.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(F.col("subband").isin(names), F.struct("subband", "band_power")))).alias("power"))
+    of = lambda c, n: F.when(F.col("subband") == n, F.col(c))
+    each_band = [F.max_by("band_power", of(order, n)) if order else F.max(of("band_power", n)) for n in names]
+    power = features.groupBy(*keys).agg(F.create_map(*(x for n, p in zip(names, each_band, strict=True) for x in (F.lit(n), p))).alias("power"))
     each = power.crossJoin(F.broadcast(ratio_table(features.sparkSession, ratios)))
     num, den = F.coalesce(F.element_at("power", F.col("num")), F.lit(0.0)), F.coalesce(F.element_at("power", F.col("den")), F.lit(0.0))
     return each.select(*keys, "ratio_name", F.when(den > 0, F.try_divide(num, den)).otherwise(0.0).alias("value"))

@@ -190,7 +190,7 @@ def _aligned(spark: SparkSession, d: str) -> DataFrame:
 
 _AL = f"sd AS ({_SD}), al AS (SELECT channel, subband, " + ", ".join(f"max(std_delta) FILTER (task = '{t}') AS {t}" for t in "ANR") + ", avg(std_delta) AS avg FROM sd WHERE feature = 'mav' GROUP BY ALL)"
 add("aligned_results", _aligned, [_FT, _SP, _AL], "SELECT * FROM al", "A N R avg", "channel subband")
-add("top15_avg_delta", lambda s, d: reshape.top(_aligned(s, d), "avg", ["channel", "subband"], 10).select("channel", "subband", "avg"), [_FT, _SP, _AL], "SELECT * FROM al ORDER BY avg DESC, channel, subband LIMIT 10", "avg", "channel subband")
+add("top15_avg_delta", lambda s, d: reshape.top(_aligned(s, d), "avg", ["channel", "subband"], 15).select("channel", "subband", "avg").orderBy("avg", "channel", "subband"), [_FT, _SP, _AL], "SELECT * FROM al ORDER BY avg DESC, channel, subband LIMIT 15", "avg", "channel subband")
 
 
 def _orders(spark: SparkSession, d: str) -> DataFrame:
