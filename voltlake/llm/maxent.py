@@ -296,7 +296,7 @@ class Trainer:
         gradient = gradient.astype(np.float32).reshape(-1, CLASSES)
         self.seen_class += gradient**2
         self.w.to_class += RATE * gradient / np.sqrt(self.seen_class + np.float32(1e-6))
-        found = [f[shared] for f in found]
+        found = [f[shared] for f in found[:WITHIN]]
         for level, logit, cells in self.w.branch_logits(found, leaf[shared]):
             step = 1 / (1 + np.exp(logit))
             step = np.where(leaf[shared] >> (len(self.w.to_branch) - 1 - level) & 1, step, -step).astype(np.float64)
