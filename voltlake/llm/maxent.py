@@ -184,21 +184,25 @@ class Lexicon:
     def clear(self) -> None:
         self.numbers: dict[bytes, int] = {}
         self.words: list[bytes] = []
-        self.hash, self.leaf, self.known = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # Longer than there are words, so that they needn't be copied for each few new ones.
+        self.hash, self.leaf, self.known = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         own = self.vocabulary.own_class
         self._add(list(own))
-        self.leaf[:] = [_inside(self.vocabulary.levels) + k for k in own.values()]
+        self.leaf[: len(own)] = [_inside(self.vocabulary.levels) + k for k in own.values()]
 
     def _add(self, new: list[bytes]) -> None:
         """Words that are no class of their own."""
         levels, digest = self.vocabulary.levels, xxhash.xxh64_intdigest
-        self.numbers.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
+        at = slice(len(self.words), len(self.words) + len(new))
+        self.numbers.update(zip(new, range(at.start, at.stop), strict=True))
         self.words += new
+        if at.stop > len(self.hash):
+            self.hash, self.leaf, self.known = (np.concatenate((x, np.zeros(at.stop, x.dtype))) for x in (self.hash, self.leaf, self.known))
         hashes = np.array([digest(w, SEED) for w in new], np.uint64)
         ends = np.frombuffer(b"".join([w[-2:].rjust(2, b"\0") for w in new]), ">u2").astype(np.int64)
-        self.hash = np.append(self.hash, hashes)
-        self.leaf = np.append(self.leaf, (_shape(ends) << levels) + (hashes >> _U(64 - levels)).view(np.int64))
-        self.known = np.append(self.known, np.fromiter(map(self.vocabulary.counts.get, new, repeat(0)), np.int64, len(new)))
+        self.hash[at] = hashes
+        self.leaf[at] = (_shape(ends) << levels) + (hashes >> _U(64 - levels)).view(np.int64)
+        self.known[at] = np.fromiter(map(self.vocabulary.counts.get, new, repeat(0)), np.int64, len(new))
 
     def of(self, texts: list[list[bytes]]) -> np.ndarray:
         """The numbers of all tokens of several texts, one after the other."""
@@ -300,7 +304,7 @@ class Trainer:
         for level, logit, cells in self.w.branch_logits(found, leaf[shared]):
             step = 1 / (1 + np.exp(logit))
             step = np.where(leaf[shared] >> (len(self.w.to_branch) - 1 - level) & 1, step, -step).astype(np.float64)
-            gradient = sum(np.bincount(c, step, minlength=1 << LEVEL_BITS) for c in cells).astype(np.float32)
+            gradient = np.bincount(np.concatenate(cells), np.tile(step, len(cells)), minlength=1 << LEVEL_BITS).astype(np.float32)
             self.seen_branch[level] += gradient**2
             self.w.to_branch[level] += RATE * gradient / np.sqrt(self.seen_branch[level] + np.float32(1e-6))
 
@@ -388,8 +392,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", shared: int
             starts = np.cumsum(sizes) - sizes
             add = lambda x: np.add.reduceat(x, starts)
             missing = np.flatnonzero(c == 0)
-            of = np.searchsorted(starts, missing, side="right") - 1
-            others = [[{"word": lexicon.words[i], "times": n} for i, n in Counter(numbers[part].tolist()).items()] for part in np.split(missing, np.searchsorted(of, np.arange(1, len(sizes))))]
+            of = np.repeat(np.arange(len(sizes)), sizes)[missing]
+            each, times = np.unique(of << 32 | numbers[missing], return_counts=True)
+            words = pa.array([lexicon.words[i] for i in (each & 0xFFFFFFFF).tolist()], pa.binary())
+            others = pa.StructArray.from_arrays([words, pa.array(times.astype(np.int64))], ["word", "times"])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("key"),
@@ -398,7 +404,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", shared: int
                     pa.array(add((c > 0).astype(np.int64))),
                     pa.array(add(np.log10(c + 1.0))),
                     pa.array(add(logs / np.log(10) - log_total[leaf])),
-                    pa.array(others, pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))),
+                    pa.ListArray.from_arrays(pa.array(np.searchsorted(each >> 32, np.arange(len(sizes) + 1)).astype(np.int32)), others),
                 ],
                 ["key", "held_out", "n_tokens", "n_known", "log_counts", "log_leaves", "others"],
             )
