@@ -39,6 +39,15 @@ def folder(spark, tmp_path_factory):
     return str(path)
 
 
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def similar(sets):
+    return [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+
 def test_each_stage_equals_brute_force_on_its_own_input(spark, folder):
     docs = common.read(spark, folder, "documents")
     seen = {}
@@ -62,8 +71,9 @@ def test_each_stage_equals_brute_force_on_its_own_input(spark, folder):
     assert after == {d: t for d, t in want.items() if t == before[d] or t.strip()}
 
     before, after = seen["simhash"]
-    fps = {d: test_simhash.fingerprint(t) for d, t in before.items()}
-    roots = test_simhash.groups([(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3], list(fps))
+    sets = {d: shingles(t) for d, t in before.items()}
+    roots = test_simhash.groups(similar(sets), list(sets))
+    assert any(roots[d] != d for d in roots)
     assert after == {d: t for d, t in before.items() if roots[d] == d}
 
     before, after = seen["decontaminate"]
@@ -100,10 +110,36 @@ def test_simhash_stage_finds_planted_copies_of_similarity_four_fifths(spark, fol
         for j in range(0, len(c), 20):  # too many changes for the similarity, and only for that
             c[j + 7] = word()
         rows += [(3 * i, " ".join(a)), (3 * i + 1, " ".join(b)), (3 * i + 2, " ".join(c))]
-    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for d, t in rows}
-    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    sets = {d: shingles(t) for d, t in rows}
+    near = similar(sets)
     fps = {d: test_simhash.fingerprint(t) for d, t in rows}
     assert len(near) >= 60 and sum((fps[a] ^ fps[b]).bit_count() > 3 for a, b in near) > 30
     roots = test_simhash.groups(near, list(sets))
     frame = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA).repartition(3)
     assert {r.doc_id for r in P.simhash_stage(spark, frame, folder).collect()} == {d for d in sets if roots[d] == d}
+
+
+def test_texts_around_one_passage_meet_only_in_what_is_rare(spark, folder):
+    """A group that shares most of its shingles without being similar makes no pairs; the similar ones among it are found."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    passage = [word() for _ in range(100)]
+    rows = []
+    for i in range(150):
+        own = [word() for _ in range(rng.choice([30, 40, 60]))]
+        rows.append((2 * i, " ".join(passage + own)))
+        if i % 5 == 0:
+            own[-8] = word()
+            rows.append((2 * i + 1, " ".join(passage + own)))
+    sets = {d: shingles(t) for d, t in rows}
+    near = similar(sets)
+    roots = test_simhash.groups(near, list(sets))
+    frame = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA).repartition(3)
+    assert {r.doc_id for r in P.simhash_stage(spark, frame, folder).collect()} == {d for d in sets if roots[d] == d}
+
+    hashed = {d: simhash.shingle_set(t.encode()) for d, t in rows}
+    about = {d: {"size": len(h), "sketch": simhash.sketch(simhash.least_hashes(h)).view("<i8").tolist()} for d, h in hashed.items()}
+    made = spark.createDataFrame([(d, h.view("<i8").tolist()) for d, h in hashed.items()], "set bigint, shingles array<bigint>")
+    named = spark.createDataFrame([(d, d, about[d]) for d in hashed], "set bigint, root bigint, about struct<size:int,sketch:array<bigint>>")
+    pairs = {tuple(sorted((r.a, r.b))) for r in simhash._prefix_pairs(made, named, 0.8).collect()}
+    assert set(near) <= pairs and len(pairs) < 2 * len(near) + 10

@@ -16,8 +16,9 @@ built in the task that holds it. Copies are one fingerprint before anything is d
 
 `similar_representatives` links texts by the Jaccard similarity of their shingles instead. `BANDS` hashed signatures of
 each set, of `ROWS` least hashes each, name buckets: a pair at the limit of 0.8 shares none with a chance of 6e-7. Each
-bucket's members are first held against its least one, then all pairs of it that aren't in one component yet against each
-other; every pair is verified on the sets themselves.
+bucket's members are first held against its least one. Sets of buckets that aren't one component then meet in their rarest
+shingles, so that a large group of texts that are alike but not similar makes few pairs; every pair is verified on the sets
+themselves.
 """
 
 from __future__ import annotations
@@ -272,9 +273,8 @@ def _may_be_similar(a: str, b: str, similarity: float) -> Column:
     return (F.least(size(a), size(b)) >= F.greatest(size(a), size(b)) * similarity) & (differ <= n * p + 5.5 * (n * p * (1 - p)) ** 0.5)
 
 
-def _verified(pairs: DataFrame, of: DataFrame, docs: DataFrame, key: str, text: str, size: int, similarity: float) -> DataFrame:
-    """Those of the pairs `a`, `b` of sets that are similar; of the sets only those that a pair has are made again."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+def _sets(asked: DataFrame, of: DataFrame, docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """`set` and its `shingles` for the sets of `asked` alone, made again of one text of each."""
     first = of.join(asked.select(F.bitwise_not("set").alias("k")), F.bitwise_not("set") == F.col("k"), "left_semi").groupBy("set").agg(F.min(F.struct("id", "same")).alias("first"))
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("id"), _same(text).alias("same"), F.col(text).alias("text"))
     rows = rows.join(first.select("set", "first.id", "first.same"), ["id", "same"]).select("set", "text").dropDuplicates(["set"])
@@ -284,7 +284,11 @@ def _verified(pairs: DataFrame, of: DataFrame, docs: DataFrame, key: str, text:
             found = [shingle_set(t, size).view(np.int64) for t in common.texts(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array(found, pa.list_(pa.int64()))], ["set", "shingles"])
 
-    made = common.stash(rows.mapInArrow(sets, "set bigint, shingles array<bigint>"))
+    return common.stash(rows.mapInArrow(sets, "set bigint, shingles array<bigint>"))
+
+
+def _similar(pairs: DataFrame, made: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs `a`, `b` of sets that are similar."""
     side = lambda c, k: made.select(F.bitwise_not("set").alias(k), F.col("shingles").alias(c))
     both = pairs.join(side("x", "kx"), F.bitwise_not("a") == F.col("kx")).join(side("y", "ky"), F.bitwise_not("b") == F.col("ky")).select("a", "b", "x", "y")
 
@@ -300,6 +304,33 @@ def _verified(pairs: DataFrame, of: DataFrame, docs: DataFrame, key: str, text:
     return common.stash(both.mapInArrow(compare, "a bigint, b bigint"))
 
 
+def _prefix_pairs(made: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
+    """Pairs `a`, `b` of the sets of `made` that may be similar and have different roots; `named` has `set`, `root`, `about`.
+
+    Shingles are put in order, the rarest of these sets first. If the first one that a pair shares stands at i in one set
+    and at j in the other, they share at most min(size - i, size - j): so a similar pair meets in an early one, and what
+    many sets have in common stands late. No similar pair is missed here but for the sketches.
+    """
+    shingle = made.select("set", F.size("shingles").alias("size"), F.explode("shingles").alias("h"))
+    often = shingle.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("h").alias("k"), "n")
+    ranked = shingle.join(often, F.bitwise_not("h") == F.col("k")).groupBy("set").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "h"))).alias("shared"))
+    # Those that no other set has come first, without being met.
+    left = ranked.select("set", "size", F.size("shared").alias("left"), F.posexplode("shared").alias("i", "e")).select("set", "size", "e.h", (F.col("left") - F.col("i")).alias("left"))
+    early = left.where(F.col("left") >= similarity * F.col("size") - 1e-6)
+    early = common.stash(early.join(named.select(F.bitwise_not("set").alias("k"), "root", "about"), F.bitwise_not("set") == F.col("k")).drop("k"))
+    part = similarity / (1 + similarity)
+    small = early.where(F.col("left") >= 2 * part * F.col("size") - 1e-6).select(F.bitwise_not("h").alias("k"), *(F.col(c).alias(f"{c}_b") for c in ("set", "size", "left", "root", "about")))
+    met = early.join(
+        small,
+        (F.bitwise_not("h") == F.col("k"))
+        & (F.struct("size_b", "set_b") < F.struct("size", "set"))
+        & (F.col("root") != F.col("root_b"))
+        & (F.least("left", "left_b") >= part * (F.col("size") + F.col("size_b")) - 1e-6)
+        & _may_be_similar("about", "about_b", similarity),
+    )
+    return met.select(F.col("set").alias("a"), F.col("set_b").alias("b")).distinct()
+
+
 def similar_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SET_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each component of texts of which the shingles have at least this Jaccard similarity, as `representatives` does."""
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("id"), _same(text).alias("same"), F.col(text).alias("text"))
@@ -322,17 +353,16 @@ def similar_representatives(docs: DataFrame, key: str = "doc_id", text: str = "t
     least = member.groupBy("band").agg(F.min(F.struct("set", "about")).alias("b"), F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("band").alias("k"), "b")
     met = common.stash(member.join(least, F.bitwise_not("band") == F.col("k")).select("band", F.col("set").alias("a"), "about", F.col("b.set").alias("b"), F.col("b.about").alias("about_b")))
     first = met.where("a <> b").where(_may_be_similar("about", "about_b", similarity))
-    edges = _verified(common.stash(first.select("a", "b").distinct()), of, docs, key, text, size, similarity)
-    # What the least ones don't hold together: pairs of a bucket in different components, those with the least one left out.
+    first = common.stash(first.select("a", "b").distinct())
+    edges = _similar(first, _sets(first.select(F.explode(F.array("a", "b")).alias("set")).distinct(), of, docs, key, text, size), similarity)
+    # What the least ones don't hold together: sets that share a bucket with one of another component, the least ones left out.
     roots = common.stash(components(edges))
-    apart = met.join(roots.select(F.bitwise_not("node").alias("k"), "root"), F.bitwise_not("a") == F.col("k"), "left").select("band", "a", "about", "b", F.coalesce("root", "a").alias("root"))
-    # A bucket that is one component already has no such pair.
+    apart = met.where("a <> b").join(roots.select(F.bitwise_not("node").alias("k"), "root"), F.bitwise_not("a") == F.col("k"), "left").select("band", F.col("a").alias("set"), "about", F.coalesce("root", "a").alias("root"))
     open_ = apart.groupBy("band").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select(F.bitwise_not("band").alias("k"))
-    apart = common.stash(apart.join(open_, F.bitwise_not("band") == F.col("k"), "left_semi"))
-    other = apart.where("a <> b").select(F.bitwise_not("band").alias("k"), F.col("a").alias("c"), F.col("root").alias("root_c"), F.col("about").alias("about_c"))
-    rest = apart.where("a <> b").join(other, (F.bitwise_not("band") == F.col("k")) & (F.col("a") > F.col("c")) & (F.col("root") != F.col("root_c")) & _may_be_similar("about", "about_c", similarity))
-    rest = common.stash(rest.select("a", F.col("c").alias("b")).distinct())
-    edges = edges.union(_verified(rest, of, docs, key, text, size, similarity))
+    apart = apart.join(open_, F.bitwise_not("band") == F.col("k"), "left_semi").groupBy("set").agg(F.first("root").alias("root"), F.first("about").alias("about"))
+    apart = common.stash(apart)
+    made = _sets(apart, of, docs, key, text, size)
+    edges = edges.union(_similar(common.stash(_prefix_pairs(made, apart, similarity)), made, similarity))
     roots = components(edges)
     rooted = common.stash(classes.join(roots, classes["set"] == roots["node"], "left").select("first", F.coalesce("root", "set").alias("root")))
     return _kept(docs, rooted.groupBy("root").agg(F.min("first").alias("least")), key, text)
