@@ -64,6 +64,8 @@ def test_delta_is_antisymmetric_and_erd_is_relative(spark):
     forth, back = (delta.task_delta(ft, *pair).orderBy("filename").collect() for pair in (("Resting", "Acting"), ("Acting", "Resting")))
     assert [r.delta_mav for r in forth] == [-r.delta_mav for r in back] == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]
     assert "mav_Resting" in delta.named_after_tasks(delta.task_delta(ft, "Resting", "Acting"), "Resting", "Acting").columns
+    bare = delta.task_delta(ft.drop("category", "subject"), "Resting", "Acting").orderBy("filename")
+    assert "subject" not in bare.columns and [r.delta_mav for r in bare.collect()] == [r.delta_mav for r in forth]
     erd = {r.task: r.erd_ers_pct for r in delta.erd_ers(ft).where("filename = 'f0'").collect()}
     assert erd == {"Acting": -50.0, "Typing": 150.0}
     zero = ft.withColumn("mav", F.when(F.col("task") == "Resting", 0.0).otherwise(F.col("mav")))

@@ -15,10 +15,11 @@ KEYS = ["filename", "channel", "subband", "category", "subject"]
 
 
 def task_delta(features: DataFrame, a: str, b: str, names: list[str] | None = None) -> DataFrame:
-    """KEYS and of each feature {f}_a, {f}_b and delta_{f}, where both tasks have a row."""
+    """KEYS (category and subject only if the features have them) and of each feature {f}_a, {f}_b and delta_{f}, where both tasks have a row."""
     names = names or FEATURES
-    side = lambda task, tag: features.where(F.col("task") == task).select(*KEYS, *(F.col(f).alias(f"{f}_{tag}") for f in names))
-    joined = side(a, "a").join(side(b, "b"), KEYS)
+    keys = [k for k in KEYS if k in features.columns or k not in ("category", "subject")]
+    side = lambda task, tag: features.where(F.col("task") == task).select(*keys, *(F.col(f).alias(f"{f}_{tag}") for f in names))
+    joined = side(a, "a").join(side(b, "b"), keys)
     return joined.withColumns({f"delta_{f}": F.col(f"{f}_a") - F.col(f"{f}_b") for f in names})
 
 
