@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,22 +35,33 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: its lineage ends there, and a lost executor costs no recomputation of it.
-
-    The shuffle files behind it are deleted as soon as it is written.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/voltlake-{uuid.uuid4().hex}"
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries that run within are deleted as soon as these end."""
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         if before is None:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
+
+
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/voltlake-{uuid.uuid4().hex}"
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: its lineage ends there, and a lost executor costs no recomputation of it.
+
+    The shuffle files behind it are deleted as soon as it is written.
+    """
+    spark = df.sparkSession
+    path = new_path(spark)
+    with shuffles_deleted(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed_at = path
     return out
@@ -58,8 +70,12 @@ def stash(df: DataFrame) -> DataFrame:
 def discard(*stashed: DataFrame) -> None:
     """Deletes tables of `stash` that nothing reads any more, as what was made of them is stashed too."""
     for df in stashed:
-        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stashed_at)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        remove(df.sparkSession, df._stashed_at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:
