@@ -36,7 +36,8 @@ def test_a_section_equals_its_recursion():
         want[:, i] = s[0] * x[:, i] + z1
         z1 = s[1] * x[:, i] - s[4] * want[:, i] + z2
         z2 = s[2] * x[:, i] - s[5] * want[:, i]
-    assert np.allclose(K._run_section(s, x, z), want)
+    got, after = K._run_section(s, x, z)
+    assert np.allclose(got, want) and np.allclose(after, np.stack([z1, z2], axis=1))
 
 
 def test_zero_phase_filters_are_linear_even_and_selective():

@@ -34,8 +34,9 @@ def butter_sections(order: int, low: float, high: float) -> np.ndarray:
 _BLOCK = 128
 
 
-def _run_section(s: np.ndarray, x: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """One section over the last axis of many signals (rows) from the states `z` (two for each), a block of samples at a step.
+def _run_section(s: np.ndarray, x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One section over the last axis of many signals (rows) from the states `z` (two for each), a block of samples at a step;
+    and the states after it.
 
     Within a block the output is the impulse response over the block's samples, plus what the state at its start leaves.
     """
@@ -49,46 +50,72 @@ def _run_section(s: np.ndarray, x: np.ndarray, z: np.ndarray) -> np.ndarray:
     lag = np.arange(_BLOCK)[:, None] - np.arange(_BLOCK)[None, :]
     within = np.where(lag >= 0, response[np.abs(lag)], 0.0)
     into = np.array([powers[_BLOCK - 1 - j] @ gain for j in range(_BLOCK)])
-    n = x.shape[1]
-    padded = np.pad(x, ((0, 0), (0, -n % _BLOCK)))
-    y = np.empty_like(padded)
-    for i in range(0, padded.shape[1], _BLOCK):
-        part = padded[:, i : i + _BLOCK]
-        y[:, i : i + _BLOCK] = part @ within.T + z @ rest.T
-        z = z @ powers[_BLOCK].T + part @ into
-    return y[:, :n]
+    y = np.empty_like(x)
+    for i in range(0, x.shape[1], _BLOCK):
+        part = x[:, i : i + _BLOCK]
+        n = part.shape[1]
+        y[:, i : i + n] = part @ within[:n, :n].T + z @ rest[:n].T
+        z = z @ powers[n].T + part @ into[_BLOCK - n :]
+    return y, z
+
+
+def run_sections(sections: np.ndarray, x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All sections, one after the other, over rows of x from states z (two columns for each section); output and states after it."""
+    after = np.empty_like(z)
+    for i, s in enumerate(sections):
+        x, after[:, 2 * i : 2 * i + 2] = _run_section(s, x, z[:, 2 * i : 2 * i + 2])
+    return x, after
+
+
+def steady_state(sections: np.ndarray) -> np.ndarray:
+    """The states that a constant input of 1 leaves unchanged."""
+    out, level = [], 1.0
+    for s in sections:
+        b0, b1, b2, _, a1, a2 = s.tolist()
+        gain = (b0 + b1 + b2) / (1 + a1 + a2)
+        z2 = b2 - a2 * gain
+        out += [level * (b1 - a1 * gain + z2), level * z2]
+        level *= gain
+    return np.array(out)
 
 
-def sections_zero_phase(sections: np.ndarray, x: np.ndarray, pad: int) -> np.ndarray:
-    """Forward and backward over the last axis, with an odd extension of `pad` samples and steady initial states."""
+def odd_extension(x: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """`pad` samples before and after x (last axis), turned about its first and last one."""
     n = x.shape[-1]
     if n <= pad:
         raise ValueError(f"a signal of {n} samples is too short for an extension of {pad}")
-    left = 2 * x[..., :1] - x[..., pad:0:-1]
-    right = 2 * x[..., -1:] - x[..., -2 : -pad - 2 : -1]
+    return 2 * x[..., :1] - x[..., pad:0:-1], 2 * x[..., -1:] - x[..., -2 : -pad - 2 : -1]
+
+
+def sections_zero_phase(sections: np.ndarray, x: np.ndarray, pad: int) -> np.ndarray:
+    """Forward and backward over the last axis, with an odd extension of `pad` samples and steady initial states."""
+    n = x.shape[-1]
+    left, right = odd_extension(x, pad)
     y = np.concatenate((left, x, right), axis=-1)
-    shape = y.shape
+    shape, steady = y.shape, steady_state(sections)
     y = y.reshape(-1, shape[-1])
     for _ in range(2):
-        level = y[:, 0].copy()
-        for s in sections:
-            b0, b1, b2, _, a1, a2 = s.tolist()
-            gain = (b0 + b1 + b2) / (1 + a1 + a2)
-            z2 = b2 - a2 * gain
-            y = _run_section(s, y, level[:, None] * np.array([b1 - a1 * gain + z2, z2]))
-            level = gain * level
-        y = y[:, ::-1]
+        y = run_sections(sections, y, y[:, :1] * steady)[0][:, ::-1]
     return y.reshape(shape)[..., pad : pad + n]
 
 
 def bandpass(x: np.ndarray, sfreq: float, low: float, high: float, order: int = 5, clamp: bool = True) -> np.ndarray:
     """Zero-phase Butterworth band-pass. `clamp` moves edges into (0, Nyquist); otherwise edges outside raise."""
+    return sections_zero_phase(bandpass_sections(sfreq, low, high, order, clamp), x, extension(order))
+
+
+def extension(order: int) -> int:
+    """Samples by which a band-pass of an order extends a signal at each end."""
+    return 3 * (2 * order + 1)
+
+
+def bandpass_sections(sfreq: float, low: float, high: float, order: int = 5, clamp: bool = True) -> np.ndarray:
     a, b = 2 * low / sfreq, 2 * high / sfreq
     if clamp:
         a, b = max(a, 0.001), min(b, 0.999)
     if not 0 < a < b < 1:
         raise ValueError(f"{low}-{high} Hz isn't a band below the Nyquist frequency of {sfreq} Hz")
-    return sections_zero_phase(butter_sections(order, a, b), x, 3 * (2 * order + 1))
+    return butter_sections(order, a, b)
 
 
 def firwin(taps: int, edges: list[float], stop: bool = False) -> np.ndarray:
@@ -115,19 +142,31 @@ def fir_zero_phase(h: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out[..., 2 * half : 2 * half + x.shape[-1]]
 
 
-def fir_bandpass(x: np.ndarray, sfreq: float, low: float, high: float) -> np.ndarray:
+def fir_bandpass_taps(sfreq: float, low: float, high: float) -> np.ndarray:
     """Transition widths follow the edges: a quarter of the low one within 2 Hz and itself, likewise up to the Nyquist frequency."""
+    if not 0 < low < high < sfreq / 2:
+        raise ValueError(f"{low}-{high} Hz isn't a band below the Nyquist frequency of {sfreq} Hz")
     width_low = min(max(low * 0.25, 2.0), low)
     width_high = min(max(high * 0.25, 2.0), sfreq / 2 - high)
     taps = int(math.ceil(3.3 * sfreq / min(width_low, width_high))) | 1
-    return fir_zero_phase(firwin(taps, [2 * (low - width_low / 2) / sfreq, 2 * (high + width_high / 2) / sfreq]), x)
+    return firwin(taps, [2 * (low - width_low / 2) / sfreq, 2 * (high + width_high / 2) / sfreq])
 
 
-def notch(x: np.ndarray, sfreq: float, freq: float) -> np.ndarray:
+def fir_bandpass(x: np.ndarray, sfreq: float, low: float, high: float) -> np.ndarray:
+    return fir_zero_phase(fir_bandpass_taps(sfreq, low, high), x)
+
+
+def notch_taps(sfreq: float, freq: float) -> np.ndarray:
     """A band of a hundredth of its frequency on each side is taken out, transitions of 1 Hz."""
     half = freq / 200 + 0.5
+    if not half < freq < sfreq / 2 - half:
+        raise ValueError(f"{freq} Hz isn't below the Nyquist frequency of {sfreq} Hz by the width of the notch")
     taps = int(math.ceil(3.3 * sfreq)) | 1
-    return fir_zero_phase(firwin(taps, [2 * (freq - half) / sfreq, 2 * (freq + half) / sfreq], stop=True), x)
+    return firwin(taps, [2 * (freq - half) / sfreq, 2 * (freq + half) / sfreq], stop=True)
+
+
+def notch(x: np.ndarray, sfreq: float, freq: float) -> np.ndarray:
+    return fir_zero_phase(notch_taps(sfreq, freq), x)
 
 
 def spectrum(x: np.ndarray, sfreq: float) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +214,7 @@ def fast_ica(x: np.ndarray, components: int, seed: int = 42, rounds: int = 500,
     return w @ white, (u * s) @ w.T
 
 
-def artefacts(sources: np.ndarray, channels: list[str], x: np.ndarray, limit: float = 3.0) -> list[int]:
+def artefacts(sources: np.ndarray, channels: list[str], x: np.ndarray, limit: float = 3.0, muscles: bool = True) -> list[int]:
     """Components that go: of eye movement, those whose correlation with a frontal or eye channel stands out by `limit`
     standard deviations (or exceeds 0.9); of muscles, if temporal channels are there, those whose power above 20 Hz of 128
     (a third of all bins) outweighs the rest."""
@@ -184,17 +223,17 @@ def artefacts(sources: np.ndarray, channels: list[str], x: np.ndarray, limit: fl
         if any(k in c.lower() for k in ("eog", "fp1", "fp2", "f7", "f8")) and x[i].std() > 0:
             r = np.abs(np.array([np.corrcoef(s, x[i])[0, 1] for s in sources]))
             found |= set(np.flatnonzero((r > 0.9) | (r > r.mean() + limit * r.std())).tolist())
-    if any(c.lower() in ("t7", "t8", "tp9", "tp10") for c in channels):
+    if muscles and any(c.lower() in ("t7", "t8", "tp9", "tp10") for c in channels):
         power = np.abs(np.fft.rfft(sources)) ** 2
         cut = power.shape[1] * 2 // 3
         found |= set(np.flatnonzero(power[:, cut:].sum(axis=1) > power[:, 1:cut].sum(axis=1)).tolist())
     return sorted(found)
 
 
-def clean_ica(x: np.ndarray, channels: list[str], components: int = 15, detect: bool = True, seed: int = 42) -> np.ndarray:
+def clean_ica(x: np.ndarray, channels: list[str], components: int = 15, detect: bool = True, seed: int = 42, muscles: bool = True) -> np.ndarray:
     n = min(components, len(x) - 1)
     if n < 2:
         return x
     sources, mixing = fast_ica(x, n, seed)
-    gone = artefacts(sources, channels, x) if detect else []
+    gone = artefacts(sources, channels, x, muscles=muscles) if detect else []
     return x - mixing[:, gone] @ sources[gone] if gone else x

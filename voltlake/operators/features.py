@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltlake.config import FREQUENCY_FEATURES, NO_MARKER, RATIOS, SUBBANDS, ratio_table, subband_table
@@ -73,6 +73,27 @@ def subband_features(segments: DataFrame, subbands: dict[str, tuple[float, float
     return segments.mapInArrow(run, schema)
 
 
+def frequency_features(segments: DataFrame, subbands: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """The keys of segments (columns besides samples and sfreq), subband, band_power, relative_power, peak_frequency: of the signal as it is."""
+    bands = list((subbands or SUBBANDS).items())
+    keys = [c for c in segments.columns if c not in ("samples", "sfreq")]
+    kinds = {f.name: f.dataType.simpleString() for f in segments.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, sfreq in enumerate(batch.column("sfreq").to_pylist()):
+                x = np.asarray(batch.column("samples")[i].values, np.float64)
+                freqs, power = kernels.spectrum(x, sfreq) if len(x) > 3 else (np.zeros(0), np.zeros(0))
+                rows += [(name, *kernels.band_features(freqs, power, *limits)) for name, limits in bands]
+            take = pa.array(np.repeat(np.arange(batch.num_rows), len(bands)))
+            columns = [pa.array([r[k] for r in rows], pa.float64() if k else pa.string()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in keys), *columns], [*keys, "subband", *FREQUENCY_FEATURES])
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "subband string", *(f"{n} double" for n in FREQUENCY_FEATURES)])
+    return segments.mapInArrow(run, schema)
+
+
 def task_features(marked: DataFrame, sfreq: float, **options) -> DataFrame:  # noqa: ANN003
     """Of all of a task's samples, one after the other."""
     return subband_features(align.segments(marked, by_occurrence=False).withColumn("sfreq", F.lit(float(sfreq))), **options)
@@ -164,7 +185,3 @@ def pipelines(signals: DataFrame, annotations: DataFrame, channels: list[str], s
         rows = long_features(rows.drop("mav", "reason"), ["variance", "std"])
         out = rows if out is None else out.unionByName(rows)
     return out
-
-
-def empty_features(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "filename string, task string, channel string, subband string, mav double, variance double, std double")

@@ -39,10 +39,9 @@ def _apply(signals: DataFrame, kernel: Kernel, error: str | None = None) -> Data
 
 def pick_channels(signals: DataFrame, channels: list[str]) -> DataFrame:
     """Unknown names are ignored; if none is known, that is an error."""
-    picked = signals.where(F.col("channel").isin(channels))
-    if picked.isEmpty():
+    if signals.where(F.col("channel").isin(channels)).select("channel").limit(1).isEmpty():
         raise ValueError(f"none of the channels {channels} is there")
-    return picked
+    return signals.where(F.col("channel").isin(channels))
 
 
 def clip_amplitude(signals: DataFrame, max_uv: float = AMPLITUDE_UV) -> DataFrame:
@@ -65,14 +64,15 @@ def subband(signals: DataFrame, low: float, high: float, order: int = 5, clamp:
     return _apply(signals, lambda x, sfreq: kernels.bandpass(x, sfreq, low, high, order, clamp), error)
 
 
-def clean_ica(signals: DataFrame, components: int = 15, detect: bool = True, seed: int = 42) -> DataFrame:
-    """Artefacts out of each recording; its channels meet in one task, since the components are theirs together."""
+def clean_ica(signals: DataFrame, components: int = 15, detect: bool = True, seed: int = 42, muscles: bool = True) -> DataFrame:
+    """Artefacts out of each recording; its channels meet in one task, since the components are theirs together. Without
+    `detect`, nothing is taken out; without `muscles`, only what comes from the eyes."""
     schema = signals.schema
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("channel", ignore_index=True)
         x = np.stack(group["samples"].to_numpy())
-        group["samples"] = list(kernels.clean_ica(x, group["channel"].tolist(), components, detect, seed))
+        group["samples"] = list(kernels.clean_ica(x, group["channel"].tolist(), components, detect, seed, muscles))
         return group
 
     return signals.groupBy("filename").applyInPandas(run, schema)

@@ -1,188 +1,154 @@
-"""EDF and EDF+ files, alone or in ZIP archives, as Spark sources.
-
-Files are found and read by Spark's `binaryFile` reader, so any file system will do; each file is parsed by the task that
-reads it. A file that can't be parsed gives a row with `error` and is no failure of the scan.
-"""
+"""The EDF and EDF+ format: headers, records of samples, annotations. Records are decoded some at a time, never a whole file."""
 
 from __future__ import annotations
 
-import io
 import re
-import struct
-import zipfile
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections import Counter
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-ANNOTATION = "array<struct<onset:double,duration:double,description:string>>"
-RECORDING = f"filename string, sfreq double, n_samples bigint, channels array<string>, annotations {ANNOTATION}, signals array<array<double>>, error string"
-_LABEL = "EDF Annotations"
 
+_NOTES = "EDF Annotations"
+
+
+class NotEdf(ValueError):
+    pass
+
+
+@dataclass(frozen=True)
+class Header:
+    """Of one file: a field for each signal, and what follows from them."""
+
+    records: int
+    seconds: float
+    labels: list[str]
+    units: list[str]
+    physical: list[tuple[float, float]]
+    digital: list[tuple[float, float]]
+    sizes: list[int]
+
+    @property
+    def length(self) -> int:
+        return 256 * (len(self.labels) + 1)
+
+    @property
+    def width(self) -> int:
+        """Bytes of a record."""
+        return 2 * sum(self.sizes)
+
+    @property
+    def own(self) -> list[int]:
+        """Signals that are no annotations."""
+        return [i for i, name in enumerate(self.labels) if name != _NOTES]
+
+    @property
+    def rate(self) -> int:
+        """Samples in a record of the fastest signal; slower ones are interpolated at its times."""
+        return max(self.sizes[i] for i in self.own)
+
+    @property
+    def sfreq(self) -> float:
+        return self.rate / self.seconds
+
+    @property
+    def channels(self) -> list[str]:
+        """Labels; equal ones get a running number."""
+        names = [self.labels[i] for i in self.own]
+        many, seen = {n for n, c in Counter(names).items() if c > 1}, Counter()
+        out = []
+        for n in names:
+            out.append(f"{n}-{seen[n]}" if n in many else n)
+            seen[n] += 1
+        return out
 
-@dataclass
-class Recording:
-    sfreq: float
-    channels: list[str]
-    signals: np.ndarray
-    annotations: list[tuple[float, float, str]] = field(default_factory=list)
+    def count(self, size: int) -> int:
+        """Whole records in a file of `size` bytes, at most as many as the header says."""
+        there = max(0, size - self.length) // self.width
+        return there if self.records < 0 else min(self.records, there)
+
+
+def read_header(read: Callable[[int], bytes]) -> Header:
+    """From the start of a file; `read(n)` gives the next n bytes. What isn't EDF raises NotEdf."""
+    head = read(256)
+    if len(head) < 256 or head[:8].decode("latin-1").strip() != "0":
+        raise NotEdf("not an EDF file")
+    try:
+        n = int(head[252:256])
+        body = read(256 * n)
+        if n < 1 or len(body) < 256 * n:
+            raise NotEdf("the header is cut off")
+        at = 0
+
+        def fields(width: int) -> list[str]:
+            nonlocal at
+            out = [body[at + i * width : at + (i + 1) * width].decode("latin-1").strip() for i in range(n)]
+            at += n * width
+            return out
+
+        labels, _, units, *limits = fields(16), fields(80), fields(8), fields(8), fields(8), fields(8), fields(8)
+        _, sizes = fields(80), [int(x) for x in fields(8)]
+        low, high, digital_low, digital_high = ([float(x) for x in row] for row in limits)
+        header = Header(int(head[236:244]), float(head[244:252]), labels, units, list(zip(low, high, strict=True)), list(zip(digital_low, digital_high, strict=True)), sizes)
+    except NotEdf:
+        raise
+    except ValueError as e:
+        raise NotEdf(f"a field of the header is no number: {e}") from e
+    if not header.own or min(sizes) < 0 or header.rate < 1:
+        raise NotEdf("no signal in the file")
+    if header.seconds <= 0:
+        raise NotEdf("records have no duration")
+    if any(a == b for a, b in header.digital):
+        raise NotEdf("a signal has no digital range")
+    return header
+
+
+def decode(header: Header, raw: bytes, following: bytes = b"") -> np.ndarray:
+    """Channels x samples of some records, in Volt (from µV, mV or V as the header says; other units as they are).
+
+    `following` is the next record, if there is one: between the last sample of a slower signal and its next one, values are
+    interpolated as anywhere else, so that samples don't depend on where a file is cut.
+    """
+    n = len(raw) // header.width
+    data = np.frombuffer(raw, "<i2", count=n * header.width // 2).reshape(n, header.width // 2)
+    more = np.frombuffer(following, "<i2")
+    starts = np.concatenate(([0], np.cumsum(header.sizes)))
+    rate, out = header.rate, []
+    for i in header.own:
+        (low, high), (least, most), size = header.physical[i], header.digital[i], header.sizes[i]
+        scale = (high - low) / (most - least)
+        x = data[:, starts[i] : starts[i + 1]].reshape(-1).astype(np.float64)
+        if size != rate:
+            after = more[starts[i] : starts[i] + 1].astype(np.float64) if len(more) and size else x[-1:]
+            x = np.concatenate((x, after)) if size else np.zeros(n + 1)
+            place = np.arange(n * rate, dtype=np.int64) * max(size, 1)
+            j = place // rate
+            x = x[j] + (x[np.minimum(j + 1, len(x) - 1)] - x[j]) * ((place % rate) / rate)
+        x = (x - least) * scale + low
+        out.append(x * {"uv": 1e-6, "µv": 1e-6, "mv": 1e-3}.get(header.units[i].lower(), 1.0))
+    return np.array(out).reshape(len(out), n * rate)
+
+
+def notes(header: Header, raw: bytes) -> list[tuple[int, float, float, str]]:
+    """Record (of these), onset, duration (0 if not given) and text of each annotation, in the order of the file."""
+    starts = np.concatenate(([0], np.cumsum(header.sizes)))
+    found = []
+    for r in range(len(raw) // header.width):
+        for i, label in enumerate(header.labels):
+            if label == _NOTES:
+                at = r * header.width
+                found += [(r, *e) for e in _texts(raw[at + 2 * starts[i] : at + 2 * starts[i + 1]])]
+    return found
 
 
-def _annotations(raw: bytes) -> list[tuple[float, float, str]]:
-    """Of one record's annotation bytes: onset, duration (0 if not given) and each text."""
+def _texts(raw: bytes) -> list[tuple[float, float, str]]:
     found = []
     for item in raw.split(b"\x00"):
         m = re.match(rb"([+-][0-9.]+)(?:\x15([0-9.]+))?\x14(.*)\x14$", item, re.DOTALL)
         for text in m[3].split(b"\x14") if m else ():
             if text:
-                found.append((float(m[1]), float(m[2] or 0), text.decode("utf-8", "replace")))
-    return found
-
-
-def parse(raw: bytes) -> Recording:
-    """Physical values in Volt (from µV, mV or V as the header says; other units as they are)."""
-    head = raw[:256].decode("latin-1")
-    if len(raw) < 256 or head[:8].strip() != "0":
-        raise ValueError("not an EDF file")
-    records, seconds, n = int(head[236:244]), float(head[244:252]), int(head[252:256])
-    at = 256
-
-    def fields(width: int) -> list[str]:
-        nonlocal at
-        out = [raw[at + i * width : at + (i + 1) * width].decode("latin-1").strip() for i in range(n)]
-        at += n * width
-        return out
-
-    labels, _, units, *limits = fields(16), fields(80), fields(8), fields(8), fields(8), fields(8), fields(8)
-    _, sizes, _ = fields(80), [int(x) for x in fields(8)], fields(32)
-    physical_low, physical_high, digital_low, digital_high = ([float(x) for x in row] for row in limits)
-    width = sum(sizes)
-    data = np.frombuffer(raw, "<i2", offset=at)
-    records = len(data) // width if records < 0 else min(records, len(data) // width)
-    data = data[: records * width].reshape(records, width)
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    own = [i for i in range(n) if labels[i] != _LABEL]
-    if not own:
-        raise ValueError("no signal in the file")
-    rate = max(sizes[i] for i in own)
-    signals = []
-    for i in own:
-        scale = (physical_high[i] - physical_low[i]) / (digital_high[i] - digital_low[i])
-        x = (data[:, starts[i] : starts[i + 1]].reshape(-1) - digital_low[i]) * scale + physical_low[i]
-        x *= {"uv": 1e-6, "µv": 1e-6, "mv": 1e-3}.get(units[i].lower(), 1.0)
-        if sizes[i] != rate:  # a slower channel is held at the times of the fastest
-            x = np.interp(np.arange(records * rate) / rate, np.arange(len(x)) / sizes[i], x)
-        signals.append(x)
-    events = [e for i in range(n) if labels[i] == _LABEL for r in data[:, starts[i] : starts[i + 1]] for e in _annotations(r.tobytes())]
-    return Recording(rate / seconds, [labels[i] for i in own], np.array(signals), events)
-
-
-def render(recording: Recording, limit: float = 1e-3) -> bytes:
-    """EDF+ bytes with one-second records and values within ±`limit` Volt: the way back, for exports and round trips."""
-    rate = round(recording.sfreq)
-    n = recording.signals.shape[1] // rate
-    by_record: list[bytes] = [f"+{k}\x14\x14\x00".encode() for k in range(n)]
-    for onset, duration, text in recording.annotations:
-        by_record[min(max(int(onset), 0), n - 1)] += f"+{onset:g}\x15{duration:g}\x14{text}\x14\x00".encode()
-    size = max(map(len, by_record)) // 2 + 1
-    labels = [*recording.channels, _LABEL]
-    pad = lambda values, width: "".join(str(v).ljust(width)[:width] for v in values)
-    m = len(labels)
-    head = pad(["0"], 8) + pad(["X", "X"], 80) + pad(["01.01.00", "00.00.00", 256 * (m + 1)], 8) + pad(["EDF+C"], 44) + pad([n, 1], 8) + pad([m], 4)
-    head += pad(labels, 16) + pad([""] * m, 80) + pad(["uV"] * (m - 1) + [""], 8)
-    head += pad([round(-limit * 1e6)] * (m - 1) + [-1], 8) + pad([round(limit * 1e6)] * (m - 1) + [1], 8) + pad([-32768] * m, 8) + pad([32767] * m, 8)
-    head += pad([""] * m, 80) + pad([rate] * (m - 1) + [size], 8) + pad([""] * m, 32)
-    scale = 2 * limit / 65535
-    digital = np.clip(np.round((recording.signals + limit) / scale) - 32768, -32768, 32767).astype("<i2")
-    body = b"".join(digital[:, k * rate : (k + 1) * rate].tobytes() + by_record[k].ljust(2 * size, b"\x00") for k in range(n))
-    return head.encode("latin-1") + body
-
-
-def _members(path: str, raw: bytes) -> Iterator[tuple[str, bytes]]:
-    """Name and bytes of each EDF file in a file: itself, or the members of an archive that end in .edf, sorted."""
-    if not path.lower().endswith(".zip"):
-        yield path, raw
-        return
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        for name in sorted(n for n in z.namelist() if n.lower().endswith(".edf")):
-            yield name, z.read(name)
-
-
-def _ours(files: DataFrame) -> DataFrame:
-    return files.where(F.lower("path").rlike(r"\.(edf|zip)$"))
-
-
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return _ours(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
-
-
-def list_members(spark: SparkSession, path: str) -> DataFrame:
-    """archive and filename of each EDF member; archives only are opened, and only their directories are read through."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(p, n) for p, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True) for n in sorted(zipfile.ZipFile(io.BytesIO(raw)).namelist()) if n.lower().endswith(".edf")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["archive", "filename"])
-
-    return _files(spark, path).where(F.lower("path").endswith(".zip")).select("path", "content").mapInArrow(run, "archive string, filename string").orderBy("archive", "filename")
-
-
-def read_recordings(spark: SparkSession, path: str) -> DataFrame:
-    """One row per recording under a path, with its signals; `error` says what was wrong with a file that has none."""
-    return parse_files(_files(spark, path))
-
-
-def parse_files(files: DataFrame) -> DataFrame:
-    """Recordings of the files (path, content) of a batch or a stream."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for source, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
-                    members = list(_members(source, raw))
-                except zipfile.BadZipFile as e:
-                    members, rows = [], [{"filename": source, "error": str(e)}]
-                    yield pa.RecordBatch.from_pylist(rows, schema=_schema)
-                for name, content in members:
-                    try:
-                        r = parse(content)
-                        row = {
-                            "filename": name,
-                            "sfreq": r.sfreq,
-                            "n_samples": r.signals.shape[1],
-                            "channels": r.channels,
-                            "annotations": [{"onset": a, "duration": b, "description": c} for a, b, c in r.annotations],
-                            "signals": r.signals.tolist(),
-                        }
-                    except (ValueError, struct.error, IndexError, ZeroDivisionError) as e:
-                        row = {"filename": name, "error": f"{type(e).__name__}: {e}"}
-                    yield pa.RecordBatch.from_pylist([row], schema=_schema)
-
-    event = pa.struct([("onset", pa.float64()), ("duration", pa.float64()), ("description", pa.string())])
-    _schema = pa.schema([("filename", pa.string()), ("sfreq", pa.float64()), ("n_samples", pa.int64()), ("channels", pa.list_(pa.string())), ("annotations", pa.list_(event)), ("signals", pa.list_(pa.list_(pa.float64()))), ("error", pa.string())])
-    return _ours(files).select("path", "content").mapInArrow(run, RECORDING)
-
-
-def recording_info(recordings: DataFrame) -> DataFrame:
-    """Channels, their number, rate, annotations, and the time of the last sample: (n - 1) / rate, not n / rate."""
-    return recordings.where("error is null").select("filename", "channels", F.size("channels").alias("n_channels"), "sfreq", ((F.col("n_samples") - 1) / F.col("sfreq")).alias("duration_s"), "annotations")
-
-
-def signals(recordings: DataFrame) -> DataFrame:
-    """filename, sfreq, channel, samples: a row for each channel."""
-    each = F.explode(F.arrays_zip(F.col("channels").alias("channel"), F.col("signals").alias("samples")))
-    return recordings.where("error is null").select("filename", "sfreq", each.alias("c")).select("filename", "sfreq", "c.channel", "c.samples")
-
-
-def annotations(recordings: DataFrame) -> DataFrame:
-    """filename, annot_idx (0-based), onset, duration, description."""
-    return recordings.where("error is null").select("filename", F.posexplode("annotations").alias("annot_idx", "a")).select("filename", "annot_idx", "a.onset", "a.duration", "a.description")
-
-
-def samples(signals: DataFrame) -> DataFrame:
-    """filename, sample_idx, time, channel, value: the long form."""
-    long = signals.select("filename", "sfreq", "channel", F.posexplode("samples").alias("i", "value"))
-    return long.select("filename", F.col("i").cast("long").alias("sample_idx"), (F.col("i") / F.col("sfreq")).alias("time"), "channel", "value")
+                    found.append((float(m[1]), float(m[2] or 0), text.decode("utf-8", "replace")))
+                except ValueError:  # no number after all
+                    continue
+    return found
