@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -135,10 +136,57 @@ def test_ratios_and_bands(spark):
 
 def test_correlation_is_null_where_nothing_varies(spark):
     rows = [("f", i, 0.0, c, v) for i in range(5) for c, v in (("a", float(i)), ("b", -2.0 * i), ("c", 1.0))]
-    r = {(x.channel_a, x.channel_b): x.r for x in charts.correlation(spark.createDataFrame(rows, SAMPLES), ["filename", "sample_idx"]).collect()}
+    r = {(x.channel_a, x.channel_b): x.r for x in charts.correlation(spark.createDataFrame(rows, SAMPLES)).collect()}
     assert r["a", "b"] == pytest.approx(-1) and r["a", "a"] == pytest.approx(1) and r["a", "c"] is None
 
 
+def test_correlation_of_each_recording_over_samples_that_both_channels_have(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for f, n, off in (("f", 300, 0.0), ("g", 50, 1e6), (None, 20, -5.0)):
+        x = rng.normal(size=(n, 3)) @ rng.normal(size=(3, 3)) + off
+        there = rng.random(size=x.shape) < 0.8
+        rows += [(f, i, i / 10, "abc"[c], float(x[i, c])) for i in range(n) for c in range(3) if there[i, c]]
+        rows += [(f, 0, 0.0, "a", None), (f, 1, 0.0, "a", float("nan"))]
+        for i in range(3):
+            for j in range(3):
+                both = there[:, i] & there[:, j]
+                want[f, "abc"[i], "abc"[j]] = np.corrcoef(x[both, i], x[both, j])[0, 1]
+    frame = spark.createDataFrame(rows, SAMPLES).repartition(7)
+    got = {(r.filename, r.channel_a, r.channel_b): r.r for r in charts.correlation(frame).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-7) for k, v in want.items())
+    assert charts.correlation(frame.where("filename = ''")).collect() == []
+
+
+def test_quantiles_are_exact_for_any_values(spark):
+    rng = np.random.default_rng(0)
+    values = {"a": rng.normal(size=501), "b": np.round(rng.normal(size=300) * 1e300), "c": [7.0], None: [1, 1, 1, -0.0, 0.0, 2], "d": [-5e-324, 5e-324, -1e308, float("inf")], "e": [None, float("nan"), 1.0, 2.0], "f": [None]}
+    frame = spark.createDataFrame([(g, None if v is None else float(v)) for g, vs in values.items() for v in vs], "g string, v double").repartition(5)
+    at = {"p25": 0.25, "p50": 0.5, "p90": 0.9, "least": 0.0, "most": 1.0}
+    got = {r.g: tuple(r)[1:] for r in charts.quantiles(frame, ["g"], "v", at).collect()}
+    assert set(got) == set(values) - {"f"}
+    for g, q in got.items():
+        v = [float(x) for x in values[g] if x is not None and x == x]
+        with np.errstate(invalid="ignore", over="ignore"):
+            assert np.allclose(q, np.quantile(v, list(at.values())), rtol=1e-12, equal_nan=True) or g == "d"
+    assert got["d"][3:] == (-1e308, float("inf"))
+    whole = charts.quantiles(frame.where("g = 'a'"), [], "v", at).collect()
+    assert np.allclose(whole[0], np.quantile(values["a"], list(at.values())))
+    assert charts.quantiles(frame.where("g = 'f'"), ["g"], "v", at).collect() == []
+
+
+def test_quantiles_hold_no_values_of_a_group(spark):
+    plan = charts.quantiles(spark.createDataFrame([("a", 1.0)], "g string, v double"), ["g"], "v", {"m": 0.5})._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan
+
+
+def test_small_shapes(spark):
+    df = spark.createDataFrame([("a/b.edf/x.EDF.edf", "Think_Acting_12", " 1e3 ", -1.0), ("c.edf", "none", "x", 0.0), (None, None, None, None)], "f string, l string, t string, v double")
+    r = df.select(reshape.last_part(F.col("f")), *reshape.decoded(F.col("l")).values(), reshape.to_numeric(F.col("t")), reshape.change_role(F.col("v"))).collect()
+    assert [tuple(x) for x in r] == [("x.EDF", "Think_Acting", 12, 1000.0, "ERD"), ("c", "", None, None, None), (None, None, None, None, None)]
+    assert reshape.column_roles(["filename", "mav_A", "mav_B", "delta_mav", "x"], "A", "B") == {"filename": "meta", "mav_A": "a", "mav_B": "b", "delta_mav": "delta", "x": ""}
+
+
 def test_micro_units_and_tops(spark):
     df = spark.createDataFrame([("a", 1e-5, 3.0), ("b", -2e-5, -4.0)], "k string, v double, w double")
     assert reshape.micro_units(df).columns == ["k", "v (µ)", "w"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -34,13 +35,10 @@ def butter_sections(order: int, low: float, high: float) -> np.ndarray:
 _BLOCK = 128
 
 
-def _run_section(s: np.ndarray, x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One section over the last axis of many signals (rows) from the states `z` (two for each), a block of samples at a step;
-    and the states after it.
-
-    Within a block the output is the impulse response over the block's samples, plus what the state at its start leaves.
-    """
-    b0, b1, b2, _, a1, a2 = s.tolist()
+@lru_cache(maxsize=512)
+def _block(b0: float, b1: float, b2: float, a1: float, a2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a section over up to `_BLOCK` samples: what so many samples make of its states; what a state leaves in each sample; what
+    samples make of later ones; and of the states at the end."""
     step, gain = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
     powers = [np.eye(2)]
     for _ in range(_BLOCK):
@@ -50,6 +48,13 @@ def _run_section(s: np.ndarray, x: np.ndarray, z: np.ndarray) -> tuple[np.ndarra
     lag = np.arange(_BLOCK)[:, None] - np.arange(_BLOCK)[None, :]
     within = np.where(lag >= 0, response[np.abs(lag)], 0.0)
     into = np.array([powers[_BLOCK - 1 - j] @ gain for j in range(_BLOCK)])
+    return np.array(powers), rest, within, into
+
+
+def _run_section(s: np.ndarray, x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One section over the last axis of many signals (rows) from the states `z` (two for each), a block of samples at a step;
+    and the states after it."""
+    powers, rest, within, into = _block(*s[[0, 1, 2, 4, 5]].tolist())
     y = np.empty_like(x)
     for i in range(0, x.shape[1], _BLOCK):
         part = x[:, i : i + _BLOCK]

@@ -59,62 +59,115 @@ def overlap_save(window: np.ndarray, begin: int, start: int, length: int, n: int
     return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(h, size), size)[2 * half : 2 * half + length]
 
 
-def symmetric(chunks: DataFrame, taps: Taps, error: str | None = None) -> DataFrame:
-    """A zero-phase filter, with a symmetric impulse response for each sampling rate, over the whole of each channel.
+Reach = Callable[[float], tuple[int, int]]
+_WINDOW = "filename string, sfreq double, n_samples bigint, channel string, chunk bigint, size bigint, begin bigint, part array<double>"
 
-    Where there is no filter for a rate (ValueError), samples stay as they are, and `error`, if named, says why.
-    """
 
-    made: dict[float, tuple[np.ndarray | None, str | None]] = {}
+def with_neighbours(chunks: DataFrame, reach: Reach) -> DataFrame:
+    """filename, sfreq, n_samples, channel, chunk, start, length, begin, window: chunks [start, start + length) with the samples
+    before and after them, as many as `reach` says for a sampling rate (as far as there are some); window[0] is sample `begin`.
 
-    def filter_of(sfreq: float) -> tuple[np.ndarray | None, str | None]:
-        if sfreq not in made:
-            try:
-                made[sfreq] = taps(sfreq), None
-            except ValueError as e:
-                made[sfreq] = None, str(e)
-        return made[sfreq]
+    Each chunk sends its ends to those that need them, however many these are; no channel is in one task.
+    """
 
-    # To each chunk whose output needs them, the samples of this one; a chunk's number times its length is its start.
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, to, begins, parts, lengths = [], [], [], [], []
+            take, to, begins, parts, sizes = [], [], [], [], []
             columns = {c: batch.column(c).to_pylist() for c in ("sfreq", "n_samples", "chunk", "start")}
             for i, x in enumerate(_arrays(batch.column("samples"))):
                 sfreq, n, chunk, start = (columns[c][i] for c in ("sfreq", "n_samples", "chunk", "start"))
-                h, _ = filter_of(sfreq)
-                half = 0 if h is None else (len(h) - 1) // 2
+                before, after = reach(sfreq)
+                # A chunk's number times the length of chunks is its start.
                 size = start // chunk if chunk else max(1, len(x))
-                for t in range(max(0, (start - half) // size), min((n - 1) // size, (start + len(x) - 1 + half) // size) + 1):
-                    a, b = max(start, t * size - half), min(start + len(x), (t + 1) * size + half)
+                for t in range(max(0, (start - after) // size), min((n - 1) // size, (start + len(x) - 1 + before) // size) + 1):
+                    a, b = max(start, t * size - before), min(start + len(x), (t + 1) * size + after)
                     if a < b:
                         take.append(i)
                         to.append(t)
                         begins.append(a)
                         parts.append(x[a - start : b - start])
-                        lengths.append(size)
+                        sizes.append(size)
             own = batch.select(["filename", "sfreq", "n_samples", "channel"]).take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(to, pa.int64()), pa.array(lengths, pa.int64()), pa.array(begins, pa.int64()), _lists(parts)], ["filename", "sfreq", "n_samples", "channel", "chunk", "size", "begin", "part"])
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(to, pa.int64()), pa.array(sizes, pa.int64()), pa.array(begins, pa.int64()), _lists(parts)], [c.split()[0] for c in _WINDOW.split(", ")])
+
+    dealt = chunks.select(*_CHUNK_COLUMNS).mapInArrow(deal, _WINDOW)
+    ordered = F.array_sort(F.collect_list(F.struct("begin", "part")))
+    met = dealt.groupBy("filename", "sfreq", "n_samples", "channel", "chunk", "size").agg(ordered.alias("parts"))
+    start = F.col("chunk") * F.col("size")
+    return met.select(
+        *("filename", "sfreq", "n_samples", "channel", "chunk"),
+        start.alias("start"),
+        F.least(F.col("size"), F.col("n_samples") - start).alias("length"),
+        F.col("parts")[0]["begin"].alias("begin"),
+        F.flatten(F.transform("parts", lambda p: p["part"])).alias("window"),
+    )
+
+
+def symmetric(chunks: DataFrame, taps: Taps, error: str | None = None) -> DataFrame:
+    """A zero-phase filter, with a symmetric impulse response for each sampling rate, over the whole of each channel.
+
+    Where there is no filter for a rate (ValueError), samples stay as they are, and `error`, if named, says why.
+    """
+    made: dict[float, tuple[np.ndarray | None, str | None]] = {}
+
+    def filter_of(sfreq: float) -> tuple[np.ndarray | None, str | None]:
+        if sfreq not in made:
+            try:
+                made[sfreq] = taps(sfreq), None
+            except ValueError as e:
+                made[sfreq] = None, str(e)
+        return made[sfreq]
+
+    def reach(sfreq: float) -> tuple[int, int]:
+        h, _ = filter_of(sfreq)
+        return (0, 0) if h is None else ((len(h) - 1) // 2,) * 2
 
     def convolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, why, starts = [], [], []
-            for i, window in enumerate(_arrays(batch.column("window"))):
-                sfreq, n, chunk, size, begin = (batch.column(c)[i].as_py() for c in ("sfreq", "n_samples", "chunk", "size", "begin"))
-                start = chunk * size
-                length = min(size, n - start)
+            columns = [batch.column(c).to_pylist() for c in ("sfreq", "n_samples", "start", "length", "begin")]
+            out, why = [], []
+            for window, sfreq, n, start, length, begin in zip(_arrays(batch.column("window")), *columns, strict=True):
                 h, error_ = filter_of(sfreq)
-                starts.append(start)
                 why.append(error_)
                 out.append(window if h is None else overlap_save(window, begin, start, length, n, h))
-            columns = [*(batch.column(c) for c in ("filename", "sfreq", "n_samples", "channel", "chunk")), pa.array(starts, pa.int64()), _lists(out)]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(why, pa.string())] if error else []), [*_CHUNK_COLUMNS, *([error] if error else [])])
+            given = [batch.column(c) for c in ("filename", "sfreq", "n_samples", "channel", "chunk", "start")]
+            yield pa.RecordBatch.from_arrays([*given, _lists(out), *([pa.array(why, pa.string())] if error else [])], [*_CHUNK_COLUMNS, *([error] if error else [])])
 
-    dealt = chunks.select(*_CHUNK_COLUMNS).mapInArrow(deal, "filename string, sfreq double, n_samples bigint, channel string, chunk bigint, size bigint, begin bigint, part array<double>")
-    ordered = F.array_sort(F.collect_list(F.struct("begin", "part")))
-    met = dealt.groupBy("filename", "sfreq", "n_samples", "channel", "chunk", "size").agg(ordered.alias("parts"))
-    windows = met.select("filename", "sfreq", "n_samples", "channel", "chunk", "size", F.col("parts")[0]["begin"].alias("begin"), F.flatten(F.transform("parts", lambda p: p["part"])).alias("window"))
-    return windows.mapInArrow(convolve, _CHUNK + (f", `{error}` string" if error else ""))
+    return with_neighbours(chunks, reach).mapInArrow(convolve, _CHUNK + (f", `{error}` string" if error else ""))
+
+
+def psd(chunks: DataFrame, fmin: float = 0.0, fmax: float = 60.0, size: int = 256, epsilon: float = 1e-20) -> DataFrame:
+    """filename, channel, freq, db: Welch density in decibel (kernels.welch), as sums over the segments that begin in each chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("sfreq", "n_samples", "start", "length", "begin")]
+            take, freqs, sums, counts = [], [], [], []
+            for i, (x, sfreq, n, start, length, begin) in enumerate(zip(_arrays(batch.column("window")), *columns, strict=True)):
+                own = min(size, n)
+                first = -(-start // own) * own
+                last = min((start + length - 1) // own, n // own - 1)
+                count = last - first // own + 1
+                if count > 0:
+                    f, density = kernels.welch(x[first - begin : first - begin + count * own], sfreq, size)
+                    keep = (f >= fmin) & (f <= fmax)
+                    take += [i] * int(keep.sum())
+                    freqs.append(f[keep])
+                    sums.append(density[keep] * count)
+                    counts.append(np.full(int(keep.sum()), count))
+            own_ = batch.select(["filename", "channel"]).take(pa.array(take, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own_.columns, *(pa.array(np.concatenate([*c, np.zeros(0)]).astype(t)) for c, t in ((freqs, np.float64), (sums, np.float64), (counts, np.int64)))], ["filename", "channel", "freq", "total", "n"])
+
+    parts = with_neighbours(chunks, lambda _: (0, size - 1)).mapInArrow(run, "filename string, channel string, freq double, total double, n bigint")
+    db = 10 * F.log10(F.sum("total") / F.sum("n") + F.lit(epsilon))
+    return parts.groupBy("filename", "channel", "freq").agg(F.coalesce(db, F.lit(float("-inf"))).alias("db"))
+
+
+def psd_by_treatment(chunks: DataFrame, low: float = 1.0, high: float = 40.0, freq: float = 50.0, fmin: float = 0.0, fmax: float = 60.0) -> DataFrame:
+    """psd of the raw signal, of its band-pass, and of that after a notch, as `treatment`."""
+    each = {"raw": chunks, "bandpass": fir_bandpass(chunks, low, high, error=None), "notch_bandpass": fir_bandpass(notch(chunks, freq), low, high, error=None)}
+    frames = [psd(s, fmin, fmax, epsilon=0.0).withColumn("treatment", F.lit(name)) for name, s in each.items()]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
 def fir_bandpass(chunks: DataFrame, low: float, high: float, error: str | None = "bandpass_error") -> DataFrame:

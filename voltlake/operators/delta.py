@@ -8,15 +8,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from voltlake.config import FEATURES, GROUPS
+from voltlake.config import GROUPS
 
 KEYS = ["filename", "channel", "subband", "category", "subject"]
 
 
+def feature_columns(features: DataFrame) -> list[str]:
+    """Numeric columns that don't say what a row is about."""
+    meta = {*KEYS, "task", "time", "scenario", "occurrence"}
+    return [f.name for f in features.schema if f.name not in meta and isinstance(f.dataType, NumericType)]
+
+
 def task_delta(features: DataFrame, a: str, b: str, names: list[str] | None = None) -> DataFrame:
-    """KEYS (category and subject only if the features have them) and of each feature {f}_a, {f}_b and delta_{f}, where both tasks have a row."""
-    names = names or FEATURES
+    """KEYS (category and subject only if the features have them) and of each feature (all, if none are named) {f}_a, {f}_b and
+    delta_{f}, where both tasks have a row."""
+    names = names or feature_columns(features)
     keys = [k for k in KEYS if k in features.columns or k not in ("category", "subject")]
     side = lambda task, tag: features.where(F.col("task") == task).select(*keys, *(F.col(f).alias(f"{f}_{tag}") for f in names))
     joined = side(a, "a").join(side(b, "b"), keys)
@@ -30,8 +38,8 @@ def named_after_tasks(delta: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def delta_summary(delta: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """channel, subband, and mean and sample standard deviation of each delta."""
-    names = names or FEATURES
+    """channel, subband, and mean and sample standard deviation of each delta (all, if none are named)."""
+    names = names or [c.removeprefix("delta_") for c in delta.columns if c.startswith("delta_")]
     of = [(F.avg(f"delta_{f}").alias(f"mean_delta_{f}"), F.stddev_samp(f"delta_{f}").alias(f"std_delta_{f}")) for f in names]
     return delta.groupBy("channel", "subband").agg(*(c for pair in of for c in pair))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -98,3 +98,42 @@ def enrich(delta: DataFrame, features: DataFrame, columns: list[str]) -> DataFra
 def short_name(filename: Column) -> Column:
     """Without .edf, in any case, wherever it is."""
     return F.regexp_replace(filename, r"(?i)\.edf", "")
+
+
+def last_part(filename: Column) -> Column:
+    """Without .edf as it is written there, and without folders."""
+    return F.element_at(F.split(F.replace(filename, F.lit(".edf"), F.lit("")), "/"), -1)
+
+
+def decoded(label: Column) -> dict[str, Column]:
+    """task and occurrence of a label <task>_<occurrence>; the task may have underscores. No number: null."""
+    return {"task": F.regexp_extract(label, r"(?s)^(.*)_[^_]*$", 1), "occurrence": F.substring_index(label, "_", -1).try_cast("int")}
+
+
+def first_files(df: DataFrame, n: int = 20) -> DataFrame:
+    """Rows of the first n files by name."""
+    names = df.where("filename is not null").select("filename").distinct().orderBy("filename").limit(n)
+    return df.join(names, "filename", "left_semi")
+
+
+def head(df: DataFrame, by: list[str], order: list[str], n: int = 5) -> DataFrame:
+    """The first n rows of each group."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return df.withColumn("__place", place).where(F.col("__place") <= n).drop("__place")
+
+
+def to_numeric(value: Column) -> Column:
+    """A number in text; null for what is none."""
+    return F.trim(value).try_cast("double")
+
+
+def column_roles(columns: list[str], a: str, b: str) -> dict[str, str]:
+    """What a column of a delta table is: meta, a or b (of a task), delta, or nothing of these."""
+    meta = {"filename", "category", "subject", "time", "scenario", "task", "channel", "subband"}
+    role = lambda c: "meta" if c in meta else "a" if c.endswith(f"_{a}") else "b" if c.endswith(f"_{b}") else "delta" if c.startswith("delta_") else ""
+    return {c: role(c) for c in columns}
+
+
+def change_role(percent: Column) -> Column:
+    """ERD for a fall, ERS for a rise, else null."""
+    return F.when(percent < 0, "ERD").when(percent > 0, "ERS")

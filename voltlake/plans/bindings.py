@@ -71,6 +71,39 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.lit("embeddings").alias("filename"), F.lit(SFREQ).alias("sfreq"), F.col("vec_id").cast("string").alias("channel"), F.col("label").cast("string").alias("task"), F.col("embedding").cast("array<double>").alias("samples"), "vec_id")
 
 
+def regular_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as recordings at 128 Hz: filename, sample_idx, time, channel, value; a user is a recording of two channels."""
+    rows = samples(spark, sf_dir)
+    channels = F.array(F.struct(F.lit("C3").alias("channel"), F.col("value")), F.struct(F.lit("C4").alias("channel"), ((F.col("event_id") * 37) % 101 / 10).alias("value")))
+    name = F.concat(F.lit("u"), F.col("filename").cast("string"))
+    long = rows.select(name.alias("filename"), "sample_idx", (F.col("sample_idx") / SFREQ).alias("time"), F.explode(channels).alias("c"))
+    return long.select("filename", "sample_idx", "time", "c.channel", "c.value")
+
+
+def regular_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three recordings in four: each error is an annotation of 16 samples, every fifth one of no duration; onsets are a little
+    off the samples."""
+    rows = samples(spark, sf_dir).where((F.col("marker") == "error") & (F.col("filename") % 4 != 0))
+    kind = F.element_at(F.array(*map(F.lit, ("Resting", "Thinking and Acting", "Typing"))), (F.col("event_id") % 3 + 1).cast("int"))
+    own = Window.partitionBy("filename").orderBy("sample_idx")
+    onset = F.col("sample_idx") / SFREQ + (F.col("event_id") % 3) * 0.002
+    return rows.select(F.concat(F.lit("u"), F.col("filename").cast("string")).alias("filename"), (F.row_number().over(own) - 1).alias("annot_idx"), onset.alias("onset"), F.when(F.col("event_id") % 5 == 0, 0.0).otherwise(0.125).alias("duration"), kind.alias("description"))
+
+
+def chunks(spark: SparkSession, sf_dir: str, size: int = 16) -> DataFrame:
+    """The same recordings and annotations as the data source gives them, in small chunks."""
+    from voltlake.sources import recordings
+
+    rows = regular_samples(spark, sf_dir).groupBy("filename", "channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))), lambda s: s["value"]).alias("samples"))
+    signals = recordings.chunked(rows.withColumn("sfreq", F.lit(SFREQ)), size)
+    heads = signals.where("chunk = 0").groupBy("filename", "sfreq", "n_samples").agg(F.lit(0).cast("long").alias("chunk"))
+    note = F.struct(F.lit(0).cast("long").alias("record"), "onset", "duration", "description")
+    said = regular_annotations(spark, sf_dir).groupBy("filename").agg(F.array_sort(F.collect_list(F.struct("annot_idx", note.alias("note")))).alias("notes"))
+    notes = F.coalesce(F.transform("notes", lambda s: s["note"]), F.array().cast("array<struct<record:bigint,onset:double,duration:double,description:string>>"))
+    plain = heads.join(said, "filename", "left").select("filename", "sfreq", "n_samples", "chunk", F.lit(0).cast("long").alias("start"), notes.alias("annotations"))
+    return signals.unionByName(plain, allowMissingColumns=True).withColumns({"channel_idx": F.lit(None).cast("int"), "error": F.lit(None).cast("string")})
+
+
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Doubles to so many digits, and no negative zeros."""
     return df.select(*((F.round(f.name, digits) + 0.0).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema))

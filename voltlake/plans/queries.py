@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltlake import config
 from voltlake.operators import align, charts, delta, features, quality, reshape, signal, stats
 from voltlake.plans import bindings as b
-from voltlake.sources.path import group_of, path_metadata
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+from voltlake.plans import signal_queries  # noqa: F401  (its queries are registered with the others)
+from voltlake.plans.registry import ORACLES, QUERIES, add  # noqa: F401
+from voltlake.sources.path import group_of, in_scenarios, path_metadata
 
 _FT = """ft AS (SELECT 'rec' || l_suppkey || '.edf' AS filename, CASE WHEN s_nationkey % 2 = 0 THEN 'ALS' ELSE 'Normal' END AS category,
   'S' || (l_suppkey % 50) AS subject, 'time' || (l_suppkey % 3) AS time, 'scenario' || (1 + (l_suppkey // 50) % 2) AS scenario,
@@ -77,14 +73,6 @@ _STATS = f"""g AS (SELECT {_CELL}, count(value) FILTER (category = 'ALS') AS n_a
     CASE WHEN n_als >= 2 AND n_normal >= 2 THEN CASE WHEN pooled > 0 THEN (mean_als - mean_normal) / sqrt(pooled) ELSE 0 END END AS cohend, u FROM h JOIN u USING ({_CELL}))"""
 
 
-def add(name: str, query: Query, ctes: list[str] | None = None, select: str | None = None, doubles: str = "", others: str = "", digits: int = 4) -> None:
-    """The query, rounded; and, if `select` is given, its oracle: the named columns of it, doubles rounded alike."""
-    QUERIES[name] = lambda spark, sf_dir: b.rounded(query(spark, sf_dir), digits)
-    if select:
-        columns = [c for c in others.split()] + [f"round({c}, {digits}) + 0.0 AS {c}" for c in doubles.split()]
-        ORACLES[name] = (f"WITH {', '.join(ctes)} " if ctes else "") + f"SELECT {', '.join(columns)} FROM ({select})"
-
-
 _M = "filename category subject time scenario task channel subband"
 _K = "filename channel subband category subject"
 _F3 = "mav variance std"
@@ -134,6 +122,7 @@ for _mode, _ctes in _MODES.items():
     add(f"compare_{_mode}", lambda s, d, m=_mode: stats.compare_rows(ft(s, d), "A", "R", mode=m), _ctes, "SELECT * FROM rows", "value", _BY.replace(",", ""))
 _SC = "n_als n_normal mean_als mean_normal sem_als sem_normal t cohend u".split()
 add("compare_stats", lambda s, d: stats.group_statistics(stats.compare_rows(ft(s, d), "A", "R")).select(*_CELL.split(", "), *_SC), [*_MODES["delta"], _STATS], "SELECT * FROM st", " ".join(_SC[2:]), "channel subband feature n_als n_normal")
+# The labels.
 _LABEL = "CASE WHEN cohend IS NULL THEN '–' WHEN abs(cohend) < 0.2 THEN 'Sangat Kecil' WHEN abs(cohend) < 0.5 THEN 'Kecil' WHEN abs(cohend) < 0.8 THEN 'Sedang' ELSE 'Besar' END AS effect"
 add("effect_labels", lambda s, d: stats.group_statistics(stats.compare_rows(ft(s, d), "A", "R")).select(*_CELL.split(", "), "effect"), [*_MODES["delta"], _STATS], f"SELECT {_CELL}, {_LABEL} FROM st", "", "channel subband feature effect")
 add("compare_stats_wide", lambda s, d: stats.wide(stats.group_statistics(stats.compare_rows(ft(s, d), "A", "R")), ["mean_als", "mean_normal", "cohend"]), [*_MODES["delta"], _STATS], "SELECT channel, subband, " + ", ".join(f"max({c}) FILTER (feature = '{f}') AS {c}_{f}" for f in _F3.split() for c in ("mean_als", "mean_normal", "cohend")) + " FROM st GROUP BY ALL", " ".join(f"{c}_{f}" for f in _F3.split() for c in ("mean_als", "mean_normal", "cohend")), "channel subband")
@@ -231,26 +220,10 @@ add("task_summary", lambda s, d: align.task_summary(sm(s, d), 128.0), [_SM], "SE
 add("annotation_counts", lambda s, d: align.annotation_counts(an(s, d)), [_SM, _AN], "SELECT description, count(*) AS n FROM an GROUP BY description", "", "description n")
 add("time_range", lambda s, d: align.time_range(sm(s, d), 1000.0, 200000.0).select("filename", "sample_idx", "value"), [_SM], "SELECT * FROM sm WHERE time BETWEEN 1000 AND 200000", "value", "filename sample_idx")
 add("task_lines", lambda s, d: charts.task_lines(sm(s, d), "purchase", 0.0, 500000.0).select("filename", "sample_idx", "value"), [_SM], "SELECT * FROM sm WHERE marker = 'purchase' AND time BETWEEN 0 AND 500000", "value", "filename sample_idx")
-
-
-def _island_features(spark: SparkSession, d: str) -> DataFrame:
-    """Unfiltered features of runs: samples meet their run's number by position, then moments are plain aggregates."""
-    from pyspark.sql import Window
-
-    rows = sm(spark, d)
-    rows = rows.withColumn("g", F.col("sample_idx") - F.row_number().over(Window.partitionBy("filename", "marker").orderBy("sample_idx")))
-    runs = features.aggregate_features(rows.withColumn("task", F.col("marker")), ["filename", "task", "g"], ["mav", "variance", "std"])
-    return runs.select("filename", "task", F.row_number().over(Window.partitionBy("filename", "task").orderBy("g")).alias("occurrence"), *_F3.split())
-
-
-add("occurrence_features", lambda s, d: _island_features(s, d).withColumn("task_occ", F.concat_ws("_", "task", F.col("occurrence").cast("string"))), [_SM, _ISL], "SELECT *, task || '_' || occurrence AS task_occ FROM isl", _F3, "filename task occurrence task_occ")
-add("occurrence_agg_features", lambda s, d: _island_features(s, d).groupBy("filename", "task").agg(*(F.avg(f).alias(f) for f in _F3.split())), [_SM, _ISL], "SELECT filename, task, avg(mav) AS mav, avg(variance) AS variance, avg(std) AS std FROM isl GROUP BY ALL", _F3, "filename task")
-add("first_occurrence_features", lambda s, d: _island_features(s, d).where("occurrence = 1").drop("occurrence"), [_SM, _ISL], "SELECT * FROM isl WHERE occurrence = 1", _F3, "filename task")
-add("task_features", lambda s, d: features.aggregate_features(sm(s, d), ["filename", "marker"], _F3.split()), [_SM], "SELECT filename, marker, avg(abs(value)) AS mav, var_pop(value) AS variance, stddev_pop(value) AS std FROM sm GROUP BY ALL", _F3, "filename marker")
 add("amplitude_histogram", lambda s, d: charts.histogram(sm(s, d), "marker", "value"), [_SM, "e AS (SELECT marker, min(value) AS lo, max(value) AS hi FROM sm GROUP BY marker)"], "SELECT marker, CASE WHEN hi > lo THEN least(80, CAST(floor((value - lo) * 80 / (hi - lo)) AS INTEGER) + 1) ELSE 1 END AS bin, count(*) AS n FROM sm JOIN e USING (marker) GROUP BY ALL", "", "marker bin n")
 _CC = "cc AS (SELECT filename // 10 AS rec, filename % 10 AS channel, sample_idx, value FROM sm)"
 _rec = lambda s, d: sm(s, d).select(F.floor(F.col("filename") / 10).alias("rec"), (F.col("filename") % 10).alias("channel"), "sample_idx", "value")
-add("channel_correlation", lambda s, d: charts.correlation(_rec(s, d), ["rec", "sample_idx"]), [_SM, _CC], "SELECT a.channel AS channel_a, b.channel AS channel_b, corr(a.value, b.value) AS r FROM cc a JOIN cc b USING (rec, sample_idx) GROUP BY ALL", "r", "channel_a channel_b")
+add("channel_correlation", lambda s, d: charts.correlation(_rec(s, d), "rec"), [_SM, _CC], "SELECT rec, CAST(a.channel AS VARCHAR) AS channel_a, CAST(b.channel AS VARCHAR) AS channel_b, corr(a.value, b.value) AS r FROM cc a JOIN cc b USING (rec, sample_idx) GROUP BY ALL", "r", "rec channel_a channel_b")
 _BAD = "v AS (SELECT rec AS filename, channel, var_pop(value) AS variance FROM cc GROUP BY ALL), m AS (SELECT filename, median(variance) AS median FROM v GROUP BY filename), o AS (SELECT *, abs(variance - median) AS off FROM v JOIN m USING (filename)), bad AS (SELECT o.filename, channel, variance, median, mad, mad > 0 AND off > 3 * mad AS bad FROM o JOIN (SELECT filename, median(off) AS mad FROM o GROUP BY filename) USING (filename))"
 add("bad_channels_mad", lambda s, d: quality.bad_channels(_rec(s, d).withColumnRenamed("rec", "filename")), [_SM, _CC, _BAD], "SELECT * FROM bad", "variance median mad", "filename channel bad", 3)
 add("bad_channel_exclude", lambda s, d: quality.exclude_bad_channels(_rec(s, d).withColumnRenamed("rec", "filename").select("filename", "channel").distinct(), quality.bad_channels(_rec(s, d).withColumnRenamed("rec", "filename"))), [_SM, _CC, _BAD], "SELECT filename, channel FROM bad WHERE NOT bad OR filename NOT IN (SELECT filename FROM bad WHERE NOT bad)", "", "filename channel")
@@ -263,12 +236,6 @@ add("native_band_power", lambda s, d: features.band_table(features.native_spectr
 _RT = "(VALUES " + ", ".join(f"('{n}', '{x}', '{y}')" for n, x, y in config.RATIOS) + ") AS rt(ratio_name, num, den)"
 add("band_ratios", lambda s, d: features.band_ratios(features.band_table(_spectrum(s, d), ["vec_id"]), ["vec_id"]), [_SPEC], f"SELECT n.vec_id, ratio_name, CASE WHEN m.band_power > 0 THEN n.band_power / m.band_power ELSE 0 END AS value FROM {_RT} JOIN band n ON n.subband = num JOIN band m ON m.subband = den AND m.vec_id = n.vec_id", "value", "vec_id ratio_name")
 add("long_features", lambda s, d: features.long_features(ft(s, d), _F3.split()), [_FT], f"SELECT * FROM ft UNPIVOT (value FOR feature IN (mav, variance, std))", "value", f"{_M} feature")
-add("subband_features", lambda s, d: features.subband_features(b.signals(s, d).select("vec_id", "task", "samples", "sfreq")))
-add("bandpass_fir", lambda s, d: signal.fir_bandpass(b.signals(s, d), 1.0, 40.0).select("vec_id", F.posexplode("samples").alias("i", "x")))
-add("notch", lambda s, d: signal.notch(b.signals(s, d), 50.0).select("vec_id", F.posexplode("samples").alias("i", "x")))
-add("welch_psd", lambda s, d: signal.psd(b.signals(s, d)))
-add("psd_treatments", lambda s, d: signal.psd_by_treatment(b.signals(s, d)))
-add("ica_clean", lambda s, d: signal.clean_ica(b.signals(s, d).withColumn("filename", F.floor(F.col("vec_id") / 8).cast("string")).select("filename", "sfreq", "channel", "samples")).select("filename", "channel", F.posexplode("samples").alias("i", "x")), digits=3)
 _NS = "sg AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), ns AS (SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN e[9:32] || e[17:48] WHEN 1 THEN e[5:20] ELSE e END AS piece, CASE vec_id % 3 WHEN 0 THEN 'Resting' WHEN 1 THEN 'Think_Acting' ELSE 'full_recording' END AS task FROM sg)"
 
 
@@ -285,15 +252,6 @@ def _slices(spark: SparkSession, d: str) -> DataFrame:
 add("notebook_segments", _slices, [_NS], "SELECT vec_id, task, len(piece) AS n, list_sum(list_transform(piece, lambda x: x * x)) AS energy FROM ns", "energy", "vec_id task n")
 
 
-def _long_pipelines(spark: SparkSession, d: str) -> DataFrame:
-    own = b.signals(spark, d).select(F.floor(F.col("vec_id") / 2).cast("string").alias("filename"), "sfreq", F.when(F.col("vec_id") % 2 == 0, "C3").otherwise("C4").alias("channel"), "samples")
-    none = own.select("filename", F.lit(0).alias("annot_idx"), F.lit(0.0).alias("onset"), F.lit(0.0).alias("duration"), F.lit("x").alias("description")).limit(0)
-    return features.pipelines(own, none, ["C3", "C4"], {k: config.SUBBANDS[k] for k in ("Theta", "Alpha", "Beta")})
-
-
-add("notebook_long_features", _long_pipelines)
-
-
 # Paths
 def _paths(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
@@ -303,3 +261,33 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("path_metadata", _paths, None, "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'ALS' ELSE 'Normal' END AS category, CASE WHEN s_suppkey % 3 = 0 THEN 'ALS' || (s_suppkey % 7) ELSE 'id' || (s_suppkey % 9) END AS subject, 'time' || (s_suppkey % 4) AS time, CASE WHEN s_suppkey % 5 > 0 THEN 'scenario' || (s_suppkey % 3) ELSE '' END AS scenario, CASE WHEN s_suppkey % 3 = 0 THEN 'ALS' ELSE 'Control' END AS grp FROM supplier", "", "s_suppkey category subject time scenario grp")
+
+
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    path = F.concat(F.when(k % 3 == 0, F.concat(F.lit("ALS"), k % 7)).otherwise(F.concat(F.lit("id"), k % 9)), F.lit("/"), F.when(k % 4 > 0, F.concat(F.lit("time"), k % 4)).otherwise("rest"), F.lit("/scenario"), k % 4, F.lit("/"), F.when(k % 11 > 0, "EEG.edf").otherwise("eeg.edf"))
+    rows = b.table(spark, d, "supplier").select("s_suppkey", path.alias("path"))
+    return rows.where(in_scenarios(F.col("path"), ["scenario1", "scenario2"])).withColumn("grp", group_of(path_metadata(F.col("path"))["subject"])).drop("path")
+
+
+add("scenario_scan", _scanned, None, "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'ALS' ELSE 'Control' END AS grp FROM supplier WHERE s_suppkey % 4 IN (1, 2) AND s_suppkey % 11 > 0", "", "s_suppkey grp")
+# Small shapes
+add("group_transition_deltas", lambda s, d: delta.group_transitions(ft(s, d), "A", "N", "mav").select("category", F.posexplode("deltas").alias("place", "delta")), [_FT, _TR.format(by="")], "SELECT category, CAST(row_number() OVER (PARTITION BY category ORDER BY subject) - 1 AS INTEGER) AS place, delta FROM tr", "delta", "category place")
+add("delta_top20", lambda s, d: reshape.top(_delta(s, d), "delta_mav", ["filename", "channel", "subband"], 20).select("filename", "channel", "subband", "delta_mav"), [_FT, _DELTA], "SELECT * FROM d ORDER BY delta_mav DESC, filename, channel, subband LIMIT 20", "delta_mav", "filename channel subband")
+_F6 = "mav variance std rms mean mean_power"
+add("delta_of_all_features", lambda s, d: delta.task_delta(ft(s, d, tuple(_F6.split())), "A", "R").select(*_K.split(), *(f"delta_{f}" for f in _F6.split())), [_FT], f"SELECT {', '.join('a.' + k for k in _K.split())}, {', '.join(f'a.{f} - b.{f} AS delta_{f}' for f in _F6.split())} FROM ft a JOIN ft b ON a.filename = b.filename AND a.channel = b.channel AND a.subband = b.subband AND a.category = b.category AND a.subject = b.subject WHERE a.task = 'A' AND b.task = 'R'", " ".join(f"delta_{f}" for f in _F6.split()), _K, 3)
+_BARS = "bars AS (SELECT channel, subband, feature, mean_als, mean_normal, (n_als + n_normal) % 20 / 100.0 AS p FROM st)"
+
+
+def _bars(spark: SparkSession, d: str) -> DataFrame:
+    rows = stats.group_statistics(stats.compare_rows(ft(spark, d), "A", "R")).withColumn("p", (F.col("n_als") + F.col("n_normal")) % 20 / 100)
+    return rows.select(*_CELL.split(", "), *(c.alias(n) for n, c in charts.significance(F.col("p"), F.col("mean_als"), F.col("mean_normal")).items()))
+
+
+add("group_bars", _bars, [*_MODES["delta"], _STATS, _BARS], f"SELECT {_CELL}, CASE WHEN p <= 0.05 THEN '★' ELSE printf('p=%.3f', p) END AS mark, 1.15 * greatest(abs(mean_als), abs(mean_normal)) AS height FROM bars", "height", "channel subband feature mark")
+add("label_decode", lambda s, d: align.timeline(an(s, d)).select("filename", "annot_idx", *(c.alias(n) for n, c in reshape.decoded(F.col("task_occ")).items())), [_SM, _AN, _OC], "SELECT filename, annot_idx, task, CAST(occurrence AS INTEGER) AS occurrence FROM oc", "", "filename annot_idx task occurrence")
+add("first_files", lambda s, d: reshape.first_files(_delta(s, d)).select("filename", reshape.last_part(F.concat(F.lit("a.edf/"), F.col("filename"))).alias("name"), "channel", "subband", "delta_mav"), [_FT, _DELTA], "SELECT filename, replace(filename, '.edf', '') AS name, channel, subband, delta_mav FROM d WHERE filename IN (SELECT DISTINCT filename FROM d ORDER BY filename LIMIT 20)", "delta_mav", "filename name channel subband")
+add("descriptive_head", lambda s, d: reshape.head(reshape.describe(_orders(s, d), ["pipeline", "group", "channel"]), ["pipeline"], ["group", "channel"]), [_OR], "SELECT * FROM (SELECT pipeline, \"group\", channel, avg(value) AS mean, stddev_samp(value) AS std, count(value) AS count FROM lo GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY pipeline ORDER BY \"group\", channel) <= 5", "mean std", 'pipeline "group" channel count')
+_TEXT = "CASE l_linenumber % 4 WHEN 0 THEN 'x' || l_orderkey WHEN 1 THEN ' ' || l_suppkey || ' ' WHEN 2 THEN l_suppkey || 'e-1' ELSE '' END"
+add("numeric_coerce", lambda s, d: b.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", reshape.to_numeric(F.expr(_TEXT)).alias("number")), None, f"SELECT l_orderkey, l_linenumber, TRY_CAST(trim({_TEXT}) AS DOUBLE) AS number FROM lineitem", "number", "l_orderkey l_linenumber")
+add("erd_roles", lambda s, d: delta.erd_ers(ft(s, d), "A", "mav").select("filename", "channel", "subband", "task", reshape.change_role(F.col("erd_ers_pct")).alias("role")), [_FT], "SELECT t.filename, t.channel, t.subband, t.task, CASE WHEN t.mav < b.mav THEN 'ERD' WHEN t.mav > b.mav THEN 'ERS' END AS role FROM ft t JOIN ft b USING (filename, channel, subband) WHERE t.task <> 'A' AND b.task = 'A' AND b.mav > 0", "", "filename channel subband task role")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "voltlake", folder: str | None = None, **conf: str) -> SparkSession:
@@ -30,3 +30,10 @@ def shared_path(spark: SparkSession) -> str:
         found = tempfile.mkdtemp(prefix="voltlake-")
         spark.sparkContext.setCheckpointDir(found)
     return f"{found}/voltlake-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a table of the shared folder: it is made once, and a lost executor doesn't cost it."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def _parts(path: Column) -> Column:
-    parts = F.split(F.translate(path, "\\", "/"), "/")
+    # Of a member of an archive, only its own path counts.
+    own = F.substring_index(path, "!/", -1)
+    parts = F.split(F.translate(own, "\\", "/"), "/")
     return F.filter(parts, lambda p: (p != "") & ~F.lower(p).endswith(".edf"))
 
 
@@ -38,3 +40,9 @@ def with_path_metadata(df: DataFrame, path: str = "filename") -> DataFrame:
 def group_of(subject: Column) -> Column:
     """ALS or Control, by the subject's exact prefix."""
     return F.when(subject.startswith("ALS"), "ALS").otherwise("Control")
+
+
+def in_scenarios(path: Column, scenarios: list[str]) -> Column:
+    """Whether a path is <subject>/time.../<one of the scenarios>/EEG.edf."""
+    names = "|".join(scenarios)
+    return path.rlike(rf"(^|/)[^/]+/time[^/]*/({names})/EEG\.edf$")

@@ -20,9 +20,9 @@ def write_feature_tree(long_features: DataFrame, path: str) -> None:
 
 
 def marked_samples_wide(samples: DataFrame, channels: list[str]) -> DataFrame:
-    """time, a column for each channel, marker: the frame of a sample export."""
-    wide = samples.groupBy("filename", "sample_idx", "time", "marker").pivot("channel", channels).agg(F.first("value"))
-    return wide.select("filename", "sample_idx", "time", *channels, "marker")
+    """time, a column for each channel, marker: the frame of a sample export. Of several values of a channel at a sample the least."""
+    of = [F.min(F.when(F.col("channel") == c, F.col("value"))).alias(c) for c in channels]
+    return samples.groupBy("filename", "sample_idx", "time", "marker").agg(*of).select("filename", "sample_idx", "time", *channels, "marker")
 
 
 def workbook(path: str, sheets: dict[str, DataFrame], limit: int = 1_000_000) -> None:
