@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from voltlake.functions import kernels
-from voltlake.operators import chunked
+from voltlake.operators import chunked, ica
 from voltlake.sources import recordings
 
 RATE = 128.0
@@ -104,3 +104,40 @@ def test_a_scan_forgets_what_is_long_past():
     y, z = b.run(x, b.zeros(1))
     assert np.allclose(b.run(x[:, -b.memory :], b.zeros(1))[1], z, atol=1e-12)
     assert np.array_equal(b.turned(b.memory), b.turned(10 * b.memory))
+
+
+def mixture(seed, n=3000, names=("Fp1", "F7", "C3", "C4", "T7", "O1", "O2"), eye=300.0):
+    rng = np.random.default_rng(seed)
+    blink = np.zeros(n)
+    blink[np.arange(100, n - 60, 300)[:, None] + np.arange(40)] = np.hanning(40)
+    k = len(names)
+    sources = rng.laplace(size=(k - 1, n)).cumsum(axis=1) * 0.05 + rng.laplace(size=(k - 1, n))
+    return 1e-5 * (rng.normal(size=(k, k - 1)) @ sources + np.outer(np.where([c.startswith("F") for c in names], eye, 0.5), blink))
+
+
+@pytest.mark.parametrize("muscles", [True, False])
+def test_components_by_sums_equal_those_of_one_task(spark, muscles):
+    names = ["Fp1", "F7", "C3", "C4", "T7", "O1", "O2"]
+    given = {"a": (names, mixture(1)), "b": (names, mixture(2, n=2000)), "c": (["C3", "Cz"], mixture(3)[2:4]), "d": (["C3"], mixture(4)[:1])}
+    frame = spark.createDataFrame([(f, RATE, c, x.tolist()) for f, (cs, xs) in given.items() for c, x in zip(cs, xs)], "filename string, sfreq double, channel string, samples array<double>")
+    chunks = recordings.chunked(frame, 700)
+    by_sums = put_together(ica.clean_long(chunks, muscles=muscles))
+    one_task = put_together(ica.clean(chunks, muscles=muscles))
+    parted = put_together(ica.clean(chunks, most=7 * 2500, muscles=muscles))
+    changed = 0
+    for f, (cs, xs) in given.items():
+        for c, x in zip(cs, xs):
+            changed += not np.allclose(one_task[f, c], x)
+            if not muscles:  # the power of sources is looked at in chunks, which are shorter here
+                assert np.abs(by_sums[f, c] - one_task[f, c]).max() <= 1e-6 * np.abs(x).max()
+                assert np.abs(parted[f, c] - one_task[f, c]).max() <= 1e-6 * np.abs(x).max()
+            assert len(by_sums[f, c]) == len(x)
+    assert changed >= 7
+    untouched = put_together(ica.clean_long(chunks, detect=False))
+    assert all(np.array_equal(untouched[f, c], x) for f, (cs, xs) in given.items() for c, x in zip(cs, xs))
+
+
+def test_outliers_are_looked_for_again():
+    scores = np.array([0.0] * 30 + [0.01] * 30 + [0.3, 5.0])
+    assert np.flatnonzero(kernels.outliers(scores)).tolist() == [60, 61]
+    assert np.flatnonzero(kernels.outliers(scores, rounds=1)).tolist() == [61]

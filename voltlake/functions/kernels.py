@@ -199,46 +199,94 @@ def welch(x: np.ndarray, sfreq: float, size: int = 256) -> tuple[np.ndarray, np.
     return np.fft.rfftfreq(size, 1 / sfreq), density.mean(axis=0)
 
 
+def whitener(covariance: np.ndarray, components: int) -> tuple[np.ndarray, np.ndarray]:
+    """K and its way back: K @ (x - mean) has unit covariance, of as many leading components as vary. Each direction's largest
+    entry is positive."""
+    values, vectors = np.linalg.eigh(covariance)
+    values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1]
+    keep = min(components, int((values > 1e-20 * values[0]).sum())) if values[0] > 0 else 0
+    s, u = np.sqrt(values[:keep]), vectors[:, :keep]
+    u = u * np.where(u[np.abs(u).argmax(axis=0), np.arange(keep)] < 0, -1.0, 1.0)
+    return (u / s).T, u * s
+
+
+def ica_start(components: int, seed: int) -> np.ndarray:
+    return np.linalg.qr(np.random.default_rng(seed).normal(size=(components, components)))[0]
+
+
+def ica_moments(w: np.ndarray, white: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a step of symmetric FastICA (tanh) adds up over samples."""
+    g = np.tanh(w @ white)
+    return g @ white.T, (1 - g**2).sum(axis=1)
+
+
+def ica_step(w: np.ndarray, products: np.ndarray, slopes: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+    """The next w, and how far it turned."""
+    a, _, b = np.linalg.svd(products / n - (slopes / n)[:, None] * w)
+    new = a @ b
+    return new, float(np.max(np.abs(np.abs((new * w).sum(axis=1)) - 1))) if len(w) else 0.0
+
+
 def fast_ica(x: np.ndarray, components: int, seed: int = 42, rounds: int = 500, tolerance: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Sources and the mixing that leads back to (centred) channels, of channels x samples: symmetric FastICA with tanh."""
     centred = x - x.mean(axis=1, keepdims=True)
-    u, s, _ = np.linalg.svd(centred / math.sqrt(x.shape[1]), full_matrices=False)
-    keep = min(components, int((s > 1e-10 * s[0]).sum())) if s[0] > 0 else 0
-    u, s = u[:, :keep], s[:keep]
-    white = (u / s).T @ centred
-    w = np.linalg.qr(np.random.default_rng(seed).normal(size=(keep, keep)))[0]
+    k, back = whitener(centred @ centred.T / x.shape[1], components)
+    white = k @ centred
+    w = ica_start(len(k), seed)
     for _ in range(rounds):
-        g = np.tanh(w @ white)
-        new = g @ white.T / x.shape[1] - (1 - g**2).mean(axis=1)[:, None] * w
-        a, _, b = np.linalg.svd(new)
-        new = a @ b
-        done = np.max(np.abs(np.abs((new * w).sum(axis=1)) - 1)) < tolerance
-        w = new
-        if done:
+        w, turned = ica_step(w, *ica_moments(w, white), x.shape[1])
+        if turned < tolerance:
             break
-    return w @ white, (u * s) @ w.T
+    return w @ white, back @ w.T
+
+
+def outliers(scores: np.ndarray, limit: float = 3.0, rounds: int = 2) -> np.ndarray:
+    """Which scores are further than `limit` standard deviations from the mean of those that weren't found before."""
+    found = np.zeros(len(scores), bool)
+    for _ in range(rounds):
+        rest = scores[~found]
+        if len(rest) < 2 or rest.std() == 0:
+            break
+        new = ~found & (np.abs(scores - rest.mean()) > limit * rest.std())
+        if not new.any():
+            break
+        found |= new
+    return found
+
+
+#: Samples of a block in which the power of a source is looked at, as many as in a chunk.
+POWER_BLOCK = 65_536
+
+
+def power_above(sources: np.ndarray) -> np.ndarray:
+    """Of each source (row) the power in the upper third of frequencies less that in the rest, without a constant."""
+    power = np.abs(np.fft.rfft(sources)) ** 2
+    cut = power.shape[1] * 2 // 3
+    return power[:, cut:].sum(axis=1) - power[:, 1:cut].sum(axis=1)
 
 
-def artefacts(sources: np.ndarray, channels: list[str], x: np.ndarray, limit: float = 3.0, muscles: bool = True) -> list[int]:
-    """Components that go: of eye movement, those whose correlation with a frontal or eye channel stands out by `limit`
-    standard deviations (or exceeds 0.9); of muscles, if temporal channels are there, those whose power above 20 Hz of 128
-    (a third of all bins) outweighs the rest."""
-    found: set[int] = set()
+def artefacts(channels: list[str], correlation: np.ndarray, above: np.ndarray | None, limit: float = 3.0) -> list[int]:
+    """Components that go: of eye movement, those whose correlation (components x channels) with a frontal or eye channel stands
+    out by `limit` standard deviations, or exceeds 0.9; of muscles, if temporal channels are there and `above` is given, those whose
+    power above two thirds of the Nyquist frequency outweighs the rest."""
+    found = np.zeros(len(correlation), bool)
     for i, c in enumerate(channels):
-        if any(k in c.lower() for k in ("eog", "fp1", "fp2", "f7", "f8")) and x[i].std() > 0:
-            r = np.abs(np.array([np.corrcoef(s, x[i])[0, 1] for s in sources]))
-            found |= set(np.flatnonzero((r > 0.9) | (r > r.mean() + limit * r.std())).tolist())
-    if muscles and any(c.lower() in ("t7", "t8", "tp9", "tp10") for c in channels):
-        power = np.abs(np.fft.rfft(sources)) ** 2
-        cut = power.shape[1] * 2 // 3
-        found |= set(np.flatnonzero(power[:, cut:].sum(axis=1) > power[:, 1:cut].sum(axis=1)).tolist())
-    return sorted(found)
+        if any(k in c.lower() for k in ("eog", "fp1", "fp2", "f7", "f8")) and len(correlation):
+            r = correlation[:, i]
+            found |= (np.abs(r) > 0.9) | outliers(r, limit)
+    if above is not None and any(c.lower() in ("t7", "t8", "tp9", "tp10") for c in channels):
+        found |= above > 0
+    return np.flatnonzero(found).tolist()
 
 
 def clean_ica(x: np.ndarray, channels: list[str], components: int = 15, detect: bool = True, seed: int = 42, muscles: bool = True) -> np.ndarray:
     n = min(components, len(x) - 1)
-    if n < 2:
+    if n < 2 or not detect:
         return x
     sources, mixing = fast_ica(x, n, seed)
-    gone = artefacts(sources, channels, x, muscles=muscles) if detect else []
+    spread = x.std(axis=1)
+    # Sources have unit variance, so the mixing is their covariance with channels.
+    correlation = np.where(spread > 0, mixing.T / np.where(spread > 0, spread, 1), 0.0)
+    above = sum(power_above(sources[:, a : a + POWER_BLOCK]) for a in range(0, x.shape[1], POWER_BLOCK)) if muscles else None
+    gone = artefacts(channels, correlation, above)
     return x - mixing[:, gone] @ sources[gone] if gone else x

@@ -119,7 +119,10 @@ def first_occurrence_features(marked: DataFrame, sfreq: float, least: int = 4, *
 
 
 def native_spectrum(signals: DataFrame, keys: list[str], n: int, sfreq: float) -> DataFrame:
-    """keys, freq, power by a join with the transform's basis: for short segments of one length, all within the engine."""
+    """keys, freq, power by a join with the transform's basis: for segments of one length, of 1,024 samples at most (the basis has
+    half the square of that rows, and is broadcast); for others use `spectra`."""
+    if n > 1024:
+        raise ValueError(f"segments of {n} samples are too long for a broadcast basis")
     spark = signals.sparkSession
     angle = F.lit(-2 * np.pi / n) * ((F.col("k") * F.col("i")) % n)
     basis = spark.range(n // 2 + 1).withColumnRenamed("id", "k").crossJoin(F.broadcast(spark.range(n).withColumnRenamed("id", "i")))

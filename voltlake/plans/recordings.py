@@ -16,6 +16,7 @@ from pyspark.sql.utils import AnalysisException
 
 from voltlake.config import SUBBANDS
 from voltlake.operators import align, chunked, features, quality, signal
+from voltlake.operators import ica as independent
 from voltlake.session import shared_path
 from voltlake.sources import files, recordings
 from voltlake.sources.path import with_path_metadata
@@ -103,7 +104,7 @@ def process(signals: DataFrame, channels: list[str] | None = None, drop_bad: boo
     if band:
         signals = chunked.fir_bandpass(signals, *band, error=None)
     if ica:
-        signals = recordings.chunked(signal.clean_ica(recordings.whole(signals), muscles=not eog_only))
+        signals = independent.clean(signals, muscles=not eog_only)
     return signals
 
 
