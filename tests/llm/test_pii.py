@@ -123,3 +123,87 @@ def test_secrets_of_any_length_and_days_without_zeros(spark):
         assert r.n_found == 1 and shape(r.text) == shape(t) and not any(value[i : i + 12] in r.text for i in range(0, len(value), 12))
     assert got[3].text == texts[3] and got[3].n_found == 0
     assert got[4].n_found == 2 and not re.search(r"\b0", got[4].text)
+
+
+def test_all_spellings_of_days_have_pseudonyms_of_their_own(spark):
+    """ISO, day first and month first (where that shows), with and without zeros, of 40 years: one pseudonym for one day."""
+    days = spark.range(14610).select(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
+    late = F.dayofmonth("day") > 12
+    forms = {"iso": "yyyy-MM-dd", "first": "dd/MM/yyyy", "bare": "d.M.yyyy", "month": "MM/dd/yyyy", "bare month": "M/d/yyyy"}
+    each = F.array(*(F.struct(F.lit(n).alias("form"), F.when(late | ~F.lit("month" in n), F.date_format("day", f)).alias("text")) for n, f in forms.items()))
+    rows = days.select("day", F.explode(each).alias("f")).select("day", "f.form", "f.text").where("text is not null")
+    out = rows.withColumn("new", pii.pseudonym(F.col("text"), SECRET)).collect()
+    assert len(out) > 60_000
+
+    def read(text):
+        if "-" in text:
+            return datetime.date.fromisoformat(text)
+        a, b, y = map(int, re.split("[/.]", text))
+        return datetime.date(y, a, b) if b > 12 else datetime.date(y, b, a)
+
+    seen = {}
+    for r in out:
+        assert read(r.text) == r.day and 1800 <= read(r.new).year < 2200
+        group = "month" in r.form
+        assert group == (read(r.new).day > 12 and "/" in r.new and int(r.new.split("/")[1]) > 12)
+        assert seen.setdefault((group, read(r.new)), r.day) == r.day
+        assert seen.setdefault((group, "of", r.day), read(r.new)) == read(r.new)
+    spelled = {}
+    for r in out:
+        assert spelled.setdefault(r.new, r.day) == r.day
+
+
+def test_days_above_the_12th_are_permuted_among_themselves(spark):
+    rows = spark.range(0, 146097, 5).select(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("day")).where(F.dayofmonth("day") > 12)
+    out = rows.select(F.date_format("day", "MM/dd/yyyy").alias("x")).select("x", pii.pseudonym(F.col("x"), SECRET).alias("y"))
+    assert out.where("y rlike '^(0[1-9]|1[0-2])/(1[3-9]|2[0-9]|3[01])/(18|19|20|21)[0-9]{2}$'").select("y").distinct().count() == rows.count()
+
+
+def plain_numeral(x, base, tweak):
+    """A numeral's permutation, by the definition: halves of pieces."""
+    most, out = {10: 36, 26: 22}[base], ""
+    symbols = "0123456789abcdefghijklmnopqrstuvwxyz"
+    for at in range(0, len(x), most):
+        piece = x[at : at + most]
+        a = len(piece) // 2
+        left, right = int(piece[:a] or "0", base), int(piece[a:], base)
+        pair = feistel(left, right, base**a, base ** (len(piece) - a), f"{tweak}{base}")
+        for v, width in zip(pair, (a, len(piece) - a)):
+            digits = ""
+            for _ in range(width):
+                v, d = divmod(v, base)
+                digits = symbols[d] + digits
+            out += digits
+    return out
+
+
+def plain_by_kind(text, tweak):
+    """Digits, small and capital letters, each among their kind."""
+    kinds = {"d": [c for c in text if c in "0123456789"], "l": [c for c in text if "a" <= c <= "z"], "u": [c for c in text if "A" <= c <= "Z"]}
+    numerals = "0123456789abcdefghijklmnop"
+    new = {"d": iter(plain_numeral("".join(kinds["d"]), 10, tweak))}
+    for k, first in (("l", "a"), ("u", "A")):
+        moved = plain_numeral("".join(numerals[ord(c) - ord(first)] for c in kinds[k]), 26, tweak + first)
+        new[k] = iter([chr(ord(first) + numerals.index(c)) for c in moved])
+    return "".join(next(new["d"]) if c in "0123456789" else next(new["l"]) if "a" <= c <= "z" else next(new["u"]) if "A" <= c <= "Z" else c for c in text)
+
+
+def test_cards_mails_keys_and_secrets_equal_brute_force(spark):
+    rng = random.Random(6)
+    pick = lambda alphabet, k: "".join(rng.choices(alphabet, k=k))
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    want = {}
+    for _ in range(60):
+        number = pick(digits, rng.randrange(12, 19))
+        last = next(d for d in digits if luhn(number + d))
+        moved = plain_numeral(number, 10, "card")
+        want[number + last] = moved + next(d for d in digits if luhn(moved + d))
+        local = pick(lower + digits + "._", rng.randrange(1, 20)).strip("._") or "a"
+        want[f"{local}@mail.example.org"] = plain_by_kind(local, "email") + "@mail.example.org"
+        key = pick(upper + digits, 16)
+        want[f"AKIA{key}"] = "AKIA" + plain_by_kind(key, "key")
+        secret = pick(lower + upper + digits + "_-", rng.randrange(6, 90))
+        want[f"token={secret}"] = "token=" + plain_by_kind(secret, "assigned")
+        want[f'password = "{secret}"'] = f'password = "{plain_by_kind(secret, "assigned")}"'
+    got = run(spark, [f"see {v} there" for v in want])
+    assert [r.text for r in got] == [f"see {v} there" for v in want.values()]

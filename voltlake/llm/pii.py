@@ -5,14 +5,14 @@ same pseudonym, in every document, and pseudonyms look like what they stand for:
 
 * card numbers (13 to 19 digits, Luhn valid): all digits but the last are permuted, the last is the check digit again
 * telephone numbers (optional country code, area code, 7 digits): digits are permuted, marks and country code stay, and the area code's first digit is 0 only where it was
-* dates (ISO, or day and month with / or ., years 1800 to 2199, days that exist): another day that exists, in the same order and with the same marks; without leading zeros where a day or month had none
+* dates (ISO, or day and month with / or ., years 1800 to 2199, days that exist): another day that exists, in the same order and with the same marks; without leading zeros where a day or month had none. Different days have different pseudonyms, however they are spelled; a day has the same one in each order but that with the month first, which only days above the 12th can be seen to have (where both numbers could be months, the day comes first)
 * social security numbers (three groups that are not all zero): others of that kind
 * IPv4 addresses (octets up to 255): octets are permuted in two halves
 * e-mail addresses (local part of up to 64 characters): letters and digits of the local part, each among their kind
 * access keys (AKIA and 16 capitals or digits) and values of password=, token= or secret= (of six characters or more, however long; with
   blanks around the mark if they are quoted): letters and digits, each among their kind
 
-What fails its validation stays as it is. `pseudonymise` reads only the key and the text; columns of any other name are
+What fails its validation stays as it is, and so does a secret after a colon, as in JSON. `pseudonymise` reads only the key and the text; columns of any other name are
 ignored. Null text stays null (n_found 0), empty text empty; a null or repeated key is no matter; a long text is split at
 its matches once. An empty table gives an empty result. The secret has no default: without it nobody can reverse a pseudonym.
 The result holds no value as it was. One letter or digit alone of its kind has few pseudonyms to choose from, so it is hidden among ten or 26.
@@ -136,6 +136,18 @@ def _date(m: Column, secret: str) -> Column:
     n = F.datediff(day, first)
     moved = _feistel(F.floor(n / 773), n % 773, F.lit(189), F.lit(773), "date", secret)
     new = F.element_at(F.transform(F.array(moved), lambda p: F.date_add(first, (p["l"] * 773 + p["r"]).cast("int"))), 1)
+    # Only days above the 12th can be told to have the month first, so these are permuted among themselves: there are 88,497 = 9 x 9,833.
+    late = n - 12 * ((y - 1800) * 12 + mo)
+    moved = _feistel(F.floor(late / 9833), late % 9833, F.lit(9), F.lit(9833), "month first", secret)
+    begins = lambda k: F.datediff(F.add_months(first, (k - 1).cast("int")), first) + 12 - 12 * k  # noqa: E731  place of a month's 13th among them
+
+    def day_at(p: Column) -> Column:
+        place = p["l"] * 9833 + p["r"]
+        guess = F.floor(place * 4800 / 88497)
+        months = F.filter(F.transform(F.sequence(F.lit(-1), F.lit(3)), lambda i: guess + i), lambda k: (k >= 1) & (k <= 4800) & (begins(k) <= place))
+        return F.element_at(F.transform(F.slice(months, -1, 1), lambda k: F.date_add(F.add_months(first, (k - 1).cast("int")), (place - begins(k) + 12).cast("int"))), 1)
+
+    new = F.when(month_first, F.element_at(F.transform(F.array(moved), day_at), 1)).otherwise(new)
     mark = F.when(m.contains("/"), "/").otherwise(".")
     # A pseudonym's own day and month are written as the day comes first, or as the month does where it did.
     bare = m.rlike(r"^\d[/.]|[/.]\d[/.]")
