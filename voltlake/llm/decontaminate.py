@@ -6,7 +6,9 @@ an occurrence of a window is hit.
 
 `matches` reads only the key and text columns (others of any name are ignored) and returns one row per document
 row, repeated rows and null keys included. Null or empty texts have no words; null or empty items have no windows;
-items that share an id count as one; an empty benchmark hits nothing; an empty table gives an empty result.
+items that share an id count as one, and so do those without an id: they hit like others, and are a null among the items
+(one of n_items, and not named in items_sha256). Keys and ids may be of any type. An empty benchmark hits nothing; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
@@ -161,19 +164,23 @@ class Automaton:
 
 
 def blocks(benchmark: DataFrame, key: str, text: str, window: int, block_words: int) -> Iterator[Automaton]:
-    """Automata of at most `block_words` words, one at a time; an item longer than that is its own block."""
-    of = benchmark.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("item"), F.col(text).alias("text"))
-    block: list[tuple[int, list[bytes]]] = []
+    """Automata of at most `block_words` words (or two windows, if that is more), one at a time. A longer item is cut into pieces that
+    overlap by a window less a word, so that each of its windows is in one of them."""
+    of = benchmark.where(F.col(text).isNotNull()).select(F.col(key).alias("item"), F.col(text).alias("text"))
+    most = max(block_words, 2 * window)
+    block: list[tuple[object, list[bytes]]] = []
     size = 0
     for row in of.orderBy("item", "text").toLocalIterator():
         sequence = words(row.text.encode())
-        if not sequence:
-            continue
-        if block and size + len(sequence) > block_words:
-            yield Automaton(block, window)
-            block, size = [], 0
-        block.append((row["item"], sequence))
-        size += len(sequence)
+        for at in range(0, max(1, len(sequence) - window + 1), most - window + 1):
+            piece = sequence[at : at + most]
+            if not piece:
+                continue
+            if block and size + len(piece) > block_words:
+                yield Automaton(block, window)
+                block, size = [], 0
+            block.append((row["item"], piece))
+            size += len(piece)
     yield Automaton(block, window)
 
 
@@ -191,7 +198,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document row: n_words, merged spans [start, end) of hit words, item_ids with windows in it (sorted), the longest match in words.
+    """Per document row: n_words, merged spans [start, end) of hit words, item_ids with windows in it (sorted, a null last), the longest match in words (within a piece of an item, see `blocks`).
 
     The documents stream through the tasks that read them, without a shuffle. Only one bounded automaton is
     broadcast at a time; the results of an earlier block are written out before the next one passes.
@@ -200,7 +207,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     key_type = rows.schema["key"].dataType.simpleString()
     spans_type = "array<struct<start:int,end:int>>"
-    result = rows.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast(spans_type), "items": F.array().cast("array<bigint>"), "longest": F.lit(0)})
+    item_type = benchmark.schema[item_key].dataType
+    items_type, items_arrow = f"array<{item_type.simpleString()}>", pa.list_(to_arrow_type(item_type))
+    result = rows.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast(spans_type), "items": F.array().cast(items_type), "longest": F.lit(0)})
     for i, automaton in enumerate(blocks(benchmark, item_key, item_text, window, block_words)):
         if i:
             result = common.stash(result)
@@ -216,14 +225,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
                     own, found, most = automaton.match(document)
                     n_words.append(len(document))
                     spans.append([{"start": a, "end": b} for a, b in (_merged([*own, *((s["start"], s["end"]) for s in old_spans)]) if old_spans else own)])
-                    items.append(sorted(found | set(old_items)))
+                    items.append(sorted(found | set(old_items), key=lambda x: (x is None, x if x is not None else 0)))
                     longest.append(max(most, old_longest))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.int64())), pa.array(longest, pa.int32())],
+                    [batch.column("key"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, items_arrow), pa.array(longest, pa.int32())],
                     ["key", "text", "n_words", "spans", "items", "longest"],
                 )
 
-        result = result.mapInArrow(run, f"key {key_type}, text string, n_words bigint, spans {spans_type}, items array<bigint>, longest int")
+        result = result.mapInArrow(run, f"key {key_type}, text string, n_words bigint, spans {spans_type}, items {items_type}, longest int")
     return result.withColumnRenamed("key", key)
 
 
@@ -262,8 +271,10 @@ def _clean_by_one(docs: DataFrame, automaton: Automaton, text: str, coverage: fl
                 document = words(raw)
                 total = len(document)
                 gone = 0
-                while (spans := automaton.match(document)[0]) and gone < coverage * total:
+                while spans := automaton.match(document)[0]:
                     gone += sum(b - a for a, b in spans)
+                    if gone >= coverage * total:
+                        break
                     raw = cut(raw, spans)
                     document = words(raw)
                 keep.append(not gone or gone < coverage * total)
@@ -278,9 +289,10 @@ def _clean_by_several(docs: DataFrame, automata: Callable[[], Iterator[Automaton
     """As by one automaton of all blocks: each round takes the hits of all blocks together, and a document that was cut is in the next."""
     spark = docs.sparkSession
     spans_type = "array<struct<start:int,end:int>>"
-    open_ = docs.withColumns({"__total": F.lit(0).cast("long"), "__gone": F.lit(0).cast("long"), "__first": F.lit(True), "__spans": F.array().cast(spans_type)})
+    total_, gone_, first_, spans_ = common.free_names(docs, "total", "gone", "first", "spans")
+    open_ = docs.withColumns({total_: F.lit(0).cast("long"), gone_: F.lit(0).cast("long"), first_: F.lit(True), spans_: F.array().cast(spans_type)})
 
-    def replaced(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
+    def replaced(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
         for name, values in columns.items():
             at = batch.schema.get_field_index(name)
             batch = batch.set_column(at, batch.schema.field(at), values.cast(batch.schema.field(at).type))
@@ -290,24 +302,25 @@ def _clean_by_several(docs: DataFrame, automata: Callable[[], Iterator[Automaton
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = shared.value
             for batch in common.slices(batches, text):
-                old = ([(s["start"], s["end"]) for s in x] for x in batch.column("__spans").to_pylist())
+                old = ([(s["start"], s["end"]) for s in x] for x in batch.column(spans_).to_pylist())
                 spans = [_merged([*automaton.match(words(raw))[0], *before]) for raw, before in zip(common.texts(batch, text), old, strict=True)]
-                yield replaced(batch, __spans=pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], _SPANS))
+                yield replaced(batch, {spans_: pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], _SPANS)})
 
         return run
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, text):
-            new, total, gone, spans = [], batch.column("__total").to_pylist(), batch.column("__gone").to_pylist(), batch.column("__spans").to_pylist()
-            first, null = batch.column("__first").to_pylist(), batch.column(text).is_null().to_pylist()
+            new, total, gone, spans = [], batch.column(total_).to_pylist(), batch.column(gone_).to_pylist(), batch.column(spans_).to_pylist()
+            first, null = batch.column(first_).to_pylist(), batch.column(text).is_null().to_pylist()
             for i, raw in enumerate(common.texts(batch, text)):
                 if first[i]:
                     total[i] = len(words(raw))
-                if spans[i] and gone[i] < coverage * total[i]:
+                if spans[i]:
                     gone[i] += sum(s["end"] - s["start"] for s in spans[i])
-                    raw = cut(raw, [(s["start"], s["end"]) for s in spans[i]])
+                    if gone[i] < coverage * total[i]:
+                        raw = cut(raw, [(s["start"], s["end"]) for s in spans[i]])
                 new.append(None if null[i] else raw.decode())
-            yield replaced(batch, **{text: pa.array(new, pa.string()), "__total": pa.array(total, pa.int64()), "__gone": pa.array(gone, pa.int64())})
+            yield replaced(batch, {text: pa.array(new, pa.string()), total_: pa.array(total, pa.int64()), gone_: pa.array(gone, pa.int64())})
 
     done = []
     while True:
@@ -317,15 +330,15 @@ def _clean_by_several(docs: DataFrame, automata: Callable[[], Iterator[Automaton
                 common.discard(before)
         cut_ = common.stash(open_.mapInArrow(apply, open_.schema))
         common.discard(open_)
-        again = (F.size("__spans") > 0) & (F.col("__gone") < coverage * F.col("__total"))
-        done.append(cut_.where(F.size("__spans") == 0).select(docs.columns))
-        open_ = cut_.where(again).withColumns({"__first": F.lit(False), "__spans": F.array().cast(spans_type)})
+        again = (F.size(spans_) > 0) & (F.col(gone_) < coverage * F.col(total_))
+        done.append(cut_.where(F.size(spans_) == 0).select(docs.columns))
+        open_ = cut_.where(again).withColumns({first_: F.lit(False), spans_: F.array().cast(spans_type)})
         if open_.isEmpty():
             return reduce(DataFrame.unionByName, done)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS, length_column: str | None = "n_chars") -> DataFrame:
-    """The documents with hit spans cut out, all columns kept; one of which `coverage` or more is hit goes whole.
+    """The documents with hit spans cut out, all columns kept; one of which `coverage` or more is hit goes whole (with 0, each that is hit at all).
 
     What stands on both sides of a cut may make a window anew, so a text is held against the benchmark until
     nothing is hit. The number of blocks doesn't change the result. `length_column`, if the table has it, is set to the new number of characters; texts without a
