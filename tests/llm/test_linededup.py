@@ -1,8 +1,10 @@
 import random
 
+import pytest
+
 from voltlake.llm import linededup as L
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, no string, line string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, __id string, __gone string, _same string"
 
 
 def within_one(a, b):
@@ -14,10 +16,11 @@ def within_one(a, b):
     return any(a[p + i :] == b[p + j :] for i, j in ((0, 0), (1, 1), (1, 0), (0, 1)))
 
 
-def brute(docs):
+def brute(docs, min_chars=L.MIN_CHARS, exact_chars=L.EXACT_CHARS):
     big = 1 << 63
-    places = {(big if d is None else d, i): x.strip(" ") for d, t in docs if t is not None for i, x in enumerate(t.split("\n")) if len(x.strip(" ")) >= L.MIN_CHARS}
-    return {p for p, x in places.items() if any(q < p and within_one(y, x) for q, y in places.items())}
+    places = {(big if d is None else d, i): x.strip(" ") for d, t in docs if t is not None for i, x in enumerate(t.split("\n"))}
+    near = lambda y, x: min(len(x), len(y)) >= min_chars and within_one(y, x)
+    return {p for p, x in places.items() if any(q < p and (y == x and len(x) >= exact_chars or near(y, x)) for q, y in places.items())}
 
 
 def fixture():
@@ -62,3 +65,18 @@ def test_rows_without_a_key_or_with_a_repeated_one_lose_only_their_own_lines(spa
     texts = [(1, again), (None, own[0] + "\n" + again), (None, own[1] + "\n" + own[2]), (None, near[0]), (2, near[1]), (7, own[3]), (7, again)]
     frame = spark.createDataFrame([(i, t, "l", "s", len(t), "a", "b", "c") for i, t in texts], SCHEMA).repartition(3)
     assert sorted(r.text for r in L.clean(frame).collect()) == sorted([again, own[0], own[1] + "\n" + own[2], near[1], own[3]])
+
+
+@pytest.mark.parametrize(("min_chars", "exact_chars"), [(20, 20), (5, 1), (30, 3), (3, 50)])
+def test_lengths_from_which_lines_count(spark, min_chars, exact_chars):
+    docs = fixture() + [(500, "short\nshorts\n \n"), (501, " short \n\nother")]
+    frame = spark.createDataFrame([(i, t, "l", "s", 1, "a", "b", "c") for i, t in docs], SCHEMA)
+    got = {((1 << 63) if r.doc_id is None else r.doc_id, i) for r in L.marks(frame, min_chars=min_chars, exact_chars=exact_chars).collect() for i in r.removed}
+    assert got == brute(docs, min_chars, exact_chars)
+
+
+def test_columns_of_any_name_stay_and_keys_are_numbers(spark):
+    frame = spark.createDataFrame([(1, "one line that is long enough", "l", "s", 28, "a", "b", "c"), (2, "one line that is long enough\nmore", "l", "s", 33, "d", "e", "f")], SCHEMA)
+    assert {(r["__id"], r["__gone"], r["_same"], r.n_chars) for r in L.clean(frame).collect()} == {("a", "b", "c", 28), ("d", "e", "f", 4)}
+    with pytest.raises(TypeError, match="whole number"):
+        L.marks(frame.withColumn("doc_id", frame["text"]))

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegralType
 
 #: Bytes of text that a Python worker handles at once, unless one row alone is larger.
 SLICE_BYTES = 1 << 19
@@ -86,6 +87,12 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return [prefix + n for n in names]
 
 
+def whole_number(df: DataFrame, column: str) -> None:
+    """TypeError, before anything runs, where a column that is ordered and packed as a number isn't one."""
+    if not isinstance(df.schema[column].dataType, IntegralType):
+        raise TypeError(f"{column} must be a whole number, not {df.schema[column].dataType.simpleString()}")
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `limit` bytes of `column` (or one row)."""
     for batch in batches:

@@ -1,7 +1,8 @@
 """Line deduplication: a line goes if an equal line, or one within one edit, stands earlier in the corpus.
 
-Earlier means a lower (key, line number), null keys last. Lines are what '\\n' divides; a line counts without the
-blanks at its ends, and one of fewer than `MIN_CHARS` characters is never removed. An edit is one character inserted,
+Earlier means a lower (key, line number), null keys last; the key must be a whole number (else TypeError). Lines are what
+'\\n' divides; a line counts without the blanks (U+0020) at its ends. Equal lines count from `exact_chars` characters on (1: all but
+blank ones; or from `min_chars`, if that is less), near ones from `min_chars` on: within one edit, a short line is soon another word. An edit is one character inserted,
 deleted or replaced. "Earlier" looks at all lines, kept or not, so the result doesn't depend on an order of work.
 
 Lines that share half of themselves with others, and then all but a sixteenth, emit their deletion variants (themselves
@@ -13,7 +14,7 @@ bucket is paired out, and each pair found is verified by its edit distance.
 * rows are told apart by key and text: of different texts that share a key, or have none, each loses its own lines; of two
   such lines with equal numbers, a hash of the whole text says which is the earlier
 * a long text is as many lines as it has; a long line emits as many variants as it has characters
-* columns of any other name are ignored by `marks`, and kept by `clean`; an empty table gives an empty result
+* columns of any other name are ignored by `marks`, and kept by `clean`, whatever their names; an empty table gives an empty result
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MIN_CHARS = 20
+MIN_CHARS, EXACT_CHARS = 20, 1
 #: Parts in which a line is searched for the one that an edit stands in, before variants of that part are emitted.
 PARTS = 16
 #: What tells a line's place; places are compared in this order.
@@ -35,10 +36,11 @@ _PLACE = ["id", "no", "same"]
 _LAST = (1 << 63) - 1
 
 
-def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _lines(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
     """id (the key, null last), same (a hash of the whole text), no, line; of all lines that are long enough."""
+    common.whole_number(docs, key)
     split = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("same"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("no", "line"))
-    return split.withColumn("line", F.trim("line")).where(F.length("line") >= MIN_CHARS)
+    return split.withColumn("line", F.trim("line")).where(F.length("line") >= least)
 
 
 def _halves() -> Column:
@@ -173,27 +175,30 @@ def near_pairs(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     return both.where(F.levenshtein("line", "other_line", 1).between(0, 1)).select(*_PLACE, *others)
 
 
-def dropped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dropped(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """Per document that loses lines: id, same, and their numbers (0-based)."""
-    lines = _lines(docs, key, text)
-    places = lines.select(*_PLACE, F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("g"), _halves().alias("halves"))
-    distinct = common.stash(places.groupBy("h", "g").agg(F.min(F.struct(*_PLACE)).alias("first"), F.max(F.struct(*_PLACE)).alias("last"), F.first("halves").alias("halves")))
+    lines = _lines(docs, key, text, max(1, min(min_chars, exact_chars)))
+    # Lines that are too short to be near another one have no halves.
+    places = lines.select(*_PLACE, F.length("line").alias("n"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("g"), F.when(F.length("line") >= min_chars, _halves()).alias("halves"))
+    distinct = common.stash(places.groupBy("h", "g").agg(F.min(F.struct(*_PLACE)).alias("first"), F.max(F.struct(*_PLACE)).alias("last"), F.first("halves").alias("halves"), F.first("n").alias("n")))
     near = near_pairs(lines, distinct).select(*_PLACE).distinct().withColumn("near", F.lit(True))
-    verdict = distinct.select("h", "g", "first", "last", "first.*").join(near, _PLACE, "left")
-    verdict = verdict.where("near or first < last").select(_again("h").alias("k"), F.col("g").alias("g2"), "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = places.select(*_PLACE, "h", "g").join(verdict, (_again("h") == F.col("k")) & (F.col("g") == F.col("g2"))).where(F.col("near") | (F.struct(*_PLACE) > F.col("first")))
+    verdict = distinct.select("h", "g", "n", "first", "last", "first.*").join(near, _PLACE, "left")
+    again = (F.col("first") < F.col("last")) & (F.col("n") >= min(min_chars, exact_chars))
+    verdict = verdict.where(F.col("near") | again).select(_again("h").alias("k"), F.col("g").alias("g2"), "first", again.alias("again"), F.coalesce("near", F.lit(False)).alias("near"))
+    gone = places.select(*_PLACE, "h", "g").join(verdict, (_again("h") == F.col("k")) & (F.col("g") == F.col("g2"))).where(F.col("near") | F.col("again") & (F.struct(*_PLACE) > F.col("first")))
     return gone.groupBy("id", "same").agg(F.array_sort(F.collect_set("no")).alias("gone"))
 
 
-def _rebuilt(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """All columns of docs and `__gone`, the numbers of lines to drop, with `text` without them."""
-    gone = dropped(docs, key, text).withColumnsRenamed({"id": "__id", "same": "__same", "gone": "__gone"})
-    joined = docs.join(gone, (F.coalesce(F.col(key).cast("long"), F.lit(_LAST)) == F.col("__id")) & (F.xxhash64(text) == F.col("__same")), "left").drop("__id", "__same")
+def _rebuilt(docs: DataFrame, key: str, text: str, gone_: str, min_chars: int, exact_chars: int) -> DataFrame:
+    """All columns of docs and `gone_`, the numbers of lines to drop, with `text` without them."""
+    id_, same_ = common.free_names(docs.withColumn(gone_, F.lit(0)), "id", "same")
+    gone = dropped(docs, key, text, min_chars, exact_chars).withColumnsRenamed({"id": id_, "same": same_, "gone": gone_})
+    joined = docs.join(gone, (F.coalesce(F.col(key).cast("long"), F.lit(_LAST)) == F.col(id_)) & (F.xxhash64(text) == F.col(same_)), "left").drop(id_, same_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, text):
             new = []
-            for t, out in zip(batch.column(text).to_pylist(), batch.column("__gone").to_pylist(), strict=True):
+            for t, out in zip(batch.column(text).to_pylist(), batch.column(gone_).to_pylist(), strict=True):
                 if out and t is not None:
                     no = set(out)
                     t = "\n".join(line for i, line in enumerate(t.split("\n")) if i not in no)
@@ -204,18 +209,19 @@ def _rebuilt(docs: DataFrame, key: str, text: str) -> DataFrame:
     return joined.mapInArrow(run, joined.schema)
 
 
-def marks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def marks(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """Per document row: the key, n_lines, n_removed, removed (line numbers, 0-based), and the text that is left."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long").alias("n_lines"))
-    out = _rebuilt(rows, "key", "text").withColumn("removed", F.coalesce("__gone", F.array().cast("array<int>")))
+    out = _rebuilt(rows, "key", "text", "gone", min_chars, exact_chars).withColumn("removed", F.coalesce("gone", F.array().cast("array<int>")))
     out = out.withColumn("removed", F.filter("removed", lambda i: i < F.col("n_lines")))
     return out.select(F.col("key").alias(key), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "text")
 
 
-def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", length_column: str | None = "n_chars") -> DataFrame:
+def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", length_column: str | None = "n_chars", min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """The documents without the lines that go; a document that loses all its words this way goes too."""
-    out = _rebuilt(docs, key, text).where(F.col("__gone").isNull() | (F.length(F.trim(F.translate(text, "\n", " "))) > 0))
+    (gone_,) = common.free_names(docs, "gone")
+    out = _rebuilt(docs, key, text, gone_, min_chars, exact_chars).where(F.col(gone_).isNull() | (F.length(F.trim(F.translate(text, "\n", " "))) > 0))
     if length_column in docs.columns:
         kind = docs.schema[length_column].dataType
-        out = out.withColumn(length_column, F.when(F.col("__gone").isNull(), F.col(length_column)).otherwise(F.length(text)).cast(kind))
+        out = out.withColumn(length_column, F.when(F.col(gone_).isNull(), F.col(length_column)).otherwise(F.length(text)).cast(kind))
     return out.select(docs.columns)

@@ -45,7 +45,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.marks(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return linededup.marks(read(spark, sf_dir, "documents"), min_chars=20, exact_chars=1).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,18 +134,18 @@ n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
 c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
 SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, c AS component_id, vec_id = c AS kept FROM embeddings JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
 """,
-    "op7_line_dedup": f"""
+    "op7_line_dedup": """
 WITH l AS (
   SELECT doc_id, no, trim(w[no + 1], ' ') AS line, doc_id * 1000000 + no AS place
   FROM (SELECT doc_id, w, unnest(range(len(w))) AS no FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents WHERE text IS NOT NULL))
-  WHERE length(trim(w[no + 1], ' ')) >= {linededup.MIN_CHARS}
+  WHERE length(trim(w[no + 1], ' ')) > 0
 ),
 d AS (SELECT line, min(place) AS first, length(line) AS n FROM l GROUP BY line),
 k AS (
   SELECT line, first, unnest([
     'p' || n || ' ' || substring(line, 1, n // 2), 's' || n || ' ' || right(line, n - n // 2),
     'p' || (n - 1) || ' ' || substring(line, 1, (n - 1) // 2), 's' || (n - 1) || ' ' || right(line, n - 1 - (n - 1) // 2)]) AS key
-  FROM d
+  FROM d WHERE n >= 20
 ),
 near AS (SELECT DISTINCT a.line FROM k a JOIN k b ON a.key = b.key AND b.first < a.first WHERE levenshtein(a.line, b.line) <= 1),
 gone AS (SELECT doc_id, no FROM l JOIN d USING (line) WHERE place > first OR line IN (SELECT line FROM near)),
