@@ -2,8 +2,9 @@
 
 P(word | history) = P(class | history) P(leaf | class, history) P(word | leaf). The class of the next word follows a softmax,
 and so does its leaf within the class, which is factored once more, a choice of two at each branch of the class's tree.
-Both have weights for hashed features of the words before: n-grams (the last one, two, three) and skips (the second last alone,
-the third last with the last), on top of the log-odds that word counts give without any history. The frequent words and
+Both have weights for hashed features of the words before, on top of the log-odds that word counts give without any history:
+classes for n-grams (the last word, the last two, three) and skips (the second last alone, the third last with the last), branches
+for `WITHIN` of these, the last word, the last two and the second last alone. The frequent words and
 the end of a text are classes of their own; other words share a class by their last two letters, and a leaf by their hash.
 Words of one leaf, a few or one, follow by their counts in training, with one added to each and one for all unknown words
 of the leaf, so that the probabilities of the known words and one unknown word per leaf sum to one.
@@ -50,6 +51,8 @@ WITHIN = 3
 RATE = 0.08
 #: Tokens in one update, and in one task's training at least, so that its tables are small beside its texts.
 UPDATE, TASK_TOKENS = 1 << 15, 3_000_000
+#: Tokens whose logits a processor's cache holds.
+NEAR = 1 << 12
 #: Numbers in a block of a table, and blocks that are merged at once.
 CELLS, FAN = 1 << 14, 64
 #: Words in the broadcast part of the vocabulary, and the length in bytes of the longest of them: at most some 5 MB.
@@ -242,12 +245,16 @@ class Weights:
 
     def class_logits(self, found: list[np.ndarray]) -> np.ndarray:
         """Of each class given the history, a row for each token of which `found` has the features; the greatest one 0, none below -40."""
-        logits = self.classes + np.take(self.to_class, (found[0] >> _U(64 - CLASS_BITS)).view(np.int64), axis=0)
-        for f in found[1:]:
-            logits += np.take(self.to_class, (f >> _U(64 - CLASS_BITS)).view(np.int64), axis=0)
-        logits -= logits.max(axis=1, keepdims=True)
-        # Numbers too small for single precision would slow all sums down.
-        return np.maximum(logits, np.float32(-40), out=logits)
+        out = np.empty((len(found[0]), CLASSES), np.float32)
+        for at in range(0, len(out), NEAR):
+            logits = out[at : at + NEAR]
+            logits[:] = self.classes
+            for f in found:
+                logits += np.take(self.to_class, _class_cell(f[at : at + NEAR]), axis=0)
+            logits -= logits.max(axis=1, keepdims=True)
+            # Numbers too small for single precision would slow all sums down.
+            np.maximum(logits, np.float32(-40), out=logits)
+        return out
 
     def branch_logits(self, found: list[np.ndarray], leaf: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
         """At each level of the way to each token's leaf: the log-odds of the way that is taken, and the cells of the weights."""
@@ -274,6 +281,10 @@ class Weights:
         return out
 
 
+def _class_cell(feature: np.ndarray) -> np.ndarray:
+    return (feature >> _U(64 - CLASS_BITS)).view(np.int64)
+
+
 def _classes(leaf: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
     """Where leaves are those of shared classes, and the class of each leaf."""
     shared = np.flatnonzero(leaf < _inside(levels))
@@ -295,9 +306,12 @@ class Trainer:
         off = np.exp(self.w.class_logits(found))
         off /= -off.sum(axis=1, keepdims=True)
         off[np.arange(len(leaf)), k] += 1
-        weights, k = off.astype(np.float64).ravel(), np.arange(CLASSES)
-        gradient = sum(np.bincount((((f >> _U(64 - CLASS_BITS)).view(np.int64) * CLASSES)[:, None] + k).ravel(), weights, minlength=CLASSES << CLASS_BITS) for f in found)
-        gradient = gradient.astype(np.float32).reshape(-1, CLASSES)
+        # A class at a time: its part of the table stays near.
+        cells = [_class_cell(f) for f in found]
+        gradient = np.empty((CLASSES, 1 << CLASS_BITS), np.float32)
+        for k, weights in enumerate(np.ascontiguousarray(off.T, np.float64)):
+            gradient[k] = sum(np.bincount(c, weights, minlength=1 << CLASS_BITS) for c in cells)
+        gradient = np.ascontiguousarray(gradient.T)
         self.seen_class += gradient**2
         self.w.to_class += RATE * gradient / np.sqrt(self.seen_class + np.float32(1e-6))
         found = [f[shared] for f in found[:WITHIN]]
