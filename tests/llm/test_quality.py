@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -65,3 +66,98 @@ def test_features_are_the_same_in_any_batch():
     raws = [d[1].encode() for d in docs] + [b"", b" ", "é…".encode()]
     alone = [Q.vectors([r])[0].tolist() for r in raws]
     assert [v.tolist() for v in Q.vectors(raws)] == alone
+
+
+M = (1 << 64) - 1
+
+
+def plain_mix(h):
+    h ^= h >> 32
+    h = h * 0xD6E8FEB86659FD93 & M
+    h ^= h >> 32
+    h = h * 0xD6E8FEB86659FD93 & M
+    return h ^ h >> 32
+
+
+def plain_features(text, bits=Q.BITS):
+    """A word at a time, by the definition."""
+    raw = (text or "").encode()
+    found, again, loud, last = set(), 0, 0, None
+    words = raw.split()
+    for word in words:
+        letters = marks = 0
+        marked = False
+        for i, c in enumerate(word):
+            low = c | 0x20 if 65 <= c <= 90 else c
+            if 97 <= low <= 122 or 48 <= low <= 57 or low >= 128:
+                letters += plain_mix(low << 32 ^ i)
+            else:
+                marks += plain_mix(low + 977)
+                marked = True
+        letters = plain_mix(letters & M)
+        found.add(letters >> 64 - bits)
+        if marked:
+            found.add(plain_mix(marks & M ^ 0xABCDEF) >> 64 - bits)
+        again += letters == last
+        last = letters
+        loud += sum(65 <= c <= 90 for c in word) > 1
+    for k, n in enumerate((again, loud)):
+        if words and 4 * n // len(words):
+            found.add(plain_mix(4 * n // len(words) + 1000 * (k + 1)) >> 64 - bits)
+    return found
+
+
+def sigmoid(x):
+    return 1 / (1 + math.exp(-x))
+
+
+def plain_fit(rows, grades, n_grades, epochs):
+    """The regression, a row and a weight at a time."""
+    used = sorted(f for f in set().union(*rows) if sum(f in r for r in rows) >= Q.LEAST_ROWS)
+    w = dict.fromkeys(used, 0.0)
+    share = [min(max(sum(g > k for g in grades) / len(rows), 0.01), 0.99) for k in range(n_grades - 1)]
+    t = sorted(math.log((1 - x) / x) for x in share)
+    weight = [1 / grades.count(g) for g in grades]
+    weight = [x / sum(weight) for x in weight]
+    names = [*used, *range(-1, -n_grades, -1)]
+    m, v = dict.fromkeys(names, 0.0), dict.fromkeys(names, 0.0)
+    for step in range(1, epochs + 1):
+        grad = dict.fromkeys(names, 0.0)
+        for row, g, share in zip(rows, grades, weight):
+            s = sum(w.get(f, 0.0) for f in row)
+            tail = [1.0, *(sigmoid(s - x) for x in t), 0.0]
+            chance = max(tail[g] - tail[g + 1], 1e-9)
+            slope = [x * (1 - x) for x in tail]
+            for f in row & w.keys():
+                grad[f] += (slope[g] - slope[g + 1]) / chance * share
+            if g > 0:
+                grad[-g] -= slope[g] / chance * share
+            if g < n_grades - 1:
+                grad[-g - 1] += slope[g + 1] / chance * share
+        for f in names:
+            m[f] = 0.9 * m[f] + 0.1 * grad[f]
+            v[f] = 0.99 * v[f] + 0.01 * grad[f] ** 2
+        scale = {f: math.sqrt(v[f] / (1 - 0.99**step)) + 1e-8 for f in names}
+        move = {f: Q.RATE * (m[f] / (1 - 0.9**step)) / scale[f] for f in names}
+        w = {f: min(w[f] + move[f] + Q.RATE * Q.LASSO / scale[f], 0.0) for f in used}
+        t = sorted(x + move[-k - 1] for k, x in enumerate(t))
+    return {f: x for f, x in w.items() if x}, t
+
+
+def test_model_and_scores_equal_brute_force(spark):
+    """Features, training and scores by plain Python."""
+    docs, labels = made(90)
+    texts = {d[0]: d[1] for d in docs} | {200: None, 201: "", 202: "É A!! a? A A A Vile", 203: "VILE, NASTY! VILE"}
+    grades = {i: 0 if toxic else 1 if not quality else 2 for i, quality, toxic, *_ in labels}
+    rows = [plain_features(texts[i]) for i in sorted(grades)]
+    assert [set(v.tolist()) for v in Q.vectors([(texts[i] or "").encode() for i in sorted(texts)])] == [plain_features(texts[i]) for i in sorted(texts)]
+    ordered = [grades[i] for i in sorted(grades)]
+    w, t = plain_fit(rows, ordered, 3, 25)
+    model = Q.fit_rows([np.array(sorted(r), np.int32) for r in rows], np.array(ordered), 3, epochs=25)
+    assert dict(zip(model.features.tolist(), model.weights.tolist())).keys() == w.keys()
+    assert all(abs(dict(zip(model.features.tolist(), model.weights.tolist()))[f] - x) < 1e-9 for f, x in w.items()) and np.allclose(model.thresholds, t)
+    frame = spark.createDataFrame([(i, x, "l", "s", 0, "g", "k", "x") for i, x in texts.items()], DOCS).repartition(3)
+    for r in Q.score(frame, model).collect():
+        s = sum(w.get(f, 0.0) for f in plain_features(texts[r.doc_id]))
+        p = [sigmoid(s - x) for x in t]
+        assert np.allclose(r.p_tail, p) and abs(r.grade - sum(p)) < 1e-9 and r.keep == (p[1] > 0.5)

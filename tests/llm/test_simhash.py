@@ -77,3 +77,38 @@ def test_components_of_a_long_path_and_a_hub(spark):
 
 def test_empty_table(spark):
     assert S.cluster(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_near_duplicates_of_the_given_documents_equal_an_exact_join(spark):
+    """All pairs of distinct sets of five-word shingles that are 0.8 similar, by an inverted index, and what is kept of their groups."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(tuple(S.shingle_set(t.encode()).tolist()), []).append(i)
+    named = list(sets)
+    where = {}
+    for n, s in enumerate(named):
+        for h in s:
+            where.setdefault(h, []).append(n)
+    shared = {}
+    for own in where.values():
+        for a in range(len(own)):
+            for b in range(a):
+                shared[own[b], own[a]] = shared.get((own[b], own[a]), 0) + 1
+    root = list(range(len(named)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    similar = [(a, b) for (a, b), n in shared.items() if n >= S.SIMILARITY * (len(named[a]) + len(named[b]) - n)]
+    for a, b in similar:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    least = {}
+    for n, s in enumerate(named):
+        k = find(n)
+        least[k] = min([least.get(k, 1 << 62), *sets[s]])
+    kept = [r.doc_id for r in S.similar_representatives(docs).collect()]
+    assert sorted(kept) == sorted(least.values()) and len(kept) < len(rows)
