@@ -74,3 +74,31 @@ def test_rare_planted_pairs_are_all_found_with_more_vectors_than_probes(spark, s
     a, b = np.nonzero(np.triu(y @ y.T >= E.COSINE, 1))
     assert len(a) >= 60
     assert got == {(int(i), int(i)) for i in a} | {(int(j), int(i)) for i, j in zip(a, b)}
+
+
+def test_recall_in_a_table_that_is_larger_than_the_sample(spark):
+    """20,000 vectors of four labels, more than codebooks are fitted on, with planted links of both kinds: within a label, and across, which don't count."""
+    rng = np.random.default_rng(12)
+    n, planted = 20_000, 500
+    assert n > E.SAMPLE
+    x = E.unit(rng.normal(size=(n - 2 * planted, 64)))
+    labels = rng.integers(4, size=len(x))
+    at = rng.choice(len(x), size=2 * planted, replace=False)
+    cos = rng.uniform(0.93, 0.97, size=(len(at), 1))
+    away = rng.normal(size=(len(at), 64))
+    away = E.unit(away - (away * x[at]).sum(1, keepdims=True) * x[at])
+    x = np.concatenate((x, cos * x[at] + np.sqrt(1 - cos**2) * away)).astype(np.float32)
+    labels = np.concatenate((labels, np.where(np.arange(len(at)) < planted, labels[at], (labels[at] + 1) % 4)))
+    frame = spark.createDataFrame([(i, v.tolist(), int(l), "a", "b", "c", "d") for i, (v, l) in enumerate(zip(x, labels))], SCHEMA).repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.link(frame).collect() if r.n_links}
+    y = E.unit(x.astype(np.float64))
+    want = {}
+    for a in range(0, n, 2000):
+        i, j = np.nonzero((y[a : a + 2000] @ y.T >= E.COSINE) & (labels[a : a + 2000, None] == labels))
+        for p, q in zip((i + a).tolist(), j.tolist()):
+            if p != q:
+                want.setdefault(p, set()).add(q)
+    assert len(want) >= 2 * planted * 0.9
+    found = sum(got.get(p, (0, 0))[0] for p in want)
+    assert found >= 0.99 * sum(map(len, want.values())) and got.keys() <= want.keys()
+    assert all(got[p][0] <= len(q) for p, q in want.items() if p in got)
