@@ -112,3 +112,17 @@ def test_near_duplicates_of_the_given_documents_equal_an_exact_join(spark):
         least[k] = min([least.get(k, 1 << 62), *sets[s]])
     kept = [r.doc_id for r in S.similar_representatives(docs).collect()]
     assert sorted(kept) == sorted(least.values()) and len(kept) < len(rows)
+
+
+def test_parities_differ_in_no_more_places_than_sets_do():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 200, 3000):
+        a = rng.integers(0, 1 << 63, size=n, dtype=np.uint64) * np.uint64(2)
+        for gone, more in ((0, 0), (n // 10, n // 10), (n, 7)):
+            b = np.concatenate((a[gone:], rng.integers(0, 1 << 63, size=more, dtype=np.uint64)))
+            x, y = (S.parity(np.unique(v)).view(np.uint64) for v in (a, b))
+            differ = sum(int(v).bit_count() for v in x ^ y)
+            apart = len(set(a.tolist()) ^ set(b.tolist()))
+            assert differ <= apart
+            if apart < 40:
+                assert differ >= apart - 8

@@ -255,6 +255,25 @@ def sketch(least: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(nibbles.reshape(4, 16) << (np.uint64(4) * np.arange(16, dtype=np.uint64)), axis=1)
 
 
+#: Bits of a set's parity, sixteen words.
+PARITY = 1024
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """For each of PARITY bits, whether an odd number of a set's hashes have it. What two sets share changes the bits of both
+    alike, so their bits differ in no more places than the sets have hashes that the other one lacks."""
+    odd = np.bincount((hashes >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _few_differ(a: str, b: str, size: Column, other: Column, similarity: float) -> Column:
+    """Whether the parities of two sets leave it open that they are similar; never passes over a pair that is."""
+    differ = F.lit(0)
+    for i in range(PARITY // 64):
+        differ = differ + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
+    return differ <= (1 - similarity) / (1 + similarity) * (size + other) + 1e-6
+
+
 def _may_be_similar(a: str, b: str, similarity: float) -> Column:
     """Whether two sets may be similar, from their sizes (exactly) and their sketches.
 
@@ -274,17 +293,17 @@ def _may_be_similar(a: str, b: str, similarity: float) -> Column:
 
 
 def _sets(asked: DataFrame, of: DataFrame, docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """`set` and its `shingles` for the sets of `asked` alone, made again of one text of each."""
+    """`set`, its `shingles` and their `parity` for the sets of `asked` alone, made again of one text of each."""
     first = of.join(asked.select(F.bitwise_not("set").alias("k")), F.bitwise_not("set") == F.col("k"), "left_semi").groupBy("set").agg(F.min(F.struct("id", "same")).alias("first"))
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("id"), _same(text).alias("same"), F.col(text).alias("text"))
     rows = rows.join(first.select("set", "first.id", "first.same"), ["id", "same"]).select("set", "text").dropDuplicates(["set"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
-            found = [shingle_set(t, size).view(np.int64) for t in common.texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array(found, pa.list_(pa.int64()))], ["set", "shingles"])
+            found = [shingle_set(t, size) for t in common.texts(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())), pa.array([parity(x) for x in found], pa.list_(pa.int64()))], ["set", "shingles", "parity"])
 
-    return common.stash(rows.mapInArrow(sets, "set bigint, shingles array<bigint>"))
+    return common.stash(rows.mapInArrow(sets, "set bigint, shingles array<bigint>, parity array<bigint>"))
 
 
 def _similar(pairs: DataFrame, made: DataFrame, similarity: float) -> DataFrame:
@@ -309,24 +328,27 @@ def _prefix_pairs(made: DataFrame, named: DataFrame, similarity: float) -> DataF
 
     Shingles are put in order, the rarest of these sets first. If the first one that a pair shares stands at i in one set
     and at j in the other, they share at most min(size - i, size - j): so a similar pair meets in an early one, and what
-    many sets have in common stands late. No similar pair is missed here but for the sketches.
+    many sets have in common stands late. Pairs whose parities differ too much are never made. No similar pair is missed here
+    but for the sketches.
     """
+    named = named.join(made.select(F.bitwise_not("set").alias("k"), "parity"), F.bitwise_not("set") == F.col("k")).drop("k")
     shingle = made.select("set", F.size("shingles").alias("size"), F.explode("shingles").alias("h"))
     often = shingle.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("h").alias("k"), "n")
     ranked = shingle.join(often, F.bitwise_not("h") == F.col("k")).groupBy("set").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "h"))).alias("shared"))
     # Those that no other set has come first, without being met.
     left = ranked.select("set", "size", F.size("shared").alias("left"), F.posexplode("shared").alias("i", "e")).select("set", "size", "e.h", (F.col("left") - F.col("i")).alias("left"))
     early = left.where(F.col("left") >= similarity * F.col("size") - 1e-6)
-    early = common.stash(early.join(named.select(F.bitwise_not("set").alias("k"), "root", "about"), F.bitwise_not("set") == F.col("k")).drop("k"))
+    early = common.stash(early.join(named.select(F.bitwise_not("set").alias("k"), "root", "about", "parity"), F.bitwise_not("set") == F.col("k")).drop("k"))
     part = similarity / (1 + similarity)
-    small = early.where(F.col("left") >= 2 * part * F.col("size") - 1e-6).select(F.bitwise_not("h").alias("k"), *(F.col(c).alias(f"{c}_b") for c in ("set", "size", "left", "root", "about")))
+    small = early.where(F.col("left") >= 2 * part * F.col("size") - 1e-6).select(F.bitwise_not("h").alias("k"), *(F.col(c).alias(f"{c}_b") for c in ("set", "size", "left", "root", "about", "parity")))
     met = early.join(
         small,
         (F.bitwise_not("h") == F.col("k"))
         & (F.struct("size_b", "set_b") < F.struct("size", "set"))
         & (F.col("root") != F.col("root_b"))
         & (F.least("left", "left_b") >= part * (F.col("size") + F.col("size_b")) - 1e-6)
-        & _may_be_similar("about", "about_b", similarity),
+        & _may_be_similar("about", "about_b", similarity)
+        & _few_differ("parity", "parity_b", F.col("size"), F.col("size_b"), similarity),
     )
     return met.select(F.col("set").alias("a"), F.col("set_b").alias("b")).distinct()
 
