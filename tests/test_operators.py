@@ -209,3 +209,17 @@ def test_micro_units_and_tops(spark):
 def test_path_metadata(spark, path, want):
     r = spark.createDataFrame([(path,)], "p string").select(*(c.alias(n) for n, c in path_metadata(F.col("p")).items())).first()
     assert (r.category, r.subject, r.time, r.scenario) == want
+
+
+def test_corrected_p_values_leave_columns_of_any_name(spark):
+    rows = [("x", 0.01, 1, 2, 3, 4), ("x", 0.04, 5, 6, 7, 8), ("y", 0.5, 9, 10, 11, 12)]
+    df = spark.createDataFrame(rows, "by0 string, p double, whole int, n int, low int, __p int")
+    out = stats.benjamini_hochberg(df, by=["by0"])
+    assert out.columns == [*df.columns, "p_fdr"]
+    assert sorted(map(tuple, out.collect())) == [(*rows[0], 0.02), (*rows[1], 0.04), (*rows[2], None)]
+
+
+def test_deltas_join_tasks_of_whole_keys_only(spark):
+    rows = [("f", "C3", "A", "c", "s", "t1", 3.0), ("f", "C3", "A", "c", "s", "t2", 1.0), ("f", "C4", "A", "c", "s", "t1", None), ("f", "C4", "A", "c", "s", "t2", 1.0), ("f", None, "A", "c", "s", "t1", 3.0), ("f", None, "A", "c", "s", "t2", 3.0), ("g", "C3", "A", "c", "s", "t1", 3.0)]
+    df = spark.createDataFrame(rows, "filename string, channel string, subband string, category string, subject string, task string, mav double")
+    assert sorted((r.filename, r.channel, r.mav_a, r.mav_b, r.delta_mav) for r in delta.task_delta(df, "t1", "t2").collect()) == [("f", "C3", 3.0, 1.0, 2.0), ("f", "C4", None, 1.0, None)]

@@ -26,9 +26,11 @@ def task_delta(features: DataFrame, a: str, b: str, names: list[str] | None = No
     delta_{f}, where both tasks have a row."""
     names = names or feature_columns(features)
     keys = [k for k in KEYS if k in features.columns or k not in ("category", "subject")]
-    side = lambda task, tag: features.where(F.col("task") == task).select(*keys, *(F.col(f).alias(f"{f}_{tag}") for f in names))
-    joined = side(a, "a").join(side(b, "b"), keys)
-    return joined.withColumns({f"delta_{f}": F.col(f"{f}_a") - F.col(f"{f}_b") for f in names})
+    # Both tasks' rows of a key meet in one aggregation, so features are made once; a key with a null is none.
+    side = lambda task, tag: F.max(F.when(F.col("task") == task, F.struct(*names))).alias(tag)
+    both = features.where(F.col("task").isin(a, b)).dropna(subset=keys).groupBy(*keys).agg(side(a, "of_a"), side(b, "of_b")).where("of_a is not null and of_b is not null")
+    out = both.select(*keys, *(F.col(f"of_{tag}.{f}").alias(f"{f}_{tag}") for tag in "ab" for f in names))
+    return out.withColumns({f"delta_{f}": F.col(f"{f}_a") - F.col(f"{f}_b") for f in names})
 
 
 def named_after_tasks(delta: DataFrame, a: str, b: str) -> DataFrame:

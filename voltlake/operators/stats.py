@@ -41,17 +41,17 @@ def compare_rows(features: DataFrame, active: str, baseline: str = "Resting", na
     baseline (delta); z-scored over the active task's rows (zscore); or z-scored over both tasks' rows, then less (both)."""
     names = names or FEATURES
     keys = ["category", "subject", "channel", "subband"]
-
-    def means(rows: DataFrame, task: str) -> DataFrame:
-        return long(rows.where(F.col("task") == task), keys, names).groupBy(*keys, "feature").agg(F.avg("value").alias("value"))
-
     if mode == "zscore":
-        return means(normalize(features.where(F.col("task") == active), names), active)
-    rows = normalize(features.where(F.col("task").isin(active, baseline)), names) if mode == "both" else features
+        rows = normalize(features.where(F.col("task") == active), names)
+        return long(rows, keys, names).groupBy(*keys, "feature").agg(F.avg("value").alias("value"))
     if mode not in ("delta", "both"):
         raise ValueError(f"no mode {mode}")
-    base = means(rows, baseline).withColumnRenamed("value", "base")
-    return means(rows, active).join(base, [*keys, "feature"]).select(*keys, "feature", (F.col("value") - F.col("base")).alias("value"))
+    rows = features.where(F.col("task").isin(active, baseline))
+    rows = long(normalize(rows, names) if mode == "both" else rows, [*keys, "task"], names).dropna(subset=keys)
+    # Both tasks' rows meet in one aggregation, so features are made once.
+    of = lambda task, c: F.when(F.col("task") == task, c)
+    both = rows.groupBy(*keys, "feature").agg(F.avg(of(active, F.col("value"))).alias("own"), F.avg(of(baseline, F.col("value"))).alias("base"), F.count(of(active, F.lit(1))).alias("n"), F.count(of(baseline, F.lit(1))).alias("m"))
+    return both.where("n > 0 and m > 0").select(*keys, "feature", (F.col("own") - F.col("base")).alias("value"))
 
 
 def rank_sums(rows: DataFrame, groups: list[str] | None = None) -> DataFrame:
@@ -118,18 +118,20 @@ def with_pvalues(statistics: DataFrame, groups: list[str] | None = None) -> Data
 def benjamini_hochberg(rows: DataFrame, p: str = "p", by: list[str] | None = None, out: str = "p_fdr") -> DataFrame:
     """Of p-values that are there, within each group of `by`: the least of p n / rank from the largest down, at most 1. A group of
     fewer than two has none."""
-    by = by or []
-    given = F.when(F.isnan(p), None).otherwise(F.col(p))
-    rows = rows.withColumn("__p", given)
-    own = [*by, F.col("__p").isNotNull()]
-    n = F.count("__p").over(Window.partitionBy(*own))
-    rank = F.row_number().over(Window.partitionBy(*own).orderBy("__p"))
-    rows = rows.withColumn("__scaled", F.col("__p") * n / rank).withColumn("__n", n)
-    down = Window.partitionBy(*own).orderBy(F.desc("__p"), F.desc("__scaled")).rowsBetween(Window.unboundedPreceding, 0)
+    by, names = by or [], [c for c in rows.columns if c != out]
+    given, whole = F.when(F.isnan(p), None).otherwise(F.col(p)), F.struct(*names)
+    # What a row has besides goes along as one column, so that no name of its own is in the way.
+    rows = rows.select(*by, whole.alias("whole"), given.alias("p")).toDF(*(f"by{i}" for i in range(len(by))), "whole", "p")
+    own = [*(f"by{i}" for i in range(len(by))), F.col("p").isNotNull()]
+    n = F.count("p").over(Window.partitionBy(*own))
+    rank = F.row_number().over(Window.partitionBy(*own).orderBy("p"))
+    rows = rows.withColumn("scaled", F.col("p") * n / rank).withColumn("n", n)
+    down = Window.partitionBy(*own).orderBy(F.desc("p"), F.desc("scaled")).rowsBetween(Window.unboundedPreceding, 0)
     # Among equal values the last rank counts: its scaled value is the least.
-    least = F.min("__scaled").over(down)
-    same = F.min("__low").over(Window.partitionBy(*own, "__p"))
-    return rows.withColumn("__low", least).withColumn(out, F.when((F.col("__n") >= 2) & F.col("__p").isNotNull(), F.least(same, F.lit(1.0)))).drop("__p", "__scaled", "__n", "__low")
+    rows = rows.withColumn("low", F.min("scaled").over(down))
+    same = F.min("low").over(Window.partitionBy(*own, "p"))
+    corrected = F.when((F.col("n") >= 2) & F.col("p").isNotNull(), F.least(same, F.lit(1.0)))
+    return rows.withColumn("fdr", corrected).select("whole.*", F.col("fdr").alias(out))
 
 
 def wide(statistics: DataFrame, columns: list[str], features: list[str] | None = None) -> DataFrame:
