@@ -224,6 +224,21 @@ _RX = f"r AS (SELECT {_R} FROM rs), keys AS (SELECT DISTINCT id, filename, chann
 _long = lambda df: df.select("filename", "channel", (F.col("start") + F.col("i")).alias("i"), "x")
 _samples = lambda df, *more: _long(df.select("filename", "channel", "start", *more, F.posexplode("samples").alias("i", "x")))
 _chunks = lambda s, d: recordings.signals(b.chunks(s, d))
+def _info(spark: SparkSession, d: str) -> DataFrame:
+    own = b.chunks(spark, d)
+    rows = recordings.info(recordings.headers_with_channels(own), recordings.annotations(own))
+    return rows.select("filename", F.array_join("channels", ",").alias("names"), "n_channels", "sfreq", "duration_s", F.size("annotations").alias("n_annotations"), F.try_element_at("annotations", F.lit(-1))["onset"].alias("last_onset"))
+
+
+add_signal(
+    "recording_info",
+    _info,
+    [_EV, _NOTES],
+    "SELECT filename, string_agg(DISTINCT channel, ',' ORDER BY channel) AS names, CAST(count(DISTINCT channel) AS INTEGER) AS n_channels, CAST(128 AS DOUBLE) AS sfreq, max(i) / 128.0 AS duration_s, CAST(coalesce(any_value(k), 0) AS INTEGER) AS n_annotations, any_value(last_onset) AS last_onset FROM rs LEFT JOIN (SELECT filename, count(*) AS k, arg_max(onset, annot_idx) AS last_onset FROM ra GROUP BY filename) USING (filename) GROUP BY filename",
+    "sfreq duration_s last_onset",
+    "filename names n_channels n_annotations",
+    6,
+)
 add_signal("long_samples", lambda s, d: recordings.samples(_chunks(s, d)), [_EV], "SELECT filename, i AS sample_idx, i / 128.0 AS time, channel, x AS value FROM rs", "time value", "filename sample_idx channel", 6)
 add_signal("marked_samples", lambda s, d: sinks.marked_samples_wide(_marked(s, d), ["C3", "C4"]).withColumnsRenamed({"C3": "c3", "C4": "c4"}), [_EV, _NOTES], "SELECT filename, i AS sample_idx, i / 128.0 AS time, max(x) FILTER (channel = 'C3') AS c3, max(x) FILTER (channel = 'C4') AS c4, any_value(task) AS marker FROM rs JOIN mk USING (filename, i) GROUP BY filename, i", "time c3 c4", "filename sample_idx marker", 6)
 add_signal("chunked_bandpass", lambda s, d: _samples(chunked.fir_bandpass(_chunks(s, d), 1.0, 40.0)), [_EV, _RX, *_bandpass("x", "y", 1.0, 40.0)], "SELECT filename, channel, i, x FROM y JOIN keys USING (id)", "x", "filename channel i")

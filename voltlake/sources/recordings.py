@@ -343,6 +343,13 @@ def headers(chunks: DataFrame) -> DataFrame:
     return chunks.where("channel is null and error is null and chunk = 0").select("filename", "sfreq", "n_samples")
 
 
+def headers_with_channels(chunks: DataFrame) -> DataFrame:
+    """What content `headers` says, of recordings in chunks; channels by name."""
+    own = chunks.where("channel is not null and chunk = 0").groupBy("filename").agg(F.array_sort(F.collect_set("channel")).alias("channels"))
+    empty = F.array().cast("array<string>")
+    return headers(chunks).join(own, "filename", "left").select("filename", "sfreq", "n_samples", F.coalesce("channels", empty).alias("channels"), F.lit(None).cast("string").alias("error"))
+
+
 def info(headers: DataFrame, annotations: DataFrame | None = None) -> DataFrame:
     """Of content `headers`: channels, their number, rate, and the time of the last sample, (n - 1) / rate; with annotations, also them."""
     out = headers.where("error is null").select("filename", "channels", F.size("channels").alias("n_channels"), "sfreq", ((F.col("n_samples") - 1) / F.col("sfreq")).alias("duration_s"))
