@@ -139,7 +139,25 @@ def test_texts_around_one_passage_meet_only_in_what_is_rare(spark, folder):
 
     hashed = {d: simhash.shingle_set(t.encode()) for d, t in rows}
     about = {d: {"size": len(h), "sketch": simhash.sketch(simhash.least_hashes(h)).view("<i8").tolist()} for d, h in hashed.items()}
-    made = spark.createDataFrame([(d, h.view("<i8").tolist()) for d, h in hashed.items()], "set bigint, shingles array<bigint>")
+    made = spark.createDataFrame([(d, h.view("<i8").tolist(), simhash.parity(h).tolist()) for d, h in hashed.items()], "set bigint, shingles array<bigint>, parity array<bigint>")
     named = spark.createDataFrame([(d, d, about[d]) for d in hashed], "set bigint, root bigint, about struct<size:int,sketch:array<bigint>>")
     pairs = {tuple(sorted((r.a, r.b))) for r in simhash._prefix_pairs(made, named, 0.8).collect()}
     assert set(near) <= pairs and len(pairs) < 2 * len(near) + 10
+
+
+def test_empty_documents_null_keys_and_other_columns_pass_through_all_stages(spark, folder):
+    """Each stage, one after the other, on rows without a key or a text and with columns of other names; and on no rows at all."""
+    names = ["gone", "__gone", "_total", "set", "parity", "key", "word"]
+    text = "some words of a plain document that nobody else has written so far, and so it stays"
+    rows = [(None, text), (None, "another document without a key, whose words are its own as well"), (901, None), (902, ""), (903, "a third one, with a key and with words enough to be kept by all of them")]
+    schema = SCHEMA + ", " + ", ".join(f"{n} string" for n in names)
+    frame = spark.createDataFrame([(d, t, "en", "s", len(t or ""), *names) for d, t in rows], schema)
+    docs, none = frame, frame.where("false")
+    for name, stage in P.STAGES[:-1]:
+        docs, none = common.stash(stage(spark, docs, folder)), common.stash(stage(spark, none, folder))
+        assert docs.columns == frame.columns and none.collect() == [], name
+        assert all(tuple(r)[5:] == tuple(names) for r in docs.collect())
+    kept = docs.collect()
+    assert {r.text for r in kept} >= {text, rows[1][1], rows[4][1]}
+    last = P.STAGES[-1][1]
+    assert last(spark, none, folder).collect() == [] and last(spark, docs, folder).count() == len(kept)
