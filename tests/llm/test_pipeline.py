@@ -161,3 +161,27 @@ def test_empty_documents_null_keys_and_other_columns_pass_through_all_stages(spa
     assert {r.text for r in kept} >= {text, rows[1][1], rows[4][1]}
     last = P.STAGES[-1][1]
     assert last(spark, none, folder).collect() == [] and last(spark, docs, folder).count() == len(kept)
+
+
+def test_simhash_stage_links_by_fingerprints(spark, folder, monkeypatch):
+    """Texts whose fingerprints are near are found by the trees, without any bucket, and only if their sets are similar."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows = []
+    for i in range(25):
+        a = [word() for _ in range(600)]
+        for k in range(4):
+            b = list(a)
+            if k:
+                b[rng.randrange(600)] = word()
+            rows.append((4 * i + k, " ".join(b)))
+    rows += [(200 + i, word()) for i in range(40)] + [(300, ""), (301, None)]
+    sets = {d: simhash.shingle_set((t or "").encode()) for d, t in rows}
+    fps = {d: int(simhash.majority(x, simhash.np.array([len(x)]))[0]) for d, x in sets.items()}
+    near = [(a, b) for a, b in similar({d: shingles(t) for d, t in rows}) if (fps[a] ^ fps[b]).bit_count() <= simhash.RADIUS]
+    assert len(near) > 40
+    roots = test_simhash.groups(near, list(sets))
+    # No set has a signature, so none has a bucket.
+    monkeypatch.setattr(simhash, "signatures", lambda least: simhash.np.zeros(0, simhash.np.uint64))
+    frame = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], SCHEMA).repartition(3)
+    assert {r.doc_id for r in P.simhash_stage(spark, frame, folder).collect()} == {d for d in sets if roots[d] == d}

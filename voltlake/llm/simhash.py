@@ -14,16 +14,18 @@ most three bits agree in two blocks at least, so every link is found in some sha
 built in the task that holds it. Copies are one fingerprint before anything is dealt out. A shard of over
 `SHARD` fingerprints is split into blocks, and each pair of blocks is a tree.
 
-`similar_representatives` links texts by the Jaccard similarity of their shingles instead. `BANDS` hashed signatures of
-each set, of `ROWS` least hashes each, name buckets: a pair at the limit of 0.8 shares none with a chance of 6e-7. Each
-bucket's members are first held against its least one. Sets of buckets that aren't one component then meet in their rarest
+`similar_representatives` links texts by the Jaccard similarity of their shingles. Their fingerprints are linked first, by the
+same trees; each pair that a tree finds is verified on the sets themselves. Texts of similarity 0.8 lie some ten bits apart, which
+no radius reaches that divides strangers, so there is an exact way for the rest: `BANDS` hashed signatures of
+each set, of `ROWS` least hashes each, name buckets; a pair at the limit of 0.8 shares none with a chance of 6e-7. A
+bucket's members are held against its least one if fingerprints haven't joined them. Sets of buckets that aren't one component then meet in their rarest
 shingles, so that a large group of texts that are alike but not similar makes few pairs; every pair is verified on the sets
 themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -123,9 +125,9 @@ class BKTree:
         return new
 
 
-def tree_edges(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links of one shard, as an edge from each value to the root of its group there: links of the group are all implied."""
-    tree, root = BKTree(), []
+def _forest(values: list[int], radius: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Of one shard: pairs of places within the radius, as many as hold each group together, and each place's root."""
+    tree, root, pairs = BKTree(), [], []
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -134,12 +136,23 @@ def tree_edges(values: list[int], radius: int) -> list[tuple[int, int]]:
         return i
 
     for x in values:
-        near = {top(i) for i in tree.near(x, radius)}
+        near = {top(i): i for i in tree.near(x, radius)}
         root.append(tree.add(x))
-        for r in near:
+        for r, i in near.items():
+            pairs.append((i, len(root) - 1))
             a, b = sorted((top(r), top(root[-1])))
             root[b] = a
-    return [(values[i], values[top(i)]) for i in range(len(values)) if top(i) != i]
+    return pairs, [top(i) for i in range(len(values))]
+
+
+def tree_edges(values: list[int], radius: int) -> list[tuple[int, int]]:
+    """Links of one shard, as an edge from each value to the root of its group there: links of the group are all implied."""
+    return [(values[i], values[r]) for i, r in enumerate(_forest(values, radius)[1]) if r != i]
+
+
+def tree_pairs(values: list[int], radius: int) -> list[tuple[int, int]]:
+    """The same links as pairs that the tree has found within the radius, to be verified one by one."""
+    return [(values[i], values[j]) for i, j in _forest(values, radius)[0]]
 
 
 def _shards() -> Column:
@@ -148,7 +161,7 @@ def _shards() -> Column:
     return F.array(*(F.lit(i << 26).cast("long").bitwiseOR(F.shiftleft(bits(*x), 13).bitwiseOR(bits(*y))) for i, (x, y) in enumerate(combinations(BLOCKS, 2))))
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, of_tree: Callable[[list[int], int], list[tuple[int, int]]] = tree_edges) -> DataFrame:
     """Edges `a`, `b` between distinct fingerprints (`fp`) within `radius` bits, as many as make the same components."""
     if not 0 <= radius <= 3:
         raise ValueError("two of five blocks agree only up to three differing bits")
@@ -168,7 +181,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def edges(shard: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             at = np.concatenate(([0], np.flatnonzero(np.any(shard[1:] != shard[:-1], axis=1)) + 1, [len(fp)]))
-            found = [e for i in np.flatnonzero(np.diff(at) > 1) for e in tree_edges(fp[at[i] : at[i + 1]].view(np.uint64).tolist(), radius)]
+            found = [e for i in np.flatnonzero(np.diff(at) > 1) for e in of_tree(fp[at[i] : at[i + 1]].view(np.uint64).tolist(), radius)]
             ends = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
@@ -353,6 +366,18 @@ def _prefix_pairs(made: DataFrame, named: DataFrame, similarity: float) -> DataF
     return met.select(F.col("set").alias("a"), F.col("set_b").alias("b")).distinct()
 
 
+def _fingerprint_pairs(classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs `a`, `b` of sets (`set`, `fp`, `about`) that SimHash proposes: a fingerprint's sets with its least one, and the least
+    sets of fingerprints that the trees find within RADIUS bits. They may be similar; the sets decide."""
+    least = classes.groupBy("fp").agg(F.min(F.struct("set", "about")).alias("b"))
+    least = common.stash(least.select(F.bitwise_not("fp").alias("k"), F.col("b.set").alias("one"), F.col("b.about").alias("about_one")))
+    side = lambda c: least.select(F.col("k").alias(f"k_{c}"), F.col("one").alias(c), F.col("about_one").alias(f"about_{c}"))
+    equal = classes.join(side("b"), F.bitwise_not("fp") == F.col("k_b")).select(F.col("set").alias("a"), F.col("about").alias("about_a"), "b", "about_b")
+    near = links(least.select(F.bitwise_not("k").alias("fp")), RADIUS, tree_pairs).distinct().withColumnsRenamed({"a": "x", "b": "y"})
+    near = near.join(side("a"), F.bitwise_not("x") == F.col("k_a")).join(side("b"), F.bitwise_not("y") == F.col("k_b")).select("a", "about_a", "b", "about_b")
+    return equal.union(near).where("a <> b").where(_may_be_similar("about_a", "about_b", similarity)).select("a", "b")
+
+
 def similar_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SET_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each component of texts of which the shingles have at least this Jaccard similarity, as `representatives` does."""
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("id"), _same(text).alias("same"), F.col(text).alias("text"))
@@ -364,22 +389,26 @@ def similar_representatives(docs: DataFrame, key: str = "doc_id", text: str = "t
             least = [least_hashes(x) if len(x) else None for x in found]
             bands = [[] if x is None else signatures(x).view(np.int64) for x in least]
             about = [{"size": len(x), "sketch": [] if y is None else sketch(y).view(np.int64).tolist()} for x, y in zip(found, least, strict=True)]
+            fp = majority(np.concatenate([*found, np.zeros(0, np.uint64)]), np.array([len(x) for x in found], np.int64)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("same"), pa.array(names), pa.array(bands, pa.list_(pa.int64())), pa.array(about, pa.struct([("size", pa.int32()), ("sketch", pa.list_(pa.int64()))]))],
-                ["id", "same", "set", "bands", "about"],
+                [batch.column("id"), batch.column("same"), pa.array(names), pa.array(fp), pa.array(bands, pa.list_(pa.int64())), pa.array(about, pa.struct([("size", pa.int32()), ("sketch", pa.list_(pa.int64()))]))],
+                ["id", "same", "set", "fp", "bands", "about"],
             )
 
-    of = common.stash(rows.mapInArrow(run, "id bigint, same bigint, set bigint, bands array<bigint>, about struct<size:int,sketch:array<bigint>>"))
-    classes = of.groupBy("set").agg(F.min(F.struct("id", "same")).alias("first"), F.first("bands").alias("bands"), F.first("about").alias("about"))
-    member = classes.select("set", "about", F.explode("bands").alias("band"))
-    least = member.groupBy("band").agg(F.min(F.struct("set", "about")).alias("b"), F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("band").alias("k"), "b")
-    met = common.stash(member.join(least, F.bitwise_not("band") == F.col("k")).select("band", F.col("set").alias("a"), "about", F.col("b.set").alias("b"), F.col("b.about").alias("about_b")))
-    first = met.where("a <> b").where(_may_be_similar("about", "about_b", similarity))
-    first = common.stash(first.select("a", "b").distinct())
-    edges = _similar(first, _sets(first.select(F.explode(F.array("a", "b")).alias("set")).distinct(), of, docs, key, text, size), similarity)
+    of = common.stash(rows.mapInArrow(run, "id bigint, same bigint, set bigint, fp bigint, bands array<bigint>, about struct<size:int,sketch:array<bigint>>"))
+    verified = lambda pairs: _similar(pairs, _sets(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), of, docs, key, text, size), similarity)
+    classes = of.groupBy("set").agg(F.min(F.struct("id", "same")).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("about").alias("about"))
+    edges = verified(common.stash(_fingerprint_pairs(classes.select("set", "fp", "about"), similarity)))
+    # What fingerprints don't hold together: sets of another component than the least one of a bucket.
+    roots = components(edges).select(F.bitwise_not("node").alias("k"), "root")
+    member = classes.join(roots, F.bitwise_not("set") == F.col("k"), "left").select("set", "about", F.coalesce("root", "set").alias("root"), F.explode("bands").alias("band"))
+    least = member.groupBy("band").agg(F.min(F.struct("set", "about", "root")).alias("b"), F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("band").alias("k"), "b")
+    met = common.stash(member.join(least, F.bitwise_not("band") == F.col("k")).select("band", F.col("set").alias("a"), "about", "root", F.col("b.set").alias("b"), F.col("b.about").alias("about_b"), F.col("b.root").alias("root_b")))
+    first = met.where("root <> root_b").where(_may_be_similar("about", "about_b", similarity))
+    edges = edges.union(verified(common.stash(first.select("a", "b").distinct())))
     # What the least ones don't hold together: sets that share a bucket with one of another component, the least ones left out.
     roots = common.stash(components(edges))
-    apart = met.where("a <> b").join(roots.select(F.bitwise_not("node").alias("k"), "root"), F.bitwise_not("a") == F.col("k"), "left").select("band", F.col("a").alias("set"), "about", F.coalesce("root", "a").alias("root"))
+    apart = met.where("a <> b").drop("root").join(roots.select(F.bitwise_not("node").alias("k"), "root"), F.bitwise_not("a") == F.col("k"), "left").select("band", F.col("a").alias("set"), "about", F.coalesce("root", "a").alias("root"))
     open_ = apart.groupBy("band").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select(F.bitwise_not("band").alias("k"))
     apart = apart.join(open_, F.bitwise_not("band") == F.col("k"), "left_semi").groupBy("set").agg(F.first("root").alias("root"), F.first("about").alias("about"))
     apart = common.stash(apart)
