@@ -144,7 +144,8 @@ def fir_zero_phase(h: np.ndarray, x: np.ndarray) -> np.ndarray:
     y = np.pad(np.concatenate((left, x, right), axis=-1), more)
     size = 1 << (y.shape[-1] + len(h)).bit_length()
     out = np.fft.irfft(np.fft.rfft(y, size) * np.fft.rfft(h, size), size)
-    return out[..., 2 * half : 2 * half + x.shape[-1]]
+    # A view would keep the whole transform.
+    return out[..., 2 * half : 2 * half + x.shape[-1]].copy()
 
 
 def fir_bandpass_taps(sfreq: float, low: float, high: float) -> np.ndarray:

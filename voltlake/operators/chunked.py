@@ -22,24 +22,14 @@ from pyspark.sql import functions as F
 
 from voltlake.config import AMPLITUDE_UV, SUBBANDS
 from voltlake.functions import kernels
+from voltlake.operators.batches import arrays as _arrays
+from voltlake.operators.batches import lists as _lists
 
 Taps = Callable[[float], np.ndarray]
 _CHUNK = "filename string, sfreq double, n_samples bigint, channel string, chunk bigint, start bigint, samples array<double>"
 _CHUNK_COLUMNS = [c.split()[0] for c in _CHUNK.split(", ")]
 
 
-def _arrays(column: pa.Array) -> list[np.ndarray]:
-    """Rows of a list column as views of its values."""
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    ends = np.cumsum(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
-    return [values[a:b] for a, b in zip(np.concatenate(([0], ends[:-1])), ends, strict=True)]
-
-
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    ends = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0)]).astype(np.float64)))
-
-
 def overlap_save(window: np.ndarray, begin: int, start: int, length: int, n: int, h: np.ndarray) -> np.ndarray:
     """Output samples [start, start + length) of a symmetric filter over a signal of n samples, of which `window` has those
     from `begin` on that are within half a filter of them. Ends are extended as `kernels.fir_zero_phase` does."""
