@@ -37,3 +37,7 @@ def test_nulls_and_what_a_kernel_cannot_take_pass_through_in_slices(spark, monke
 
 def test_psd_treatments_read_signals_once_by_one_worker_a_task(spark):
     assert python_steps(QUERIES["psd_treatments"](spark, SF_DIR)) == 1
+
+
+def test_long_features_filter_once_and_measure_once(spark):
+    assert python_steps(QUERIES["notebook_long_features"](spark, SF_DIR)) == 2

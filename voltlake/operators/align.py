@@ -243,15 +243,16 @@ def segments(marked: DataFrame, by_occurrence: bool = True) -> DataFrame:
     return out.select("filename", "task", F.row_number().over(order).alias("occurrence"), "channel", "samples")
 
 
-def sliced_segments(signals: DataFrame, annotations: DataFrame) -> DataFrame:
+def sliced_segments(signals: DataFrame, annotations: DataFrame, *more: str) -> DataFrame:
     """filename, task, channel, samples: pieces [int(onset * rate), int((onset + duration) * rate)) of each annotation with a
-    duration, one after the other (what overlaps counts twice); a recording without any is one task, full_recording."""
+    duration, one after the other (what overlaps counts twice); a recording without any is one task, full_recording.
+    more: columns that tell signals of one channel apart."""
     named = annotations.where("duration > 0").withColumn("task", canonical(F.col("description"), trim=True))
     start = F.greatest(F.lit(0), F.floor(F.col("onset") * F.col("sfreq"))).cast("int")
     size = F.greatest(F.lit(0), F.floor((F.col("onset") + F.col("duration")) * F.col("sfreq")).cast("int") - start)
-    pieces = signals.join(named, "filename").select("filename", "sfreq", "task", "channel", "annot_idx", F.slice("samples", start + 1, size).alias("piece"))
-    joined = pieces.groupBy("filename", "sfreq", "task", "channel").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("annot_idx", "piece"))), lambda s: s["piece"])).alias("samples"))
-    whole = signals.join(annotations.select("filename").distinct(), "filename", "left_anti").select("filename", "sfreq", F.lit("full_recording").alias("task"), "channel", "samples")
+    pieces = signals.join(named, "filename").select("filename", "sfreq", "task", "channel", *more, "annot_idx", F.slice("samples", start + 1, size).alias("piece"))
+    joined = pieces.groupBy("filename", "sfreq", "task", "channel", *more).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("annot_idx", "piece"))), lambda s: s["piece"])).alias("samples"))
+    whole = signals.join(annotations.select("filename").distinct(), "filename", "left_anti").select("filename", "sfreq", F.lit("full_recording").alias("task"), "channel", *more, "samples")
     return joined.unionByName(whole)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from voltlake.config import FREQUENCY_FEATURES, NO_MARKER, RATIOS, SUBBANDS, ratio_table, subband_table
 from voltlake.functions import kernels
-from voltlake.operators import align
+from voltlake.operators import align, batches
 
 
 def time_features(value: Column) -> dict[str, Column]:
@@ -43,9 +43,9 @@ def subband_features(segments: DataFrame, subbands: dict[str, tuple[float, float
     names = ["mav", "variance", "std", *(FREQUENCY_FEATURES if frequency else [])]
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "subband string", *(f"{n} double" for n in names), "reason string"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            signals = [np.asarray(x, np.float64) for x in batch.column("samples").to_pylist()]
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches.sliced(given):
+            signals = [np.asarray(x, np.float64) for x in batches.arrays(batch.column("samples"))]
             rates = batch.column("sfreq").to_pylist()
             rows: list[list[tuple]] = [[] for _ in signals]
             # Segments of one length go through a filter together.
@@ -179,12 +179,8 @@ def pipelines(signals: DataFrame, annotations: DataFrame, channels: list[str], s
     """Long features (variance, std) of three treatments of each recording: with_notch, no_notch and raw, as `pipeline`."""
     from voltlake.operators import signal
 
-    own = signals.where(F.col("channel").isin(channels))
-    passed = signal.fir_bandpass(own, low, high, error=None)
-    each = {"with_notch": signal.fir_bandpass(signal.notch(own, notch_hz), low, high, error=None), "no_notch": passed, "raw": own}
-    out = None
-    for name, s in each.items():
-        rows = subband_features(align.sliced_segments(s, annotations), subbands, frequency=False, order=4, clamp=False).withColumn("pipeline", F.lit(name))
-        rows = long_features(rows.drop("mav", "reason"), ["variance", "std"])
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    bandpass, stop = signal.broad_treatments(low, high, notch_hz)
+    own = signals.where(F.col("channel").isin(channels)).select("filename", "sfreq", "channel", "samples")
+    each = signal.treated(own, {"with_notch": [stop, bandpass], "no_notch": [bandpass], "raw": []}, "pipeline")
+    rows = subband_features(align.sliced_segments(each, annotations, "pipeline"), subbands, frequency=False, order=4, clamp=False)
+    return long_features(rows.select("filename", "task", "channel", "subband", "pipeline", "variance", "std"), ["variance", "std"])
