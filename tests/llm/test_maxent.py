@@ -125,3 +125,55 @@ def test_empty_table_and_nothing_to_train_on(spark):
     i = next(i for i in range(99) if out(i))
     (r,) = M.score(spark.createDataFrame([(i, "a b", "a", "b", "c", "d")], SCHEMA)).collect()
     assert (r.n_known, r.train_tokens, r.base_score) == (0, 0, 0.0) and r.score < 0
+
+
+def test_words_are_found_and_looked_up_by_the_slice_and_not_one_by_one_in_python(spark, monkeypatch):
+    rng = random.Random(5)
+    odd = ["", " ", "  a", "a ", "A\tÀB\x0b\x0cc\r\n\r\nd", "e\x1cf\x1d\x1e\x1fg\x00h", "x\x85y z w　v", " \t", "Ünü ÜNÜ", "K k"]
+    texts = [t.encode() for t in odd + ["".join(rng.choices("aBé\t\n\x0b\x0c\r\x1c\x85  ", k=rng.randrange(30))) for _ in range(300)]] + [b"\xff \xfe a"]
+    want = [M.tokens(t) for t in texts]
+    _, counts, vocabulary = model(spark)
+    lexicon, flat = M.Lexicon(vocabulary), [w for t in want for w in t]
+    monkeypatch.setattr(M, "tokens", None)
+    _, leaf, numbers, sizes = M._numbered(texts, lexicon)
+    assert [lexicon.words[i].as_py() for i in numbers.tolist()] == flat and sizes.tolist() == [len(t) for t in want]
+    assert len(lexicon.words) == len(set(flat)) and leaf.tolist() == [vocabulary.leaf_of(w) for w in flat]
+    assert lexicon.hash[numbers].tolist() == [M.word_hash(w) for w in flat] and lexicon.known[numbers].tolist() == [counts.get(w, 0) for w in flat]
+
+
+def test_one_update_equals_plain_loops(spark):
+    _, _, vocabulary = model(spark)
+    lexicon = M.Lexicon(vocabulary)
+    found, leaf, _, _ = M._numbered([b"abba da ab ab ca d ab ab", b"", "éñ wx nowhere zz zz".encode()], lexicon)
+    tables = np.zeros((1 << M.CLASS_BITS, M.CLASSES), np.float32), np.zeros((vocabulary.levels, 1 << M.LEVEL_BITS), np.float32)
+    trainer = M.Trainer(M.Weights(*tables, *vocabulary.priors()))
+    trainer.update(found, leaf)
+    inside, levels = (M.CLASSES - M.SINGLE) << vocabulary.levels, vocabulary.levels
+    to_class, to_branch = np.zeros(tables[0].shape), np.zeros(tables[1].shape)
+    p = np.exp(trainer.w.classes.astype(float)) / np.exp(trainer.w.classes.astype(float)).sum()
+    for i, to in enumerate(leaf.tolist()):
+        k = to - inside if to >= inside else M.SINGLE + (to >> levels)
+        for f in found:
+            to_class[int(f[i]) >> (64 - M.CLASS_BITS)] += (np.arange(M.CLASSES) == k) - p
+        at = 1
+        for level in range(levels if to < inside else 0):
+            branch = (to >> levels << levels) + at
+            second = to >> (levels - 1 - level) & 1
+            for f in found[: M.WITHIN]:
+                cell = (int(f[i]) ^ int(M._BRANCH[branch])) * 0xD6E8FEB86659FD93 % 2**64 >> (64 - M.LEVEL_BITS)
+                to_branch[level, cell] += second - 1 / (1 + math.exp(-float(trainer.w.branches[branch])))
+            at = 2 * at + second
+    for got, gradient in ((trainer.w.to_class, to_class), (trainer.w.to_branch, to_branch)):
+        assert np.allclose(got, M.RATE * gradient / np.sqrt(gradient**2 + 1e-6), atol=1e-4) and np.abs(got).max() > 0.01
+
+
+@pytest.mark.parametrize("apart", [60, 200])
+def test_classes_far_apart_keep_their_order_and_finite_logs(spark, apart):
+    """The unlikelier class's chance is right as far as single precision goes, and small but no zero beyond."""
+    _, _, vocabulary = model(spark)
+    to_class = np.zeros((1 << M.CLASS_BITS, M.CLASSES), np.float32)
+    to_class[:, 1] = apart / 5
+    weights = M.Weights(to_class, np.zeros((vocabulary.levels, 1 << M.LEVEL_BITS), np.float32), *vocabulary.priors())
+    found, leaf, _, _ = M._numbered([b""], M.Lexicon(vocabulary))
+    (got,) = weights.log_leaves(found, leaf)
+    assert abs(got - max(-float(M.SPREAD), weights.classes[0] - weights.classes[1] - apart)) < 1e-2

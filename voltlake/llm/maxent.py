@@ -26,13 +26,13 @@ Which rows a task holds has a small influence on the weights.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,12 +53,14 @@ RATE = 0.08
 UPDATE, TASK_TOKENS = 1 << 15, 3_000_000
 #: Tokens whose logits a processor's cache holds.
 NEAR = 1 << 12
+#: What logits may lie apart so that single precision holds their exponentials.
+SPREAD = np.float32(80)
 #: Numbers in a block of a table, and blocks that are merged at once.
 CELLS, FAN = 1 << 14, 64
 #: Words in the broadcast part of the vocabulary, and the length in bytes of the longest of them: at most some 5 MB.
 SHARED, SHARED_BYTES = 1 << 17, 40
-#: Distinct words that a task counts before it hands the counts on.
-FLUSH = 200_000
+#: Bytes of text of which the words are numbered together, and of which a task adds up the counts before it hands them on.
+TOGETHER, COUNTED = 1 << 21, 1 << 24
 #: Of word hashes, as Spark has it.
 SEED = 42
 END = b""
@@ -72,6 +74,21 @@ def tokens(text: bytes) -> list[bytes]:
     return found
 
 
+def split(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The `tokens` of several texts, one after the other, and how many each text has."""
+    # After a blank at the end of a text stands an empty word, which is the text's end.
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t + b" " for t in texts], pa.binary()).view(pa.string())))
+    offsets, flat = words.offsets.to_numpy().astype(np.int64), words.values.view(pa.binary())
+    first = offsets[:-1]
+    # So does one before a blank at its beginning, and that is none.
+    led = pc.equal(pc.binary_length(flat.take(pa.array(first))), 0).to_numpy(zero_copy_only=False)
+    if led.any():
+        keep = np.ones(len(flat), bool)
+        keep[first[led]] = False
+        flat = flat.filter(pa.array(keep))
+    return flat, np.diff(offsets) - led
+
+
 def _shape(code):  # noqa: ANN001, ANN202
     """Which of the shared classes, from the last two bytes of a word: of numbers, arrays or columns."""
     return code * 40503 % 65521 % (CLASSES - SINGLE)
@@ -99,19 +116,24 @@ def count_words(training: DataFrame) -> DataFrame:
     """word (binary) and c, over all rows of `text`. Each task adds up its own counts first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
-            counts.clear()
-            return batch
-
-        for batch in common.slices(batches, "text"):
-            for t in common.texts(batch, "text"):
-                counts.update(tokens(t))
-            if len(counts) > FLUSH:
-                yield out()
-        yield out()
+        held: list[pa.Table] = []
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            added = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")])
+            held.clear()
+            yield from pa.table({"word": added.column("word"), "c": added.column("c_sum")}).to_batches()
+
+        for batch in common.slices(batches, "text", TOGETHER):
+            texts = common.texts(batch, "text")
+            found = split(texts)[0].value_counts()
+            held.append(pa.table({"word": found.field("values"), "c": found.field("counts")}))
+            size += sum(map(len, texts))
+            if size > COUNTED:
+                yield from out()
+                size = 0
+        if held:
+            yield from out()
 
     return training.mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -178,47 +200,32 @@ def learn_vocabulary(words: DataFrame, shared: int = SHARED) -> Vocabulary:
 
 
 class Lexicon:
-    """What a worker remembers of the words it has met, up to a bound: arrays by a word's number."""
+    """Arrays by a word's number, of the distinct words that were numbered last."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.clear()
-
-    def clear(self) -> None:
-        self.numbers: dict[bytes, int] = {}
-        self.words: list[bytes] = []
-        # Longer than there are words, so that they needn't be copied for each few new ones.
-        self.hash, self.leaf, self.known = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        own = self.vocabulary.own_class
-        self._add(list(own))
-        self.leaf[: len(own)] = [_inside(self.vocabulary.levels) + k for k in own.values()]
-
-    def _add(self, new: list[bytes]) -> None:
-        """Words that are no class of their own."""
-        levels, digest = self.vocabulary.levels, xxhash.xxh64_intdigest
-        at = slice(len(self.words), len(self.words) + len(new))
-        self.numbers.update(zip(new, range(at.start, at.stop), strict=True))
-        self.words += new
-        if at.stop > len(self.hash):
-            self.hash, self.leaf, self.known = (np.concatenate((x, np.zeros(at.stop, x.dtype))) for x in (self.hash, self.leaf, self.known))
-        hashes = np.array([digest(w, SEED) for w in new], np.uint64)
-        ends = np.frombuffer(b"".join([w[-2:].rjust(2, b"\0") for w in new]), ">u2").astype(np.int64)
-        self.hash[at] = hashes
-        self.leaf[at] = (_shape(ends) << levels) + (hashes >> _U(64 - levels)).view(np.int64)
-        self.known[at] = np.fromiter(map(self.vocabulary.counts.get, new, repeat(0)), np.int64, len(new))
+        self._shared = pa.array(list(vocabulary.counts), pa.binary())
+        # The last one is of all other words.
+        self._counts = np.array([*vocabulary.counts.values(), 0], np.int64)
+        self._own = pa.array(list(vocabulary.own_class), pa.binary())
 
     def of(self, texts: list[list[bytes]]) -> np.ndarray:
         """The numbers of all tokens of several texts, one after the other."""
-        if len(self.numbers) > 2 * FLUSH:
-            self.clear()
-        flat = list(chain.from_iterable(texts))
-        out = np.fromiter(map(self.numbers.get, flat, repeat(-1)), np.int64, len(flat))
-        missing = np.flatnonzero(out < 0)
-        if len(missing):
-            words = [flat[i] for i in missing.tolist()]
-            self._add(list(dict.fromkeys(words)))
-            out[missing] = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        return out
+        return self.number(pa.array(list(chain.from_iterable(texts)), pa.binary()))
+
+    def number(self, tokens: pa.Array) -> np.ndarray:
+        """The numbers of tokens; the arrays are of their distinct words from now on."""
+        levels, digest = self.vocabulary.levels, xxhash.xxh64_intdigest
+        found = tokens.dictionary_encode()
+        self.words = found.dictionary
+        words = self.words.to_numpy(zero_copy_only=False).tolist()
+        self.hash = np.array([digest(w, SEED) for w in words], np.uint64)
+        ends = np.frombuffer(b"".join([w[-2:].rjust(2, b"\0") for w in words]), ">u2").astype(np.int64)
+        own = pc.index_in(self.words, value_set=self._own).fill_null(-1).to_numpy()
+        self.leaf = np.where(own < 0, (_shape(ends) << levels) + (self.hash >> _U(64 - levels)).view(np.int64), _inside(levels) + own)
+        self.known = self._counts[pc.index_in(self.words, value_set=self._shared).fill_null(-1).to_numpy()]
+        self.log_count = np.log10(self.known + 1.0)
+        return found.indices.to_numpy().astype(np.int64)
 
 
 def features(hashes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
@@ -243,40 +250,55 @@ class Weights:
     classes: np.ndarray
     branches: np.ndarray
 
-    def class_logits(self, found: list[np.ndarray]) -> np.ndarray:
-        """Of each class given the history, a row for each token of which `found` has the features; the greatest one 0, none below -40."""
-        out = np.empty((len(found[0]), CLASSES), np.float32)
-        for at in range(0, len(out), NEAR):
-            logits = out[at : at + NEAR]
-            logits[:] = self.classes
-            for f in found:
-                logits += np.take(self.to_class, _class_cell(f[at : at + NEAR]), axis=0)
-            logits -= logits.max(axis=1, keepdims=True)
+    def class_odds(self, found: list[np.ndarray]) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Of NEAR tokens at a time, given their features: the odds of each class, a row for each token, and their sums."""
+        one = np.ones(CLASSES, np.float32)
+        for at in range(0, len(found[0]), NEAR):
+            near = slice(at, at + NEAR)
+            logits = np.take(self.to_class, _class_cell(found[0][near]), axis=0)
+            for f in found[1:]:
+                logits += np.take(self.to_class, _class_cell(f[near]), axis=0)
+            logits += self.classes
+            top = logits.max()
+            if top - logits.min() > SPREAD:
+                top = logits.max(axis=1, keepdims=True)
+            logits -= top
             # Numbers too small for single precision would slow all sums down.
-            np.maximum(logits, np.float32(-40), out=logits)
-        return out
+            np.maximum(logits, -SPREAD, out=logits)
+            odds = np.exp(logits, out=logits)
+            yield near, odds, odds @ one
 
-    def branch_logits(self, found: list[np.ndarray], leaf: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-        """At each level of the way to each token's leaf: the log-odds of the way that is taken, and the cells of the weights."""
+    def branch_logits(self, found: list[np.ndarray], leaf: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """At each level of the way to each token's leaf: the log-odds of the second way, whether that is taken (1 or 0), and the cells of the weights."""
         levels = len(self.to_branch)
         k, path = leaf >> levels << levels, leaf & ((1 << levels) - 1)
         for level in range(levels):
-            at = k + (1 << level) + (path >> (levels - level))
-            own = np.take(_BRANCH, at)
-            cells = [(((f ^ own) * _U(0xD6E8FEB86659FD93)) >> _U(64 - LEVEL_BITS)).view(np.int64) for f in found]
-            logit = np.take(self.branches, at)
-            for c in cells:
-                logit += np.take(self.to_branch[level], c)
-            yield level, np.where(leaf >> (levels - 1 - level) & 1, logit, -logit), cells
+            at = path >> (levels - level)
+            at += k
+            at += 1 << level
+            own, logit = np.take(_BRANCH, at), np.take(self.branches, at)
+            cells = []
+            for f in found:
+                mixed = f ^ own
+                mixed *= _U(0xD6E8FEB86659FD93)
+                mixed >>= _U(64 - LEVEL_BITS)
+                cells.append(mixed.view(np.int64))
+                logit += np.take(self.to_branch[level], cells[-1])
+            yield level, logit, (path >> (levels - 1 - level) & 1).astype(np.float32), cells
 
     def log_leaves(self, found: list[np.ndarray], leaf: np.ndarray) -> np.ndarray:
         """log P(leaf | history) of each token."""
         shared, k = _classes(leaf, len(self.to_branch))
-        logits = self.class_logits(found)
-        out = (logits[np.arange(len(leaf)), k] - np.log(np.exp(logits).sum(axis=1))).astype(np.float64)
+        out = np.empty(len(leaf))
+        for near, odds, total in self.class_odds(found):
+            out[near] = np.log(odds[np.arange(len(odds)), k[near]] / total)
         against = np.ones(len(shared))
-        for _, logit, _ in self.branch_logits([f[shared] for f in found[:WITHIN]], leaf[shared]):
-            against *= 1 + np.exp(np.minimum(-logit, np.float32(50)))
+        for _, logit, second, _ in self.branch_logits([f[shared] for f in found[:WITHIN]], leaf[shared]):
+            # Of the way that isn't taken.
+            logit *= 1 - 2 * second
+            np.exp(np.minimum(logit, np.float32(50), out=logit), out=logit)
+            logit += 1
+            against *= logit
         out[shared] -= np.log(against)
         return out
 
@@ -293,6 +315,16 @@ def _classes(leaf: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
     return shared, k
 
 
+def _step(weights: np.ndarray, seen: np.ndarray, gradient: np.ndarray) -> None:
+    """Moves weights along a gradient, by the squares of those seen so far; all in place."""
+    size = gradient * gradient
+    seen += size
+    np.sqrt(np.add(seen, np.float32(1e-6), out=size), out=size)
+    gradient *= np.float32(RATE)
+    gradient /= size
+    weights += gradient
+
+
 class Trainer:
     """Weights on their way, and the sums of their squared gradients."""
 
@@ -303,24 +335,25 @@ class Trainer:
     def update(self, found: list[np.ndarray], leaf: np.ndarray) -> None:
         """One step by the gradient of the likelihood of these tokens."""
         shared, k = _classes(leaf, len(self.w.to_branch))
-        off = np.exp(self.w.class_logits(found))
-        off /= -off.sum(axis=1, keepdims=True)
-        off[np.arange(len(leaf)), k] += 1
+        off = np.empty((CLASSES, len(leaf)), np.float32)
+        for near, odds, total in self.w.class_odds(found):
+            odds /= -total[:, None]
+            odds[np.arange(len(odds)), k[near]] += 1
+            off[:, near] = odds.T
         # A class at a time: its part of the table stays near.
         cells = [_class_cell(f) for f in found]
-        gradient = np.empty((CLASSES, 1 << CLASS_BITS), np.float32)
-        for k, weights in enumerate(np.ascontiguousarray(off.T, np.float64)):
-            gradient[k] = sum(np.bincount(c, weights, minlength=1 << CLASS_BITS) for c in cells)
-        gradient = np.ascontiguousarray(gradient.T)
-        self.seen_class += gradient**2
-        self.w.to_class += RATE * gradient / np.sqrt(self.seen_class + np.float32(1e-6))
+        gradient = np.zeros((CLASSES, 1 << CLASS_BITS), np.float32)
+        for of, weights in zip(gradient, off, strict=True):
+            for c in cells:
+                np.add.at(of, c, weights)
+        _step(self.w.to_class, self.seen_class, np.ascontiguousarray(gradient.T))
         found = [f[shared] for f in found[:WITHIN]]
-        for level, logit, cells in self.w.branch_logits(found, leaf[shared]):
-            step = 1 / (1 + np.exp(logit))
-            step = np.where(leaf[shared] >> (len(self.w.to_branch) - 1 - level) & 1, step, -step).astype(np.float64)
+        for level, logit, second, cells in self.w.branch_logits(found, leaf[shared]):
+            np.exp(np.minimum(np.negative(logit, out=logit), SPREAD, out=logit), out=logit)
+            logit += 1
+            step = (second - 1 / logit).astype(np.float64)
             gradient = np.bincount(np.concatenate(cells), np.tile(step, len(cells)), minlength=1 << LEVEL_BITS).astype(np.float32)
-            self.seen_branch[level] += gradient**2
-            self.w.to_branch[level] += RATE * gradient / np.sqrt(self.seen_branch[level] + np.float32(1e-6))
+            _step(self.w.to_branch[level], self.seen_branch[level], gradient)
 
     def blocks(self) -> pa.RecordBatch:
         """Both tables in blocks: each weight, and how far its gradients went, in half precision."""
@@ -352,9 +385,8 @@ def _merged(blocks: DataFrame, parts: int) -> DataFrame:
 
 def _numbered(texts: list[bytes], lexicon: Lexicon) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """features, leaves, word numbers, and the sizes of texts, all of them in one go."""
-    of = [tokens(t) for t in texts]
-    sizes = np.array([len(t) for t in of])
-    numbers = lexicon.of(of)
+    words, sizes = split(texts)
+    numbers = lexicon.number(words)
     return features(lexicon.hash[numbers], sizes), lexicon.leaf[numbers], numbers, sizes
 
 
@@ -371,7 +403,7 @@ def train(training: DataFrame, vocabulary: Vocabulary, epochs: int = 1) -> Weigh
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             vocabulary, weights = shared.value
             lexicon, trainer = Lexicon(vocabulary), Trainer(weights)
-            for batch in common.slices(batches, "text", 6 * UPDATE):
+            for batch in common.slices(batches, "text", TOGETHER):
                 found, leaf, _, _ = _numbered(common.texts(batch, "text"), lexicon)
                 for at in range(0, len(leaf), UPDATE):
                     trainer.update([f[at : at + UPDATE] for f in found], leaf[at : at + UPDATE])
@@ -399,7 +431,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", shared: int
         vocabulary, weights = model.value
         lexicon = Lexicon(vocabulary)
         log_total = np.log10(vocabulary.leaf_total)
-        for batch in common.slices(batches, "text", 6 * UPDATE):
+        for batch in common.slices(batches, "text", TOGETHER):
             found, leaf, numbers, sizes = _numbered(common.texts(batch, "text"), lexicon)
             logs = np.concatenate([weights.log_leaves([f[at : at + UPDATE] for f in found], leaf[at : at + UPDATE]) for at in range(0, len(leaf), UPDATE)])
             c = lexicon.known[numbers]
@@ -408,15 +440,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", shared: int
             missing = np.flatnonzero(c == 0)
             of = np.repeat(np.arange(len(sizes)), sizes)[missing]
             each, times = np.unique(of << 32 | numbers[missing], return_counts=True)
-            words = pa.array([lexicon.words[i] for i in (each & 0xFFFFFFFF).tolist()], pa.binary())
-            others = pa.StructArray.from_arrays([words, pa.array(times.astype(np.int64))], ["word", "times"])
+            others = pa.StructArray.from_arrays([lexicon.words.take(pa.array(each & 0xFFFFFFFF)), pa.array(times.astype(np.int64))], ["word", "times"])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("key"),
                     batch.column("held_out"),
                     pa.array(sizes.astype(np.int64)),
                     pa.array(add((c > 0).astype(np.int64))),
-                    pa.array(add(np.log10(c + 1.0))),
+                    pa.array(add(lexicon.log_count[numbers])),
                     pa.array(add(logs / np.log(10) - log_total[leaf])),
                     pa.ListArray.from_arrays(pa.array(np.searchsorted(each >> 32, np.arange(len(sizes) + 1)).astype(np.int32)), others),
                 ],
